@@ -15,12 +15,12 @@ from .words import WordHashes, hash_words, lowered, texts_of
 #: Bytes of context of the longest trie path.
 ORDER = 4
 #: Text bytes in a block of documents, on average.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 #: Symbols: byte values, then the end of a text.
 END = 256
 SYMBOLS = 257
-#: Bytes of text whose windows are worked out at a time.
-SLICE_BYTES = 4_000_000
+#: Bytes of text whose windows are worked out at a time; a worker holds some thirty times as much.
+SLICE_BYTES = 1_000_000
 #: A symbol takes 9 bits of a window code; the missing bytes before a text are zeros.
 BITS = 9
 _HALF = 0.5
@@ -72,7 +72,7 @@ def _block_stats(table: pa.Table, order: int) -> Iterator[pa.Table]:
     cache = WordHashes()
     nothing = (np.empty(0, np.int64), np.empty(0, np.int64))
     grams, words = nothing, nothing
-    for batch in table.to_batches(max_chunksize=2000):
+    for batch in table.to_batches(max_chunksize=300):
         texts = [lowered(t or b"") for t in texts_of(batch, "text")]
         used, train = train[: len(texts)], train[len(texts) :]
         for a, b in _slices(texts):
@@ -249,7 +249,7 @@ def ppm_scores(
         (gram_key, gram_cost), (word_key, word_n) = tables
         base_cost = np.log10((word_n + _HALF) / (tokens + _HALF * (vocabulary + 1)))
         cols: list[list] = [[], [], [], [], []]
-        for batch in left.to_batches(max_chunksize=2000):
+        for batch in left.to_batches(max_chunksize=300):
             texts = [lowered(t or b"") for t in texts_of(batch, "text")]
             for a, b in _slices(texts):
                 codes, lengths = windows(texts[a:b], order)
