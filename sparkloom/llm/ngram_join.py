@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,8 +22,10 @@ SHINGLE = 5
 #: Jaccard similarity of at least 75 / 100.
 NUM, DEN = 75, 100
 #: Counters of the frequency sketch: fixed, whatever the corpus.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 CHUNKS = 16
+#: Rounds in which sets outside a list's largest component try two of its members, before all are tried.
+PROBES = 3
 #: Bytes of inverted lists for each bucket, on average.
 BUCKET_BYTES = 8_000_000
 #: Members that are compared with one copy of an anchor.
@@ -117,10 +119,10 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return table.select(["doc"]).slice(0, 1).append_column("packed", pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary()))
 
 
-def _order(found: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The set in the global order: rare classes first, then by hash."""
-    rank = classes[(found & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
-    return found[np.argsort((rank << np.uint64(58)) | (found >> np.uint64(6)), kind="stable")]
+def _order(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The set in the global order: rare shingles first, then by hash."""
+    rank = counts[(found & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
+    return found[np.argsort((rank << np.uint64(48)) | (found >> np.uint64(16)), kind="stable")]
 
 
 def _subset_keys(found: np.ndarray) -> list[tuple[int, int]]:
@@ -182,21 +184,49 @@ def _scan(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.table([np.full(len(x), k, np.int32), x, y, s, p], schema=_FOUND) for k, x, y, s, p in out])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one bucket's lists whose sets are still in different components."""
+def _mixed(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(set ids, sizes, positions, components) by size, of each list that holds several components."""
     e = {c: table.column(c).to_numpy() for c in ("key", "sid", "size", "pos", "component")}
     order = np.lexsort((e["size"], e["key"]))
     key, sid, size, pos, comp = (e[c][order] for c in ("key", "sid", "size", "pos", "component"))
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    found: list[np.ndarray] = []
-    held = 0
     for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
         c = comp[a:b]
-        if (c == c[0]).all():
-            continue
-        for i in range(a, b - 1):
-            stop = a + np.searchsorted(size[a:b], size[i] * DEN // NUM, side="right")
-            j = np.arange(i + 1, stop)
+        if (c != c[0]).any():
+            yield sid[a:b], size[a:b], pos[a:b], c
+
+
+def _pairs(found: list[np.ndarray]) -> pa.Table:
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return pa.table([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
+
+
+def _probing(turn: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: _probe(table, turn)
+
+
+def _probe(table: pa.Table, turn: int) -> pa.Table:
+    """For each list: the sets outside its largest component with two members of it, the same ones in most lists."""
+    found: list[np.ndarray] = []
+    odd = np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
+    for sid, size, pos, comp in _mixed(table):
+        names, at, n = np.unique(comp, return_inverse=True, return_counts=True)
+        inside = np.flatnonzero(at == np.argmax(n))
+        outside = np.flatnonzero(at != np.argmax(n))
+        draw = (sid[inside].view(np.uint64) ^ np.uint64(turn)) * odd
+        for m in inside[np.argsort(draw ^ (draw >> np.uint64(29)), kind="stable")[:2]]:
+            fit = outside[_within(np.full(len(outside), size[m]), size[outside], np.full(len(outside), pos[m]), pos[outside])]
+            found.append(np.stack([np.full(len(fit), sid[m]), sid[fit]], 1))
+    return _pairs(found)
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """All pairs of one bucket's lists whose sets are still in different components."""
+    found: list[np.ndarray] = []
+    held = 0
+    for sid, size, pos, comp in _mixed(table):
+        for i in range(len(sid) - 1):
+            j = np.arange(i + 1, np.searchsorted(size, size[i] * DEN // NUM, side="right"))
             j = j[comp[j] != comp[i]]
             j = j[_within(np.full(len(j), size[i]), size[j], np.full(len(j), pos[i]), pos[j])]
             if len(j):
@@ -204,8 +234,7 @@ def _across(table: pa.Table) -> pa.Table:
                 held += len(j)
         if held > 1_000_000:
             found, held = [np.unique(np.concatenate(found), axis=0)], 0
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return pa.table([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
+    return _pairs(found)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +299,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     share stay out of the prefixes; any order gives the same links.
 
     Lists are not multiplied out: first each list's members are verified against
-    one anchor; then, in lists that still hold several components, all pairs
-    across components.  Pairs inside a component are not needed for the
+    one anchor; then, for some rounds, sets outside a list's largest component
+    against two members of it; then, in lists that still hold several
+    components, all pairs across components.  Pairs inside a component are not needed for the
     components, and no other pair is left out.
 
     Null or empty texts have no shingles and are their own component; texts of
@@ -298,12 +328,14 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     totals = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint32)
     for r in counts.collect():  # CHUNKS rows
         totals[r["doc"]] = np.frombuffer(zstandard.decompress(bytes(r["packed"])), np.uint32)
-    classes = np.minimum(np.floor(np.log2(np.maximum(totals.ravel(), 1))), 62).astype(np.uint8)
+    # Up to 1,024 as they are, beyond that in steps of an eighth: 16 bits hold any count.
+    flat = totals.ravel().astype(float)
+    ranks = np.where(flat <= 1024, flat, 1024 + 8 * np.log2(np.maximum(flat, 1) / 1024)).astype(np.uint16)
     held = sets.agg(F.sum("size"), F.count(F.lit(1))).first()
     shingles_held = held[0] or 0
     light = boundary(max(2.0, shingles_held / SLOTS))
     buckets = max(1, math.ceil(shingles_held / 4 * _ENTRY.itemsize / bucket_bytes))
-    order = spark.sparkContext.broadcast(classes)  # SLOTS bytes
+    order = spark.sparkContext.broadcast(ranks)  # 2 * SLOTS bytes
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -345,21 +377,30 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by_subset = found.filter("kind = 2").select(F.col("x").alias("src"), F.col("y").alias("dst"))
     pairs = materialize(found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "join-pairs")
     links = materialize(_similar(pairs, sets, part, tasks).unionAll(by_subset), "join-links")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    entries = found.filter("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("sid"), "size", "pos")
     labels = connected_components(links, "join")
-    lists = (
-        found.filter("kind = 0")
-        .join(labels, F.col("y") == F.col("node"), "left")
-        .select(F.col("x").alias("key"), F.col("y").alias("sid"), "size", "pos", F.coalesce("component", "y").alias("component"))
-    )
-    lists = materialize(lists, "join-lists")
-    # Only lists that hold several components.
-    mixed = materialize(lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "join-mixed")
-    left = lists.join(mixed, "key", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(tasks, buckets))))
-    cross = left.groupBy("bucket").applyInArrow(_across, "a bigint, b bigint").distinct()
-    tried = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "join-cross")
-    more = _similar(tried, sets, part, tasks)
-    links = materialize(links.unionAll(more), "join-links")
-    labels = connected_components(links, "join")
+    for turn in range(PROBES + 1):
+        lists = entries.join(labels, entries["sid"] == labels["node"], "left").select("key", "sid", "size", "pos", F.coalesce("component", "sid").alias("component"))
+        lists = materialize(lists, "join-lists")
+        # Only lists that hold several components; settled ones are not looked at again.
+        mixed = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        left = materialize(lists.join(materialize(mixed, "join-mixed"), "key", "left_semi"), "join-left")
+        entries = left.select("key", "sid", "size", "pos")
+        dealt = left.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(tasks, buckets)))).groupBy("bucket")
+        if turn < PROBES:
+            fresh = dealt.applyInArrow(_probing(turn), "a bigint, b bigint")
+        else:
+            fresh = dealt.applyInArrow(_across, "a bigint, b bigint")
+        fresh = fresh.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"])
+        fresh = materialize(fresh.join(tried, (F.col("x") == tried["a"]) & (F.col("y") == tried["b"]), "left_anti").select(fresh["a"], fresh["b"]), "join-fresh")
+        if not fresh.limit(1).count():
+            if turn < PROBES:
+                continue
+            break
+        tried = tried.unionAll(fresh.select(F.least("a", "b"), F.greatest("a", "b")))
+        links = materialize(links.unionAll(_similar(fresh, sets, part, tasks)), "join-links")
+        labels = connected_components(links, "join")
     named = materialize(
         sets.join(labels, sets["sid"] == labels["node"], "left").select("sid", "doc", F.coalesce("component", "sid").alias("component")), "join-sets"
     )
