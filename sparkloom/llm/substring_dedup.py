@@ -12,15 +12,15 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import materialize
-from .words import WordHashes, hash_words, texts_of, window_hashes
+from .words import WordHashes, hash_words, small_batches, texts_of, window_hashes
 
 WINDOW = 13
 #: Words of a minimiser.
 MINIMISER = 3
 #: Text bytes for each bucket, on average; buckets grow with the input.
-BUCKET_BYTES = 6_000_000
+BUCKET_BYTES = 3_000_000
 #: Words that a map task combines before it sends on.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 300_000
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 
@@ -32,15 +32,45 @@ class _Exact(dict):
         value = self[word] = len(self)
         return value
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
-def _first_of_window(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """For each window (hash, document, start in ``ids``) the smallest document that holds the same words.
 
-    Sorting brings equal hashes together, by document; neighbours are then
-    compared word by word, so equal hashes of different words part.
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(n: int, _kept: list[np.ndarray] = [np.ones(1, np.uint64)] * 2) -> list[np.ndarray]:  # noqa: B006  kept by the worker
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if len(_kept[0]) < n:
+        for k, x in enumerate((_BASE, _BASE_INVERSE)):
+            steps = np.full(n + n // 4, x, np.uint64)
+            steps[0] = 1
+            _kept[k] = np.cumprod(steps)
+    return _kept
+
+
+def _window_keys(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A rolling 64-bit hash of the windows that start at ``at``; only those in one array can be compared."""
+    power, inverse = _powers(len(ids) + 1)
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    total = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(mixed * power[: len(ids)], out=total[1:])
+    return (total[at + size] - total[at]) * inverse[at]
+
+
+def _first_of_window(docs: np.ndarray, ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """For each window (document, start in ``ids``) the smallest document that holds the same words.
+
+    Sorting brings equal hashes together; neighbours are then compared word by
+    word, so equal hashes of different words part.
     """
-    order = np.lexsort((docs, hashes))
-    h = hashes[order]
+    if not len(at):
+        return docs
+    keys = _window_keys(ids, at, size)
+    order = np.argsort(keys)
+    h = keys[order]
     new = np.ones(len(order), bool)
     twin = np.flatnonzero(h[1:] == h[:-1])
     if len(twin):
@@ -49,7 +79,7 @@ def _first_of_window(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, at:
         for j in range(size):
             same &= ids[a + j] == ids[b + j]
         new[twin[same] + 1] = False
-    first = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    first = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     out = np.empty_like(docs)
     out[order] = first
     return out
@@ -85,16 +115,16 @@ class _Cutter:
         size = self.size
         exact = _Exact()
         lengths = np.array([len(r[2]) for r in rows])
-        hashes = np.concatenate([hash_words(r[2], self.cache) for r in rows])
-        ids = np.concatenate([np.fromiter(map(exact.__getitem__, r[2]), dtype=np.int32, count=len(r[2])) for r in rows])
+        ids = np.concatenate([exact.numbers(r[2]) for r in rows])
+        hashes = hash_words(list(exact), self.cache)[ids]
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         owner = np.repeat(np.arange(len(rows)), lengths)
-        windows = window_hashes(hashes, size)
-        whole = owner[: len(windows)] == owner[size - 1 : size - 1 + len(windows)]
+        n = len(ids) - size + 1
+        whole = owner[:n] == owner[size - 1 : size - 1 + n]
         at = np.flatnonzero(whole)
         docs = np.array([r[0] for r in rows], dtype=np.int64)
         mine = docs[owner[at]]
-        later = mine > _first_of_window(windows[at], mine, ids, at, size)
+        later = mine > _first_of_window(mine, ids, at, size)
         gone = np.zeros(len(hashes) + 1, bool)
         gone[at[later]] = True
         # Known already here: a smaller document of this chunk has the window.
@@ -139,8 +169,8 @@ def _mark_bucket(table: pa.Table, size: int) -> pa.Table:
     packed = table.column("packed").to_pylist()
     passed = table.filter(pa.compute.is_null(table.column("packed"))).select(_FLAG.names)
     unzip = zstandard.ZstdDecompressor()
-    exact, cache = _Exact(), WordHashes()
-    parts = {k: [] for k in ("doc", "row", "start", "n", "ids", "hash", "len")}
+    exact = _Exact()
+    parts = {k: [] for k in ("doc", "row", "start", "n", "ids")}
     for blob in packed:
         if blob is None:
             continue
@@ -150,18 +180,15 @@ def _mark_bucket(table: pa.Table, size: int) -> pa.Table:
         parts["row"].append(row)
         parts["start"].append(start)
         parts["n"].append(n)
-        words = b" ".join(texts).split(b" ")
-        parts["ids"].append(np.fromiter(map(exact.__getitem__, words), dtype=np.int32, count=len(words)))
-        parts["hash"].append(hash_words(words, cache))
+        parts["ids"].append(exact.numbers(b" ".join(texts).split(b" ")))
     if not parts["doc"]:
         return passed.cast(_FLAG)
-    doc, row, start, n, ids, hashes = (np.concatenate(parts[k]) for k in ("doc", "row", "start", "n", "ids", "hash"))
+    doc, row, start, n, ids = (np.concatenate(parts[k]) for k in ("doc", "row", "start", "n", "ids"))
     begin = np.concatenate([[0], np.cumsum(n + size - 1)])[:-1]
     kmer = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(kmer)) - np.repeat(np.cumsum(n) - n, n)
     at = begin[kmer] + inside
-    windows = window_hashes(hashes, size)[at]
-    later = doc[kmer] > _first_of_window(windows, doc[kmer], ids, at, size)
+    later = doc[kmer] > _first_of_window(doc[kmer], ids, at, size)
     cut = later.copy()
     cut[1:] &= ~(later[1:] & later[:-1] & (kmer[1:] == kmer[:-1]))  # the first of each run
     heads = np.flatnonzero(cut)
@@ -186,7 +213,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, minimiser: int = MINIM
         cutter = _Cutter(buckets, size, minimiser)
         rows: list[tuple[int, int, list[bytes]]] = []
         words = 0
-        for batch in batches:
+        for batch in small_batches(batches):
             doc, row = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for d, r, text in zip(doc, row, texts_of(batch, "text"), strict=True):
                 w = (text or b"").split()
@@ -234,7 +261,7 @@ def remove_repeats(
     spans = runs.groupBy("doc", "row").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("spans"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             n_words, n_removed, kept = [], [], []
             for text, spans in zip(texts_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 words = (text or b"").split()

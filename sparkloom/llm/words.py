@@ -6,12 +6,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 
 #: Words kept in a worker's hash cache before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -50,6 +52,13 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, so that only so many texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as bytes, without decoding."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
