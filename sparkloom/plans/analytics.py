@@ -435,7 +435,7 @@ def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t06_ordered_distinct", "SELECT doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]) AS words FROM (SELECT doc_id, list_filter(list_transform(string_split(left(text, 300), ' '), lambda x: trim(x)), lambda x: x <> '') AS w FROM documents)")
 def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.transform(F.split(F.substring("text", 1, 300), " "), F.trim)
+    words = F.transform(F.split(F.substring("text", 1, 300), " "), lambda x: F.trim(x))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(words, lambda x: x != "")).alias("words"))
 
 

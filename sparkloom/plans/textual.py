@@ -233,7 +233,7 @@ def _in(values: list[str]) -> object:
 def x20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop-word vote between the two supported languages; English in doubt and for short texts."""
     words = F.split(F.lower("text"), r"[^\p{L}]+")
-    votes = {k: F.size(F.filter(words, _in(v))) for k, v in {"en": "the and of to is in".split(), "nl": "de het een van en is".split()}.items()}
+    votes = {k: F.size(F.filter(words, _in(v))) for k, v in {"en": "the and of to is in".split(), "nl": "het een van niet zijn ook maar".split()}.items()}
     return read(spark, sf_dir, "documents").select("doc_id", F.when((F.length(F.trim("text")) >= 10) & (votes["nl"] > votes["en"]), "nl").otherwise("en").alias("language"))
 
 
