@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import materialize
@@ -15,7 +16,7 @@ from .words import WordHashes, hash_words, lowered, texts_of
 #: Bytes of context of the longest trie path.
 ORDER = 4
 #: Text bytes in a block of documents, on average.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 24_000_000
 #: Symbols: byte values, then the end of a text.
 END = 256
 SYMBOLS = 257
@@ -56,10 +57,79 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             start, held = k + 1, 0
 
 
-def _merge(into: tuple[np.ndarray, np.ndarray], keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, weights = np.concatenate([into[0], keys]), np.concatenate([into[1], weights])
-    found, inverse = np.unique(keys, return_inverse=True)
-    return found, np.bincount(inverse, weights=weights, minlength=len(found)).astype(np.int64)
+def _summed(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their weights."""
+    k, w = np.concatenate(keys), np.concatenate(weights)
+    if not len(k):
+        return k, w
+    order = np.argsort(k)
+    k = k[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[start], np.add.reduceat(w[order], start)
+
+
+class _Places:
+    """Open addressing: where each of some distinct keys stands."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(4 * max(1, len(keys))).bit_length())
+        self.keys = keys
+        self.table = np.zeros(1 << self.bits, np.int32)
+        taken = np.zeros(1 << self.bits, bool)
+        slot, pending = self._slot(keys), np.arange(len(keys))
+        while len(pending):
+            free = pending[~taken[slot[pending]]]
+            self.table[slot[free]] = free
+            taken[slot[free]] = True
+            pending = pending[self.table[slot[pending]] != pending]
+            slot[pending] = (slot[pending] + 1) & (len(self.table) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of keys that are all there."""
+        slot = self._slot(wanted)
+        found = self.table[slot]
+        left = np.flatnonzero(self.keys[found] != wanted)
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.table) - 1)
+            found[left] = self.table[slot[left]]
+            left = left[self.keys[found[left]] != wanted[left]]
+        return found
+
+
+def _pack(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, doc_id, train, text) to one row for each batch and block, lower-cased texts compressed together."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(block, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]])) if len(order) else np.empty(0, np.int64)
+            if not len(cut):
+                continue
+            offsets = pa.array(np.append(cut, len(order)), pa.int32())
+            texts = [lowered(t or b"") for t in texts_of(batch, "text")]
+            blobs = [pack.compress(b"".join([texts[i] for i in order[a:b]])) for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True)]
+            sizes = pa.array([len(texts[i]) for i in order], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (batch.column(1).take(pa.array(order)), batch.column(2).take(pa.array(order)), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][cut]), *lists, pa.array(blobs, pa.binary())], names=["block", "doc_id", "train", "sizes", "packed"])
+
+    return work
+
+
+def _unpacked(table: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Slices of a block: texts, and which of them are for training."""
+    unzip = zstandard.ZstdDecompressor()
+    for train, sizes, blob in zip(table.column("train"), table.column("sizes"), table.column("packed"), strict=True):
+        data = unzip.decompress(blob.as_py())
+        used = train.values.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.values.to_numpy(zero_copy_only=False)).tolist()
+        texts = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for a, b in _slices(texts):
+            yield texts[a:b], used[a:b]
 
 
 _STATS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
@@ -68,26 +138,22 @@ _STATS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.int6
 def _block_stats(table: pa.Table, order: int) -> Iterator[pa.Table]:
     """(block, kind, key, count in training texts) for each distinct window (kind 0) and word (kind 1) of a block."""
     block = table.column("block")[0].as_py()
-    train = table.column("train").to_pylist()
     cache = WordHashes()
-    nothing = (np.empty(0, np.int64), np.empty(0, np.int64))
-    grams, words = nothing, nothing
-    for batch in table.to_batches(max_chunksize=300):
-        texts = [lowered(t or b"") for t in texts_of(batch, "text")]
-        used, train = train[: len(texts)], train[len(texts) :]
-        for a, b in _slices(texts):
-            codes, lengths = windows(texts[a:b], order)
-            learned = np.repeat(np.array(used[a:b], np.int64), lengths)
-            grams = _merge(grams, codes, learned)
-            split = [t.split() for t in texts[a:b]]
-            for flag in (0, 1):
-                flat = [w for t, u in zip(split, used[a:b], strict=True) if u == flag for w in t]
-                keys = np.append(hash_words(flat, cache).view(np.int64), np.full(sum(u == flag for u in used[a:b]), END_WORD))
-                found, n = np.unique(keys, return_counts=True)
-                words = _merge(words, found, n * flag)
-    yield from (
-        pa.table([np.full(len(k), block), np.full(len(k), kind, np.int32), k, n], schema=_STATS) for kind, (k, n) in enumerate((grams, words))
-    )
+    keys: tuple[list[np.ndarray], ...] = ([], [])
+    counts: tuple[list[np.ndarray], ...] = ([], [])
+    for texts, used in _unpacked(table):
+        for flag in (0, 1):
+            part = [t for t, u in zip(texts, used, strict=True) if u == flag]
+            if not part:
+                continue
+            words = hash_words([w for t in part for w in t.split()], cache).view(np.int64)
+            for kind, found in enumerate((windows(part, order)[0], np.append(words, np.full(len(part), END_WORD)))):
+                k, n = np.unique(found, return_counts=True)
+                keys[kind].append(k)
+                counts[kind].append(n * flag)
+    for kind in (0, 1):
+        k, n = _summed(keys[kind], counts[kind])
+        yield pa.table([np.full(len(k), block), np.full(len(k), kind, np.int32), k, n], schema=_STATS)
 
 
 def _level(codes: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,13 +271,14 @@ def ppm_scores(
     held = is_held_out(F.col(id_col)) if held_out is None else held_out
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 40)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    dealt = docs.select(
+    rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("block"),
         F.col(id_col).alias("doc_id"),
         (~held).cast("int").alias("train"),
         F.col(text_col).alias("text"),
     )
-    dealt = materialize(dealt.repartition(blocks, "block"), "ppm-blocks")
+    # Texts are dealt twice, packed, and never written out.
+    dealt = rows.mapInArrow(_pack(blocks), f"block bigint, doc_id array<{kind}>, train array<int>, sizes array<int>, packed binary")
 
     def stats(table: pa.Table) -> pa.Table:
         return pa.concat_tables(_block_stats(table, order))
@@ -241,37 +308,30 @@ def ppm_scores(
         cache = WordHashes()
         k = right.column("kind").to_numpy()
         key, cost = right.column("key").to_numpy(), right.column("cost").to_numpy()
-        tables = []
-        for which in (0, 1):
-            mine = k == which
-            order_ = np.argsort(key[mine])
-            tables.append((key[mine][order_], cost[mine][order_]))
-        (gram_key, gram_cost), (word_key, word_n) = tables
-        base_cost = np.log10((word_n + _HALF) / (tokens + _HALF * (vocabulary + 1)))
+        grams, terms = _Places(key[k == 0]), _Places(key[k == 1])
+        gram_cost, word_n = cost[k == 0], cost[k == 1]
+        word_cost = np.log10((word_n + _HALF) / (tokens + _HALF * (vocabulary + 1)))
+        known = (word_n > 0).astype(np.int64)
         cols: list[list] = [[], [], [], [], []]
-        for batch in left.to_batches(max_chunksize=300):
-            texts = [lowered(t or b"") for t in texts_of(batch, "text")]
-            for a, b in _slices(texts):
-                codes, lengths = windows(texts[a:b], order)
-                code_cost = gram_cost[np.searchsorted(gram_key, codes)]
-                cols[0].append(np.add.reduceat(code_cost, np.cumsum(lengths) - lengths))
-                split = [t.split() for t in texts[a:b]]
-                n = np.array([len(t) + 1 for t in split])
-                flat = hash_words([w for t in split for w in t], cache).view(np.int64)
-                ends = np.cumsum(n) - 1
-                keys = np.full(int(n.sum()), END_WORD)
-                inner = np.ones(len(keys), bool)
-                inner[ends] = False
-                keys[inner] = flat
-                at = np.searchsorted(word_key, keys)
-                starts = np.cumsum(n) - n
-                cols[1].append(n)
-                cols[2].append(np.add.reduceat((word_n[at] > 0).astype(np.int64), starts))
-                cols[3].append(np.add.reduceat(base_cost[at], starts))
-                cols[4].append(lengths)
-        s, n, known, base, size = (np.concatenate(c) for c in cols)
+        for texts, _ in _unpacked(left):
+            codes, lengths = windows(texts, order)
+            split = [t.split() for t in texts]
+            n = np.array([len(t) + 1 for t in split])
+            ends = np.cumsum(n) - 1
+            keys = np.full(int(n.sum()), END_WORD)
+            inner = np.ones(len(keys), bool)
+            inner[ends] = False
+            keys[inner] = hash_words([w for t in split for w in t], cache).view(np.int64)
+            at, starts = terms.of(keys), ends + 1 - n
+            cols[0].append(np.add.reduceat(gram_cost[grams.of(codes)], np.cumsum(lengths) - lengths))
+            cols[1].append(n)
+            cols[2].append(np.add.reduceat(known[at], starts))
+            cols[3].append(np.add.reduceat(word_cost[at], starts))
+            cols[4].append(lengths)
+        s, n, known_n, base, size = (np.concatenate(c) for c in cols)
+        ids, train = (pa.concat_arrays([c.flatten() for c in left.column(x).chunks]) for x in ("doc_id", "train"))
         return pa.table(
-            [left.column("doc_id"), pa.array(left.column("train").to_numpy() == 0), n, known, np.full(len(n), tokens), base, s, -s / math.log10(2) / size],
+            [ids, pa.array(train.to_numpy(zero_copy_only=False) == 0), n, known_n, np.full(len(n), tokens), base, s, -s / math.log10(2) / size],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
         )
 
