@@ -275,7 +275,7 @@ def test_line_dedup(docs, texts, awkward, empty):
 
 
 def test_mixing(docs, awkward, empty):
-    out = mixing.mix(docs, mixing.TARGETS, mixing.production_dims(), rounds=30).collect()
+    out = mixing.mix(docs, mixing.TARGETS, mixing.production_dims(), rounds=10).collect()
     mass, total = Counter(), 0.0
     for r in out:
         mass[r.lang] += r.tokens * r.probability
