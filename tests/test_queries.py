@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import analytics, pipelines, retrieval, textual  # noqa: F401
+from sparkloom.plans import analytics, extras, pipelines, retrieval, textual  # noqa: F401
 from sparkloom.plans.catalog import QUERIES, SQL
 
 
