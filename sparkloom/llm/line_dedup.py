@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .exact_dedup import FILTER_BITS, _bit_filter, _survives
 from .scratch import materialize
 
 MIN_SITES = 5
@@ -22,7 +23,7 @@ def line_spread(
     text_col: str = "text",
     site_col: str = "source",
 ) -> tuple[DataFrame, DataFrame]:
-    """The occurrences (id, text hash, pos, h1, h2, site) and the boilerplate lines (h1, h2).
+    """The occurrences (row key, site, pos, h1, h2) and the boilerplate lines (h1, h2).
 
     One HyperLogLog sketch of sites for each line hash, merged by aggregation:
     a line met a billion times arrives as one sketch per map task.  Estimates
@@ -31,14 +32,13 @@ def line_spread(
     """
     text = F.col(text_col)
     cells = docs.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"),
-        F.xxhash64(text).alias("__row"),
+        F.xxhash64(F.col(id_col), text).alias("__row"),
         F.coalesce(F.col(site_col).cast("string"), F.lit("\x00")).alias("site"),
         F.posexplode(F.split(text, "\n", -1)).alias("pos", "__line"),
     ).withColumn("__line", _trimmed(F.col("__line")))
     seen = materialize(
         cells.filter("__line <> ''").select(
-            "__id", "__row", "site", "pos", F.xxhash64("__line").alias("h1"), F.xxhash64(F.lit("line"), "__line").alias("h2")
+            "__row", "site", "pos", F.xxhash64("__line").alias("h1"), F.xxhash64(F.lit("line"), "__line").alias("h2")
         ),
         "line-seen",
     )
@@ -79,23 +79,27 @@ def remove_boilerplate(
     """
     clean = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(site_col).alias("source"))
     seen, bad = line_spread(clean, min_sites, lg_k, "doc_id", "text", "source")
-    gone = (
-        seen.select("__id", "__row", "pos", "h1", "h2").join(bad, ["h1", "h2"], "left_semi").groupBy("__id", "__row").agg(F.collect_set("pos").alias("__gone"))
+    gone = materialize(
+        seen.select("__row", "pos", "h1", "h2").join(bad, ["h1", "h2"], "left_semi").groupBy("__row").agg(F.collect_set("pos").alias("__gone")),
+        "line-gone",
     )
-    gone = materialize(gone, "line-gone")
+    # Texts without such a line stay in their task: the filter has a fixed size, and what it lets through by chance joins nothing.
+    filt = materialize(_bit_filter(gone, "__row", FILTER_BITS), "line-filter")
+    keyed = _survives(clean.withColumn("__row", F.xxhash64("doc_id", "text")), "__row", FILTER_BITS, filt)
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    return (
-        clean.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        .withColumn("__row", F.xxhash64("text"))
-        .join(gone, ["__id", "__row"], "left")
-        .select(
+
+    def shown(rows: DataFrame) -> DataFrame:
+        return rows.select(
             "doc_id",
             F.size(lines).cast("bigint").alias("n_lines"),
-            F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+            F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint").alias("n_removed"),
             F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
         )
-    )
+
+    touched = keyed.filter("__alive").join(gone, "__row", "left")
+    whole = keyed.filter("not __alive").withColumn("__gone", F.lit(None).cast("array<int>"))
+    return shown(touched).unionAll(shown(whole))
 
 
 LINE_SQL = rf"""
