@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .exact_dedup import FILTER_BITS, _bit_filter, _survives
 from .scratch import materialize
 from .words import WordHashes, hash_words, small_batches, texts_of, window_hashes
 
@@ -18,7 +19,7 @@ WINDOW = 13
 #: Words of a minimiser.
 MINIMISER = 3
 #: Text bytes for each bucket, on average; buckets grow with the input.
-BUCKET_BYTES = 3_000_000
+BUCKET_BYTES = 5_000_000
 #: Words that a map task combines before it sends on.
 CHUNK_WORDS = 300_000
 #: Stands for a null id: after all others.
@@ -102,13 +103,17 @@ def _minimisers(grams: np.ndarray, span: int) -> np.ndarray:
     return where
 
 
+#: Of each super-k-mer in a parcel: document, row key, start, windows.
+_META = ("<i8", "<i4", "<i4", "<i4")
+
+
 class _Cutter:
     """Cuts texts into super-k-mers; a chunk of documents at a time."""
 
     def __init__(self, buckets: int, size: int, minimiser: int) -> None:
         self.buckets, self.size, self.minimiser = buckets, size, minimiser
         self.cache = WordHashes()
-        self.zip = zstandard.ZstdCompressor(level=1)
+        self.zip = zstandard.ZstdCompressor(level=3)
 
     def cut(self, rows: list[tuple[int, int, list[bytes]]]) -> Iterator[tuple]:
         """rows: (document, row key, words).  Yields (bucket, document, row key, start, windows, packed or None)."""
@@ -151,9 +156,8 @@ class _Cutter:
             parcels.setdefault(b, []).append((rows[k][0], rows[k][1], start, n, b" ".join(rows[k][2][start : start + n + size - 1])))
         for b, items in parcels.items():
             columns = list(zip(*items, strict=True))
-            blob = b"\n".join([np.array(columns[0], np.int64).tobytes().hex().encode(), b"\n".join(columns[4])])
-            meta = np.array([columns[1], columns[2], columns[3]], np.int64).tobytes().hex().encode()
-            yield (b, None, None, None, len(items), self.zip.compress(meta + b"\n" + blob))
+            meta = b"".join([np.array(c, kind).tobytes() for c, kind in zip(columns, _META, strict=False)])
+            yield (b, None, None, None, len(items), self.zip.compress(meta + b"\n".join(columns[4])))
 
 
 _CUT = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
@@ -166,20 +170,19 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _mark_bucket(table: pa.Table, size: int) -> pa.Table:
     """Windows of one bucket whose words also start in a smaller document, as runs; runs known already pass through."""
-    packed = table.column("packed").to_pylist()
+    packed, held = table.column("packed").to_pylist(), table.column("n").to_pylist()
     passed = table.filter(pa.compute.is_null(table.column("packed"))).select(_FLAG.names)
     unzip = zstandard.ZstdDecompressor()
     exact = _Exact()
     parts = {k: [] for k in ("doc", "row", "start", "n", "ids")}
-    for blob in packed:
+    for blob, k in zip(packed, held, strict=True):
         if blob is None:
             continue
-        meta, docs, *texts = unzip.decompress(blob).split(b"\n")
-        row, start, n = np.frombuffer(bytes.fromhex(meta.decode()), np.int64).reshape(3, -1)
-        parts["doc"].append(np.frombuffer(bytes.fromhex(docs.decode()), np.int64))
-        parts["row"].append(row)
-        parts["start"].append(start)
-        parts["n"].append(n)
+        data, at = unzip.decompress(blob), 0
+        for name, kind in zip(("doc", "row", "start", "n"), _META, strict=True):
+            parts[name].append(np.frombuffer(data, kind, k, at).astype(np.int64))
+            at += k * np.dtype(kind).itemsize
+        texts = data[at:].split(b"\n")
         parts["ids"].append(exact.numbers(b" ".join(texts).split(b" ")))
     if not parts["doc"]:
         return passed.cast(_FLAG)
@@ -247,18 +250,23 @@ def remove_repeats(
     Removes every word that is covered by a window of ``size`` words which also
     starts in a document with a smaller id.  Null text has no words; a null id
     counts as larger than all others and keeps its own row; rows with one id
-    are no smaller than each other, so repeated rows fare alike; texts shorter
+    are no smaller than each other, so repeated rows fare alike (rows of one id
+    are told apart by a 32-bit hash of the text); texts shorter
     than a window stay whole; an empty table gives an empty result.
     """
     part = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"),
-        F.xxhash64(F.col(text_col)).alias("row"),
+        F.hash(F.col(text_col)).cast("bigint").alias("row"),
         F.col(text_col).alias("text"),
     )
     runs = materialize(repeated_windows(part, size, minimiser, bucket_bytes, chunk_words), "repeat-runs")
     # As long as a text has windows at most.
     spans = runs.groupBy("doc", "row").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("spans"))
+    spans = materialize(spans, "repeat-spans")
+    # Texts without repeats stay in their task: the filter has a fixed size, and what it lets through by chance joins nothing.
+    filt = materialize(_bit_filter(spans.withColumn("key", F.xxhash64("doc", "row")), "key", FILTER_BITS), "repeat-filter")
+    keyed = _survives(part.withColumn("key", F.xxhash64("doc", "row")), "key", FILTER_BITS, filt)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -282,7 +290,9 @@ def remove_repeats(
             )
 
     kind = part.schema["doc_id"].dataType.simpleString()
-    out = part.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans").mapInArrow(strip, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    touched = keyed.filter("__alive").join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
+    whole = keyed.filter("not __alive").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    out = touched.unionAll(whole).mapInArrow(strip, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("kept", "kept_sha256" if digests else "kept_text")
 
 
