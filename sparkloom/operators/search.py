@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Okapi parameters.
@@ -15,11 +17,6 @@ STOP_WORDS = (
 ).split()
 
 
-def dot(column: str, vector: list[float]) -> Column:
-    """Dot product with a vector known to the driver: one generated expression, no lambda and no join."""
-    return reduce(add, [F.element_at(column, i + 1).cast("double") * F.lit(float(x)) for i, x in enumerate(vector)])
-
-
 def dot_columns(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -52,14 +49,29 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 def vector_search(corpus: DataFrame, queries: dict[int, list[float]], k: int, min_score: float | None = None) -> DataFrame:
     """(query_id, id, score, rank) of ``corpus(id, embedding)`` for a batch of query vectors.
 
-    The request's vectors are literals: the corpus is read once for all of them
-    and nothing but the per-task best rows is shuffled.
+    One matrix product for each Arrow batch scores all requests; the best ``k``
+    of a batch leave it, so the corpus is read once and nearly nothing is
+    shuffled.  Scores have nine digits, so that equal vectors tie.  Vectors of
+    another length, or null, are left out.
     """
-    scores = F.array(*[F.struct(F.lit(q).cast("bigint").alias("query_id"), dot("embedding", v).alias("score")) for q, v in queries.items()])
-    hits = corpus.select("id", F.explode(scores).alias("x")).select("x.query_id", "id", "x.score")
-    if min_score is not None:
-        hits = hits.filter(F.col("score") >= min_score)
-    return top_k(hits, k)
+    names = np.array(list(queries), np.int64)
+    matrix = np.array(list(queries.values()), np.float64)
+    width = matrix.shape[1] if len(matrix) else 0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), width)
+            scores = np.round(vectors @ matrix.T, 9)
+            for q, column in zip(names, scores.T, strict=True):
+                best = np.lexsort((ids, -column))
+                if min_score is not None:
+                    best = best[column[best] >= min_score]
+                best = best[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(ids[best]), pa.array(column[best])], names=["query_id", "id", "score"])
+
+    usable = corpus.select(F.col("id").cast("bigint").alias("id"), "embedding").filter(F.size("embedding") == width)
+    return top_k(usable.mapInArrow(work, "query_id bigint, id bigint, score double"), k)
 
 
 def average_vector(rows: DataFrame, by: str) -> DataFrame:

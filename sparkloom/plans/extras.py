@@ -147,6 +147,6 @@ def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k12_approximate_neighbours")
 def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random-projection buckets by the signs of eight fixed directions; candidates share a bucket.  For recall against v01."""
-    signs = [F.when(search.dot("embedding", [((i * 37 + b * 101) % 17) - 8.0 for i in range(64)]) > 0, 1).otherwise(0) for b in range(8)]
+    signs = [F.when(search.dot_columns("embedding", F.array(*[F.lit(((i * 37 + b * 101) % 17) - 8.0) for i in range(64)])) > 0, 1).otherwise(0) for b in range(8)]
     code = sum((s * (1 << b) for b, s in enumerate(signs)), F.lit(0))
     return read(spark, sf_dir, "embeddings").select("vec_id", code.alias("bucket"))

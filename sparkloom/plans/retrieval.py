@@ -142,7 +142,7 @@ def request_vectors(spark: SparkSession, sf_dir: str, n: int = QUESTIONS) -> dic
 
 
 def _vector_sql(n: int = QUESTIONS, k: int = 10, where: str = "true", floor: str = "true") -> str:
-    return f"""s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+    return f"""s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
   FROM embeddings c, embeddings q WHERE q.vec_id < {n} AND {where}),
 sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE {floor}) WHERE rank <= {k})"""
 
