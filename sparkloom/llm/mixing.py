@@ -12,6 +12,8 @@ from .scratch import materialize
 Target = dict[str, float] | float
 
 ROUNDS = 8
+#: Share of all tokens that the sample holds in expectation, and rounds to find its scale.
+KEEP, SCALE_ROUNDS = 0.6, 6
 SEED = "mix-1"
 #: Stands for null in a dimension.
 NONE = "\x01none"
@@ -91,6 +93,21 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) ->
     return materialize(out.select(*dims, "tokens", factor.alias("factor")), "mix-cells")
 
 
+def _scale(raked: DataFrame, keep: float) -> float | None:
+    """The scale at which capped probabilities give the wanted tokens; one small row for each round."""
+    mass = F.col("tokens") * F.col("factor")
+    total, weight = raked.agg(F.sum(F.col("tokens").cast("double")), F.sum(mass)).first()
+    if not weight:
+        return None
+    scale = keep * total / weight
+    for _ in range(SCALE_ROUNDS):
+        capped = F.col("factor") * F.lit(scale) >= 1
+        whole, free = raked.agg(F.sum(F.when(capped, F.col("tokens").cast("double")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(mass))).first()
+        if free:
+            scale = max(scale, (keep * total - whole) / free)
+    return scale
+
+
 def mix(
     docs: DataFrame,
     targets: dict[str, Target],
@@ -99,14 +116,16 @@ def mix(
     seed: str = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: float = KEEP,
 ) -> DataFrame:
     """(doc_id, tokens, dimensions..., probability, sampled), one row for each input row.
 
     Token weights of the cells (source x language x topic) are raked to the
-    marginals.  A document's probability is its cell's factor over the largest
-    factor of a cell with tokens, so the expected token mixture is the raked one
-    exactly and the sample is the largest without repeats.  The draw depends on
-    seed and id alone, hence not on partitions or retries.
+    marginals.  A document's probability is its cell's factor times one scale,
+    at most 1; the scale is such that the sample holds ``keep`` of all tokens in
+    expectation.  Cells too scarce for their weight are kept whole, the others
+    stand to each other as raked.  The draw depends on seed and id alone, hence
+    not on partitions or retries.
 
     Null dimension values form a value of their own; null or empty texts have no
     tokens and take their cell's probability (1 where nothing has tokens); equal
@@ -121,8 +140,9 @@ def mix(
     rows = materialize(rows, "mix-rows")
     cells = materialize(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-counts")
     raked = rake(cells, targets, rounds)
-    largest = raked.filter("tokens > 0").agg(F.max("factor")).first()[0]  # one number
-    scale = raked.select(*names, (F.col("factor") / F.lit(largest) if largest else F.lit(1.0)).alias("probability"))
+    scale = _scale(raked, keep)
+    chance = F.least(F.lit(1.0), F.col("factor") * F.lit(scale)) if scale else F.lit(1.0)
+    scale = raked.select(*names, chance.alias("probability"))
     return rows.join(scale, names, "left").select(
         "doc_id", "tokens", *names, "probability", (uniform_draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled")
     )
@@ -176,7 +196,13 @@ c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FRO
     factor = " * ".join(f"coalesce(x_{d}.f, 0)" for d in dims)
     joins = " ".join(f"LEFT JOIN {now[d]} x_{d} ON c.{d} = x_{d}.{d}" for d in dims)
     parts.append(f"r AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, {factor} AS f FROM c {joins})")
-    parts.append("p AS (SELECT source, lang, topic, f / (SELECT max(f) FROM r WHERE tokens > 0) AS p FROM r)")
+    parts.append(f"s0 AS MATERIALIZED (SELECT {KEEP!r}::DOUBLE * sum(tokens) / nullif(sum(tokens * f), 0) AS s FROM r)")
+    for k in range(SCALE_ROUNDS):
+        parts.append(
+            f"s{k + 1} AS MATERIALIZED (SELECT greatest(min(s), ({KEEP!r}::DOUBLE * sum(tokens) - sum(CASE WHEN f * s >= 1 THEN tokens ELSE 0 END)) "
+            f"/ nullif(sum(CASE WHEN f * s >= 1 THEN 0 ELSE tokens * f END), 0)) AS s FROM r, s{k})"
+        )
+    parts.append(f"p AS (SELECT source, lang, topic, coalesce(least(1.0, f * s), 1.0) AS p FROM r, s{SCALE_ROUNDS})")
     draw = f"('0x' || substr(sha256('{seed}:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, tokens, source, lang, topic, round(p, 6) AS probability, {draw} < p AS sampled "

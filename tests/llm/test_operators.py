@@ -275,15 +275,15 @@ def test_line_dedup(docs, texts, awkward, empty):
 
 
 def test_mixing(docs, awkward, empty):
-    out = mixing.mix(docs, mixing.TARGETS, mixing.production_dims(), rounds=10).collect()
-    mass, total = Counter(), 0.0
-    for r in out:
-        mass[r.lang] += r.tokens * r.probability
-        total += r.tokens * r.probability
-    for lang, share in mixing.TARGETS["lang"].items():
-        assert mass[lang] / total == pytest.approx(share, abs=0.02)
-    assert max(r.probability for r in out if r.tokens) == pytest.approx(1.0)
+    out = mixing.mix(docs, mixing.TARGETS, mixing.production_dims()).collect()
+    total = sum(r.tokens for r in out)
+    assert sum(r.tokens * r.probability for r in out) == pytest.approx(mixing.KEEP * total, rel=1e-3)
     assert all(r.sampled for r in out if r.probability == 1.0)
+    assert abs(sum(r.tokens for r in out if r.sampled) / total - mixing.KEEP) < 0.2
+    cells = docs.groupBy("source", "lang").agg(F.sum(mixing.n_words(F.col("text"))).alias("tokens"))
+    raked = mixing.rake(cells, {k: mixing.TARGETS[k] for k in ("source", "lang")}).collect()
+    for lang, share in mixing.TARGETS["lang"].items():
+        assert sum(r.tokens * r.factor for r in raked if r.lang == lang) == pytest.approx(share, abs=1e-3)
     rows = mixing.mix(awkward, mixing.TARGETS, mixing.production_dims(), rounds=2).collect()
     assert len(rows) == len(AWKWARD) and all(r.probability is not None for r in rows)
     assert mixing.mix(empty, mixing.TARGETS, mixing.production_dims(), rounds=1).count() == 0
