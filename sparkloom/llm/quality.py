@@ -23,6 +23,8 @@ METRICS = {
     "repeats": (0.90, 4.0, 100),
     "word_size": (0.90, 4.0, 12000),
 }
+#: Metrics whose junk a base rule fails at any limit.
+BASE_RULED = {"repeats"}
 
 
 def _repeated_words(ids: np.ndarray) -> int:
@@ -110,7 +112,7 @@ def _bucket(value: Column) -> Column:
 
 
 def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups..., metric, size, p50, p90) for each grouping level, from bucket counts.
+    """(groups..., metric, size, p10, p50, p90) for each grouping level, from bucket counts.
 
     The sketch is a logarithmic histogram: counts by bucket, merged by addition
     within tasks, across tasks and from sources up to languages and to all rows.
@@ -145,6 +147,7 @@ def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
             *[F.col(g) if g in level else F.lit(None).cast("string").alias(g) for g in groups],
             "metric",
             "size",
+            quantile(0.1).alias("p10"),
             quantile(0.5).alias("p50"),
             quantile(0.9).alias("p90"),
             F.lit(len(level)).alias("level"),
@@ -169,18 +172,32 @@ def quality_rules(
     language, then that of all rows.  Only what stands far out of its own
     group's distribution goes, so clean documents stay.
 
+    Where over a tenth of a group is junk, its 90th percentile is junk as well.
+    So for metrics that no base rule bounds, this limit holds only as far as the
+    spread below the median bears it out, median + 4 x (median - 10th
+    percentile), or the limit of the language, and that one's likewise as far
+    as the limit of all rows.  A source that is regularly high in a metric keeps
+    its own limit; the tail of one that is mostly low does not set it.
+
     Null text is empty (and fails the base rules); null groups form one of their
     own; repeated rows are judged alike; an empty table gives an empty result.
     """
     rows = materialize(signals(docs, id_col, text_col, group_cols), "quality-signals")
     groups = [f"g{i}" for i in range(len(group_cols))]
     sketch = materialize(thresholds(rows, groups), "quality-limits")
+    above, below = F.col("p90") - F.col("p50"), F.col("p50") - F.col("p10")
     limits = None
     for k in range(len(groups), -1, -1):
         wide = (
             sketch.filter((F.col("level") == k) & (F.col("size") >= (min_rows if k else 0)))
             .groupBy(*groups[:k])
-            .agg(*[F.max(F.when(F.col("metric") == m, F.greatest(F.lit(float(least)), F.col("p50") + spread * (F.col("p90") - F.col("p50"))))).alias(f"t{k}_{m}") for m, (_, spread, least) in METRICS.items()])
+            .agg(
+                *[
+                    F.max(F.when(F.col("metric") == m, F.greatest(F.lit(float(least)), F.col("p50") + spread * width))).alias(f"{name}{k}_{m}")
+                    for m, (_, spread, least) in METRICS.items()
+                    for name, width in (("t", above), ("f", above if m in BASE_RULED else below))
+                ]
+            )
         )
         limits = (limits or []) + [(k, wide)]
     joined = rows
@@ -188,10 +205,17 @@ def quality_rules(
         # The last has one row; the others are as long as there are groups, and joined by their own size.
         joined = joined.join(wide, groups[:k], "left") if k else joined.join(F.broadcast(wide), how="left")
     values = _per_mille()
+
+    def limit(m: str) -> Column:
+        out = F.least(f"t0_{m}", f"f0_{m}")
+        for k in range(1, len(groups) + 1):
+            out = F.least(f"t{k}_{m}", F.greatest(f"f{k}_{m}", out))  # both skip the nulls of small groups
+        return out
+
     reasons = F.filter(
         F.array(
             *[
-                F.when(values[m] > F.coalesce(*[f"t{k}_{m}" for k in range(len(groups), -1, -1)]), F.lit(m))
+                F.when(values[m] > limit(m), F.lit(m))
                 for m in METRICS
             ]
         ),

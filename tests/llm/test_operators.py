@@ -180,6 +180,19 @@ def brute_ppm(train, texts, order):
     return out
 
 
+def test_quality_of_junk_heavy_sources(spark):
+    plain = " ".join(f"w{k}" for k in range(50))
+    junk = " ".join(f"w{k} #$%&" if k % 2 else f"v{k}" for k in range(50))
+    rows = [(k, junk if k % 10 < 3 else plain, "fr", "heavy") for k in range(200)]  # of all rows, a seventh is junk
+    rows += [(1000 + k, plain, "fr", "clean") for k in range(200)]
+    # A source of code has symbols throughout; its own spread sets its limit.
+    rows += [(2000 + k, plain.replace(" ", " $ ", 10 + k % 10), "en", "code") for k in range(100)]
+    rows += [(3000 + k, plain, "en", "clean") for k in range(200)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == {k for k in range(200) if k % 10 < 3}
+    assert {r.reasons for r in got if not r.kept} == {"symbols"}
+
+
 def test_ppm(docs, texts, awkward, empty):
     got = {r.doc_id: r for r in ppm.ppm_scores(docs, block_bytes=100_000).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
