@@ -44,7 +44,9 @@ def uniform_draw(id_col: Column, seed: str) -> Column:
 def _marginal(cells: DataFrame, dim: str, target: Target) -> DataFrame:
     """(dim value, goal): target shares over the values that hold tokens; they add up to one.
 
-    Values not listed share what the listed ones leave, by their tokens.
+    Values not listed share what the listed ones leave, by their tokens.  Where
+    the listed shares leave nothing, the others, null included, keep their
+    present share of the tokens and the listed ones divide the remainder.
     """
     held = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).filter("t > 0")
     if not isinstance(target, dict):
@@ -53,10 +55,13 @@ def _marginal(cells: DataFrame, dim: str, target: Target) -> DataFrame:
         pairs = [x for k, v in target.items() for x in (F.lit(k), F.lit(float(v)))]
         listed = F.element_at(F.create_map(*pairs), F.col(dim)) if pairs else F.lit(None).cast("double")
         free = held.withColumn("w", listed)
-        rest = free.agg(F.sum(F.when(F.col("w").isNull(), F.col("t"))).alias("rest"))
+        rest = free.agg(F.sum(F.when(F.col("w").isNull(), F.col("t"))).alias("rest"), F.sum("w").alias("share"), F.sum(F.when(F.col("w") > 0, F.col("t"))).alias("listed"))
         left = max(0.0, 1.0 - sum(target.values()))
         held = free.join(F.broadcast(rest))
-        raw = F.coalesce("w", F.lit(left) * F.col("t") / F.col("rest"))
+        if left > 1e-9:
+            raw = F.coalesce("w", F.lit(left) * F.col("t") / F.col("rest"))
+        else:
+            raw = F.coalesce("w", F.col("share") * F.col("t") / F.col("listed"), F.col("t").cast("double"))  # the last where no listed value holds tokens
     weights = held.select(dim, raw.alias("goal")).filter("goal > 0")
     total = weights.agg(F.sum("goal").alias("all"))  # one row
     return weights.join(F.broadcast(total)).select(dim, (F.col("goal") / F.col("all")).alias("goal"))
@@ -67,8 +72,8 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) ->
 
     ``cells`` has the dimensions and ``tokens``.  A round fits the dimensions one
     after the other; what it keeps is a table of factors (as long as a dimension
-    has values), reread after each round, so plans stay flat.  Values without a
-    target or tokens get factor 0.
+    has values), reread after each round, so plans stay flat.  Values with target
+    0 or without tokens get factor 0.
     """
     dims = list(targets)
     goals = {d: materialize(_marginal(cells, d, t), f"mix-goal-{d}") for d, t in targets.items()}
@@ -128,8 +133,9 @@ def mix(
     not on partitions or retries.
 
     Null dimension values form a value of their own; null or empty texts have no
-    tokens and take their cell's probability (1 where nothing has tokens); equal
-    ids get equal draws; an empty table gives an empty result.
+    tokens and take their cell's probability (1 where the cell and its value, or
+    all rows, have none); values that no target lists stay in the sample, see
+    ``_marginal``; equal ids get equal draws; an empty table gives an empty result.
     """
     names = list(targets)
     rows = docs.select(
@@ -141,7 +147,9 @@ def mix(
     cells = materialize(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-counts")
     raked = rake(cells, targets, rounds)
     scale = _scale(raked, keep)
-    chance = F.least(F.lit(1.0), F.col("factor") * F.lit(scale)) if scale else F.lit(1.0)
+    unwanted = [F.col(d).isin([k for k, v in t.items() if not v]) for d, t in targets.items() if isinstance(t, dict)]
+    untouched = (F.col("tokens") == 0) & (F.col("factor") == 0) & ~reduce(lambda a, b: a | b, unwanted, F.lit(False))
+    chance = F.when(untouched, 1.0).otherwise(F.least(F.lit(1.0), F.col("factor") * F.lit(scale))) if scale else F.lit(1.0)
     scale = raked.select(*names, chance.alias("probability"))
     return rows.join(scale, names, "left").select(
         "doc_id", "tokens", *names, "probability", (uniform_draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled")

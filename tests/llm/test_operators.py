@@ -302,6 +302,28 @@ def test_mixing(docs, awkward, empty):
     assert mixing.mix(empty, mixing.TARGETS, mixing.production_dims(), rounds=1).count() == 0
 
 
+def test_mixing_keeps_null_and_unlisted_values(spark, awkward):
+    assert sum(mixing.TARGETS["lang"].values()) == 1
+    langs = ["en"] * 12 + ["fr", "de", "es"] * 2 + ["it", None]  # the last two hold a tenth of the tokens
+    rows = [(k, "one two three four five", lang, f"s{k % 2}") for k, lang in enumerate(langs * 100)]
+    rows += [(-1, None, "pt", "s0"), (-2, "", None, "s0")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {k: mixing.TARGETS[k] for k in ("source", "lang")}
+    dims = {"source": F.col("source"), "lang": F.col("lang")}
+    out = mixing.mix(frame, targets, dims, rounds=4).collect()
+    assert len(out) == len(rows) and all(r.probability > 0 for r in out)
+    total = sum(r.tokens for r in out)
+    assert sum(r.tokens * r.probability for r in out) == pytest.approx(mixing.KEEP * total, rel=1e-3)
+    cells = frame.select(mixing.n_words(F.col("text")).alias("tokens"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang")).groupBy("lang").agg(F.sum("tokens").alias("tokens"))
+    goals = {r.lang: r.goal for r in mixing._marginal(cells, "lang", mixing.TARGETS["lang"]).collect()}
+    assert goals == pytest.approx({"it": 0.05, mixing.NONE: 0.05} | {k: 0.9 * v for k, v in mixing.TARGETS["lang"].items()})
+    # A share of 0 that is listed stays one, and rows of values without tokens are no reason to drop them.
+    zero = mixing.mix(frame, {"lang": {"en": 1.0, "it": 0.0, "pt": 0.0}}, {"lang": F.col("lang")}, rounds=1).collect()
+    assert {r.probability > 0 for r in zero if r.lang in ("it", "pt")} == {False}
+    assert all(r.probability > 0 for r in zero if r.lang not in ("it", "pt"))
+    assert all(r.probability > 0 for r in mixing.mix(awkward, mixing.TARGETS, mixing.production_dims(), rounds=2).collect())
+
+
 def test_bpe(docs, texts, awkward, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = registry.vocabulary()
