@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import materialize
+from .removal import filter_of, survives, without
+from .scratch import Write, materialize, temporary
 
-#: Bits in each survivor filter: 2**22 bits are 65,536 longs, whatever the corpus.
-FILTER_BITS = 1 << 22
 PREFIX_CHARS = 256
 
 
@@ -16,35 +15,33 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _bit_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """Set one bit for each key: at most bits/64 rows (slot, mask)."""
-    place = F.pmod(F.col(key), F.lit(bits))
-    return keys.groupBy(F.floor(place / 64).cast("int").alias("__slot")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))).alias("__mask")
-    )
+def row_key(id_col: str, text_col: str) -> Column:
+    """The same for rows of one id and one text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def _survives(df: DataFrame, key: str, bits: int, filt: DataFrame) -> DataFrame:
-    """Adds ``__alive``: whether the key's bit is set.  The filter has a fixed size, so it is broadcast."""
-    place = F.pmod(F.col(key), F.lit(bits))
-    hit = df.withColumn("__slot", F.floor(place / 64).cast("int")).join(F.broadcast(filt), "__slot", "left")
-    bit = F.call_function("shiftrightunsigned", F.col("__mask"), F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
-    return hit.withColumn("__alive", F.coalesce(bit == 1, F.lit(False))).drop("__slot", "__mask")
+def _hashed(docs: DataFrame, id_col: str, text_col: str, hash_all: bool, filter_bits: int | None, write: Write) -> DataFrame:
+    """(id, key, length, alive, sha) of each row: three levels, the last one for survivors only."""
+    base = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), normalized(F.col(text_col)).alias("__text")).withColumn(
+        "__len", F.octet_length("__text").cast("bigint")
+    )
+    prefix = F.xxhash64("__len", F.substring("__text", 1, PREFIX_CHARS))
+    keys = write(base.select("__len", prefix.alias("__prefix")), "exact-keys")
+    lengths = write(keys.groupBy("__len").count().filter("count > 1").select("__len"), "exact-lengths")
+    alive = survives(keys, "__len", *filter_of(lengths, "__len", write, "exact-length-filter", filter_bits)).filter("__alive")
+    pairs = write(alive.groupBy("__len", "__prefix").count().filter("count > 1").select("__prefix"), "exact-prefixes")
+    flagged = survives(base.withColumn("__prefix", prefix), "__prefix", *filter_of(pairs, "__prefix", write, "exact-filter", filter_bits))
+    sha = F.sha2("__text", 256)
+    return flagged.select("__id", "__key", "__alive", (sha if hash_all else F.when(F.col("__alive"), sha)).alias("__sha"))
 
 
-def exact_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    hash_all: bool = False,
-    filter_bits: int = FILTER_BITS,
-) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False, filter_bits: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each input row.
 
     Pass one reads each text once and keeps two numbers, length and prefix
     hash.  Lengths met twice, then (length, prefix) pairs met twice, leave a
-    bit in filters of fixed size.  Pass two hashes in full only the rows whose
-    bit is set; ``text_sha256`` is null elsewhere unless ``hash_all``.  A
+    bit in filters sized by their count.  Pass two hashes in full only the rows
+    whose bit is set; ``text_sha256`` is null elsewhere unless ``hash_all``.  A
     filter collision only lets a row go on to the next level, so results are
     exact.  No text is shuffled.
 
@@ -54,28 +51,13 @@ def exact_duplicates(
     empty tables give empty results; other columns are ignored, whatever their
     names.
     """
-    base = docs.select(F.col(id_col).alias("__id"), normalized(F.col(text_col)).alias("__text")).withColumn(
-        "__len", F.octet_length("__text").cast("bigint")
-    )
-    prefix = F.xxhash64("__len", F.substring("__text", 1, PREFIX_CHARS))
-    keys = materialize(base.select("__len", prefix.alias("__prefix")), "exact-keys")
-    lengths = keys.groupBy("__len").count().filter("count > 1")
-    alive = _survives(keys, "__len", filter_bits, _bit_filter(lengths, "__len", filter_bits)).filter("__alive")
-    pairs = alive.groupBy("__len", "__prefix").count().filter("count > 1")
-    filt = materialize(_bit_filter(pairs, "__prefix", filter_bits), "exact-filter")
-
-    light = _survives(base.withColumn("__prefix", prefix), "__prefix", filter_bits, filt).select(
-        "__id",
-        "__len",
-        "__alive",
-        (F.sha2("__text", 256) if hash_all else F.when(F.col("__alive"), F.sha2("__text", 256))).alias("__sha"),
-    )
-    light = materialize(light, "exact-light")
+    with temporary(docs.sparkSession) as write:
+        light = materialize(_hashed(docs, id_col, text_col, hash_all, filter_bits, write).drop("__key"), "exact-light")
     groups = materialize(
         light.filter("__alive").groupBy("__sha").agg(F.min("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).filter("__size > 1"),
         "exact-groups",
     )
-    met = light.filter("__alive").join(groups, "__sha", "left").select(
+    met = light.filter("__alive").join(groups.hint("merge"), "__sha", "left").select(
         "__id",
         F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")).alias("__keep"),
         F.coalesce("__size", F.lit(1)).cast("bigint").alias("__size"),
@@ -91,6 +73,25 @@ def exact_duplicates(
     )
 
 
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group of equal texts: that of the smallest id.
+
+    Decided row by row: of rows that carry the smallest id one stays, the one
+    with the smallest row key; of rows equal in id and text any one.  Nulls are
+    as in ``exact_duplicates``.  All columns are kept.  Texts without a
+    duplicate are neither hashed in full nor shuffled.
+    """
+    with temporary(docs.sparkSession) as write:
+        light = write(_hashed(docs, id_col, text_col, False, None, write).filter("__alive").drop("__alive"), "exact-light")
+        order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
+        groups = write(light.groupBy("__sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "exact-groups")
+        stays = (F.col("__key") == F.col("first.key")) & F.col("__id").eqNullSafe(F.col("first.id"))
+        rows = light.join(groups.hint("merge"), "__sha").select("__id", "__key", stays.alias("stays"))
+        counted = rows.groupBy("__id", "__key").agg(F.bool_or("stays").alias("once"), F.count(F.lit(1)).alias("n")).filter("not once or n > 1")
+        gone = materialize(counted.select(F.col("__id").alias("id"), F.col("__key").alias("key"), "once"), "exact-gone")
+    return without(docs, id_col, row_key(id_col, text_col), gone, materialize)
+
+
 EXACT_SQL = r"""
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id,
        count(*) OVER (PARTITION BY t) AS group_size,

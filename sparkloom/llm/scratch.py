@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+Write = Callable[[DataFrame, str], DataFrame]
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
+    """The cluster's shared folder; a local one only where none is configured and all runs on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.gettempdir()}/sparkloom-shared"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -27,12 +33,30 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the reread table."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the reread table, which stays."""
+    return _write(df, new_path(df.sparkSession, tag))
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Write]:
+    """A ``materialize`` whose tables go with the block: what is needed after it must be written otherwise before."""
+    paths: list[str] = []
+
+    def write(df: DataFrame, tag: str) -> DataFrame:
+        paths.append(new_path(spark, tag))
+        return _write(df, paths[-1])
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            drop(spark, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:

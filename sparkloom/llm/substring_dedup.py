@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .exact_dedup import FILTER_BITS, _bit_filter, _survives
+from .removal import filter_of, survives
 from .scratch import materialize
 from .words import WordHashes, hash_words, small_batches, texts_of, window_hashes
 
@@ -264,9 +264,9 @@ def remove_repeats(
     # As long as a text has windows at most.
     spans = runs.groupBy("doc", "row").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("spans"))
     spans = materialize(spans, "repeat-spans")
-    # Texts without repeats stay in their task: the filter has a fixed size, and what it lets through by chance joins nothing.
-    filt = materialize(_bit_filter(spans.withColumn("key", F.xxhash64("doc", "row")), "key", FILTER_BITS), "repeat-filter")
-    keyed = _survives(part.withColumn("key", F.xxhash64("doc", "row")), "key", FILTER_BITS, filt)
+    # Texts without repeats stay in their task: the filter is sized by their count, and what it lets through by chance joins nothing.
+    fitted = filter_of(spans.withColumn("key", F.xxhash64("doc", "row")), "key", materialize, "repeat-filter")
+    keyed = survives(part.withColumn("key", F.xxhash64("doc", "row")), "key", *fitted)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
