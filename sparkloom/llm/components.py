@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import materialize
+from .scratch import Write, materialize
 
 
-def _jump(labels: DataFrame, tag: str) -> DataFrame:
+def _jump(labels: DataFrame, tag: str, write: Write) -> DataFrame:
     """Follow label -> label of label until nothing changes (doubling steps)."""
     while True:
         parent = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        stepped = materialize(
-            labels.join(parent, "label", "left").select(
+        stepped = write(
+            labels.join(parent.hint("merge"), "label", "left").select(
                 "node", F.coalesce("up", "label").alias("label"), (F.coalesce("up", "label") != F.col("label")).alias("moved")
             ),
             tag,
@@ -23,7 +23,7 @@ def _jump(labels: DataFrame, tag: str) -> DataFrame:
             return labels
 
 
-def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, tag: str = "components", write: Write = materialize) -> DataFrame:
     """(node, component) for undirected ``edges(src, dst)``; component is the smallest node.
 
     Each round hooks every node to its smallest neighbour (one aggregation that
@@ -31,31 +31,32 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     shortens the chains by pointer jumping and contracts the edges.  Labels and
     edges are reread tables, so that joins on a hub's key are ordinary
     two-exchange joins which AQE can split.  Null ends and loops link nothing;
-    repeated edges count once; no edges give an empty table.
+    repeated edges count once; no edges give an empty table.  Tables are written
+    with ``write``.
     """
-    work = materialize(
+    work = write(
         edges.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct(), f"{tag}-edges"
     )
     total: DataFrame | None = None
     while work.limit(1).count():
         both = work.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(work.select("dst", "src"))
-        hooked = materialize(
+        hooked = write(
             both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")),
             f"{tag}-hook",
         )
-        labels = _jump(hooked, f"{tag}-jump")
+        labels = _jump(hooked, f"{tag}-jump", write)
         at_src = labels.select(F.col("node").alias("src"), F.col("label").alias("a"))
         at_dst = labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
-        work = materialize(
-            work.join(at_src, "src").join(at_dst, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(),
+        work = write(
+            work.join(at_src.hint("merge"), "src").join(at_dst.hint("merge"), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(),
             f"{tag}-edges",
         )
         if total is None:
             total = labels
         else:
             onward = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            total = materialize(
-                total.join(onward, "label", "left").select("node", F.coalesce("up", "label").alias("label")), f"{tag}-labels"
+            total = write(
+                total.join(onward.hint("merge"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), f"{tag}-labels"
             )
     if total is None:
         total = work.select(F.col("src").alias("node"), F.col("dst").alias("label"))

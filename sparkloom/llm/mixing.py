@@ -6,14 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import materialize
+from .scratch import Write, materialize, temporary
 
 #: Share of each listed value, or an exponent that tempers the present shares.
 Target = dict[str, float] | float
 
-ROUNDS = 8
-#: Share of all tokens that the sample holds in expectation, and rounds to find its scale.
-KEEP, SCALE_ROUNDS = 0.6, 6
+ROUNDS = 10
+#: The sample holds the largest share of all tokens at which each listed value can have its weight, less this margin ...
+MARGIN = 0.95
+#: ... and at least so much: values too scarce even for that are kept whole, and the others take their place.
+LEAST_YIELD = 0.1
+#: Rounds in which goals beyond what a value holds are cut.
+CUTS = 6
 SEED = "mix-1"
 #: Stands for null in a dimension.
 NONE = "\x01none"
@@ -42,7 +46,7 @@ def uniform_draw(id_col: Column, seed: str) -> Column:
 
 
 def _marginal(cells: DataFrame, dim: str, target: Target) -> DataFrame:
-    """(dim value, goal): target shares over the values that hold tokens; they add up to one.
+    """(dim value, goal, share): target shares over the values that hold tokens, and present ones; both add up to one.
 
     Values not listed share what the listed ones leave, by their tokens.  Where
     the listed shares leave nothing, the others, null included, keep their
@@ -62,55 +66,85 @@ def _marginal(cells: DataFrame, dim: str, target: Target) -> DataFrame:
             raw = F.coalesce("w", F.lit(left) * F.col("t") / F.col("rest"))
         else:
             raw = F.coalesce("w", F.col("share") * F.col("t") / F.col("listed"), F.col("t").cast("double"))  # the last where no listed value holds tokens
-    weights = held.select(dim, raw.alias("goal")).filter("goal > 0")
-    total = weights.agg(F.sum("goal").alias("all"))  # one row
-    return weights.join(F.broadcast(total)).select(dim, (F.col("goal") / F.col("all")).alias("goal"))
-
-
-def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``factor``: the product of one factor for each dimension's value.
-
-    ``cells`` has the dimensions and ``tokens``.  A round fits the dimensions one
-    after the other; what it keeps is a table of factors (as long as a dimension
-    has values), reread after each round, so plans stay flat.  Values with target
-    0 or without tokens get factor 0.
+    weights = held.select(dim, raw.alias("goal"), "t")
+    total = weights.agg(F.sum("goal").alias("all"), F.sum("t").alias("tokens"))  # one row
+    shares = weights.join(F.broadcast(total)).select(dim, (F.col("goal") / F.col("all")).alias("goal"), (F.col("t") / F.col("tokens")).alias("share"))
+    return shares.filter("goal > 0")
+
+
+def _yield(goals: dict[str, DataFrame], targets: dict[str, Target], least: float) -> float:
+    """The share of all tokens that the sample holds; one row for each dimension with listed values."""
+    listed = [goals[d].agg(F.min(F.col("share") / F.col("goal"))).first()[0] for d, t in targets.items() if isinstance(t, dict)]
+    return max(least, min([1.0, *[MARGIN * x for x in listed if x is not None]]))
+
+
+def _available(goals: DataFrame, part: float) -> DataFrame:
+    """Goals cut to what a value holds at this yield; the others grow in proportion."""
+    cap, goal = F.col("share") / F.lit(part), F.col("goal")
+    for _ in range(CUTS):
+        over, held, free = goals.agg(
+            F.count(F.when(goal > cap, 1)), F.coalesce(F.sum(F.when(goal >= cap, cap)), F.lit(0.0)), F.sum(F.when(goal < cap, goal))
+        ).first()
+        if not over:
+            break
+        goals = goals.withColumn("goal", F.when(goal >= cap, cap).otherwise(goal * F.lit((1.0 - held) / free if free else 0.0)))
+    return goals
+
+
+def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS, least_yield: float = LEAST_YIELD) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cells with ``probability``, and for each dimension (value, goal, share, reached).
+
+    ``cells`` has the dimensions and ``tokens``.  A cell's probability is the
+    yield times one factor for each dimension's value, at most 1.  A round fits
+    the dimensions one after the other, cut cells included, so that what scarce
+    cells cannot give comes from others of the same value.  What a round keeps
+    is a table of factors (as long as a dimension has values), reread after
+    each, so plans stay flat.  ``reached`` are the shares of the expected
+    sample, to be held against the goals.  Values with target 0 get probability
+    0, those without tokens have no goal.
     """
     dims = list(targets)
-    goals = {d: materialize(_marginal(cells, d, t), f"mix-goal-{d}") for d, t in targets.items()}
-    factors = {d: goals[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in dims}
-
-    def weighted(leave: str | None) -> DataFrame:
-        out = cells
-        for d in dims:
-            if d != leave:
-                out = out.join(factors[d], d)
-        return out.withColumn("mass", reduce(lambda a, b: a * b, [F.col(f"f_{d}") for d in dims if d != leave], F.col("tokens").cast("double")))
-
-    for _ in range(rounds):
-        for d in dims:
-            mass = weighted(d).groupBy(d).agg(F.sum("mass").alias("mass"))
-            fitted = goals[d].join(mass, d).select(d, F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(0.0).alias(f"f_{d}"))
-            factors[d] = materialize(fitted, f"mix-factor-{d}")
-    out = cells
+    with temporary(cells.sparkSession) as write:
+        goals = {d: write(_marginal(cells, d, t), f"mix-goal-{d}") for d, t in targets.items()}
+        part = _yield(goals, targets, least_yield)
+        goals = {d: materialize(_available(g, part), f"mix-goal-{d}") for d, g in goals.items()}
+        total = cells.agg(F.sum("tokens")).first()[0] or 0
+        factors = {d: goals[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in dims}
+
+        def fitted() -> DataFrame:
+            out = cells
+            for d in dims:
+                out = out.join(factors[d], d, "left")
+            chance = reduce(lambda a, b: a * b, [F.coalesce(f"f_{d}", F.lit(0.0)) for d in dims], F.lit(part))
+            return out.withColumn("probability", F.least(F.lit(1.0), chance))
+
+        for _ in range(rounds):
+            for d in dims:
+                mass = fitted().groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")).alias("mass"))
+                wanted = F.col("goal") * F.lit(part * total)
+                grown = F.when(F.col("mass") > 0, F.col(f"f_{d}") * wanted / F.col("mass")).otherwise(0.0)
+                factors[d] = write(goals[d].join(factors[d], d).join(mass, d).select(d, grown.alias(f"f_{d}")), f"mix-factor-{d}")
+        out = materialize(fitted().select(*dims, "tokens", "probability"), "mix-cells")
+    whole = out.agg(F.sum(F.col("tokens") * F.col("probability")).alias("whole"))
+    report = {}
     for d in dims:
-        out = out.join(factors[d], d, "left")
-    factor = reduce(lambda a, b: a * b, [F.coalesce(f"f_{d}", F.lit(0.0)) for d in dims])
-    return materialize(out.select(*dims, "tokens", factor.alias("factor")), "mix-cells")
-
-
-def _scale(raked: DataFrame, keep: float) -> float | None:
-    """The scale at which capped probabilities give the wanted tokens; one small row for each round."""
-    mass = F.col("tokens") * F.col("factor")
-    total, weight = raked.agg(F.sum(F.col("tokens").cast("double")), F.sum(mass)).first()
-    if not weight:
-        return None
-    scale = keep * total / weight
-    for _ in range(SCALE_ROUNDS):
-        capped = F.col("factor") * F.lit(scale) >= 1
-        whole, free = raked.agg(F.sum(F.when(capped, F.col("tokens").cast("double")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(mass))).first()
-        if free:
-            scale = max(scale, (keep * total - whole) / free)
-    return scale
+        mass = out.groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")).alias("mass"))
+        report[d] = goals[d].join(mass, d).join(F.broadcast(whole)).select(d, "goal", "share", (F.col("mass") / F.col("whole")).alias("reached"))
+    return out, report
+
+
+def _chances(rows: DataFrame, targets: dict[str, Target], rounds: int, least_yield: float) -> DataFrame:
+    """(dimensions..., probability) of each cell of ``rows``."""
+    names = list(targets)
+    cells = materialize(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-counts")
+    raked, _ = rake(cells, targets, rounds, least_yield)
+    unwanted = [F.col(d).isin([k for k, v in t.items() if not v]) for d, t in targets.items() if isinstance(t, dict)]
+    untouched = (F.col("tokens") == 0) & (F.col("probability") == 0) & ~reduce(lambda a, b: a | b, unwanted, F.lit(False))
+    return materialize(raked.select(*names, F.when(untouched, 1.0).otherwise(F.col("probability")).alias("probability")), "mix-chances")
+
+
+def _values(dims: dict[str, Column], names: list[str]) -> list[Column]:
+    return [F.coalesce(dims[d].cast("string"), F.lit(NONE)).alias(d) for d in names]
 
 
 def mix(
@@ -121,41 +155,48 @@ def mix(
     seed: str = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: float = KEEP,
+    least_yield: float = LEAST_YIELD,
 ) -> DataFrame:
     """(doc_id, tokens, dimensions..., probability, sampled), one row for each input row.
 
     Token weights of the cells (source x language x topic) are raked to the
-    marginals.  A document's probability is its cell's factor times one scale,
-    at most 1; the scale is such that the sample holds ``keep`` of all tokens in
-    expectation.  Cells too scarce for their weight are kept whole, the others
-    stand to each other as raked.  The draw depends on seed and id alone, hence
-    not on partitions or retries.
+    marginals, see ``rake``; a document's probability is its cell's.  The
+    expected sample is as large as the listed weights allow.  The draw depends
+    on seed and id alone, hence not on partitions or retries.
 
     Null dimension values form a value of their own; null or empty texts have no
     tokens and take their cell's probability (1 where the cell and its value, or
     all rows, have none); values that no target lists stay in the sample, see
-    ``_marginal``; equal ids get equal draws; an empty table gives an empty result.
+    ``_marginal``; equal ids get equal draws, a null id that of an empty string;
+    repeated rows are drawn alike; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     names = list(targets)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        n_words(F.col(text_col)).alias("tokens"),
-        *[F.coalesce(dims[d].cast("string"), F.lit(NONE)).alias(d) for d in names],
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("tokens"), *_values(dims, names))
     rows = materialize(rows, "mix-rows")
-    cells = materialize(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-counts")
-    raked = rake(cells, targets, rounds)
-    scale = _scale(raked, keep)
-    unwanted = [F.col(d).isin([k for k, v in t.items() if not v]) for d, t in targets.items() if isinstance(t, dict)]
-    untouched = (F.col("tokens") == 0) & (F.col("factor") == 0) & ~reduce(lambda a, b: a | b, unwanted, F.lit(False))
-    chance = F.when(untouched, 1.0).otherwise(F.least(F.lit(1.0), F.col("factor") * F.lit(scale))) if scale else F.lit(1.0)
-    scale = raked.select(*names, chance.alias("probability"))
-    return rows.join(scale, names, "left").select(
+    chances = _chances(rows, targets, rounds, least_yield)
+    return rows.join(chances, names, "left").select(
         "doc_id", "tokens", *names, "probability", (uniform_draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled")
     )
 
 
+def sample(
+    docs: DataFrame,
+    targets: dict[str, Target],
+    dims: dict[str, Column],
+    rounds: int = ROUNDS,
+    seed: str = SEED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least_yield: float = LEAST_YIELD,
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, with all their columns: drawn where they are read, no text is shuffled."""
+    names = list(targets)
+    chances = _chances(docs.select(n_words(F.col(text_col)).alias("tokens"), *_values(dims, names)), targets, rounds, least_yield)
+    marked = docs.select(F.struct("*").alias("__row"), uniform_draw(F.col(id_col), seed).alias("__draw"), *_values(dims, names))
+    return marked.join(chances, names, "left").filter("__draw < probability").select("__row.*")
+
+
 #: Production mixture: tempered sources, listed languages and topics.
 TARGETS: dict[str, Target] = {
     "source": 0.7,
@@ -187,30 +228,33 @@ c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FRO
         else:
             listed, raw = "NULL", f"pow(t, {float(target)!r}::DOUBLE)"
         parts.append(
-            f"g_{dim} AS MATERIALIZED (SELECT {dim}, goal / sum(goal) OVER () AS goal FROM (SELECT {dim}, {raw} AS goal FROM "
-            f"(SELECT {dim}, t, {listed} AS w FROM (SELECT {dim}, sum(tokens) AS t FROM c GROUP BY 1) WHERE t > 0)) WHERE goal > 0)"
+            f"g_{dim} AS MATERIALIZED (SELECT * FROM (SELECT {dim}, goal / sum(goal) OVER () AS goal, t / sum(t) OVER () AS share FROM (SELECT {dim}, t, {raw} AS goal FROM "
+            f"(SELECT {dim}, t, {listed} AS w FROM (SELECT {dim}, sum(tokens) AS t FROM c GROUP BY 1) WHERE t > 0))) WHERE goal > 0)"
         )
-    now = {dim: f"(SELECT {dim}, 1.0::DOUBLE AS f FROM g_{dim})" for dim in dims}
+    ratios = " UNION ALL ".join(f"SELECT min(share / goal) AS r FROM g_{d}" for d, t in targets.items() if isinstance(t, dict))
+    parts.append(f"y AS MATERIALIZED (SELECT greatest({LEAST_YIELD!r}::DOUBLE, least(1.0, {MARGIN!r}::DOUBLE * min(r))) AS y, (SELECT sum(tokens) FROM c) AS total FROM ({ratios}))")
+    now = {}
+    for dim in dims:
+        for k in range(CUTS):
+            before = f"g_{dim}{k}" if k else f"g_{dim}"
+            parts.append(
+                f"g_{dim}{k + 1} AS MATERIALIZED (SELECT {dim}, CASE WHEN count(*) FILTER (goal > share / y) OVER () = 0 THEN goal WHEN goal >= share / y THEN share / y "
+                f"ELSE goal * (1 - coalesce(sum(CASE WHEN goal >= share / y THEN share / y END) OVER (), 0)) / sum(CASE WHEN goal < share / y THEN goal END) OVER () END AS goal, share FROM {before}, y)"
+            )
+        now[dim] = f"(SELECT {dim}, 1.0::DOUBLE AS f FROM g_{dim}{CUTS})"
+    chance = "least(1.0, y * " + " * ".join(f"coalesce(x_{d}.f, 0)" for d in dims) + ")"
+
+    def joins() -> str:
+        return "CROSS JOIN y " + " ".join(f"LEFT JOIN {now[d]} x_{d} ON c.{d} = x_{d}.{d}" for d in dims)
+
     for k in range(rounds):
         for dim in dims:
-            others = [o for o in dims if o != dim]
-            mass = " * ".join(["tokens", *[f"x_{o}.f" for o in others]])
-            joins = " ".join(f"JOIN {now[o]} x_{o} ON c.{o} = x_{o}.{o}" for o in others)
             parts.append(
-                f"f_{dim}{k} AS MATERIALIZED (SELECT g.{dim}, CASE WHEN m > 0 THEN goal / m ELSE 0 END AS f FROM g_{dim} g JOIN "
-                f"(SELECT c.{dim}, sum({mass}) AS m FROM c {joins} GROUP BY 1) s ON g.{dim} = s.{dim})"
+                f"f_{dim}{k} AS MATERIALIZED (SELECT g.{dim}, CASE WHEN m > 0 THEN o.f * goal * (y * total) / m ELSE 0 END AS f FROM g_{dim}{CUTS} g JOIN {now[dim]} o ON o.{dim} = g.{dim} "
+                f"JOIN (SELECT c.{dim}, sum(tokens * {chance}) AS m FROM c {joins()} GROUP BY 1) s ON g.{dim} = s.{dim} CROSS JOIN y)"
             )
             now[dim] = f"f_{dim}{k}"
-    factor = " * ".join(f"coalesce(x_{d}.f, 0)" for d in dims)
-    joins = " ".join(f"LEFT JOIN {now[d]} x_{d} ON c.{d} = x_{d}.{d}" for d in dims)
-    parts.append(f"r AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, {factor} AS f FROM c {joins})")
-    parts.append(f"s0 AS MATERIALIZED (SELECT {KEEP!r}::DOUBLE * sum(tokens) / nullif(sum(tokens * f), 0) AS s FROM r)")
-    for k in range(SCALE_ROUNDS):
-        parts.append(
-            f"s{k + 1} AS MATERIALIZED (SELECT greatest(min(s), ({KEEP!r}::DOUBLE * sum(tokens) - sum(CASE WHEN f * s >= 1 THEN tokens ELSE 0 END)) "
-            f"/ nullif(sum(CASE WHEN f * s >= 1 THEN 0 ELSE tokens * f END), 0)) AS s FROM r, s{k})"
-        )
-    parts.append(f"p AS (SELECT source, lang, topic, coalesce(least(1.0, f * s), 1.0) AS p FROM r, s{SCALE_ROUNDS})")
+    parts.append(f"p AS (SELECT c.source, c.lang, c.topic, {chance} AS p FROM c {joins()})")
     draw = f"('0x' || substr(sha256('{seed}:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, tokens, source, lang, topic, round(p, 6) AS probability, {draw} < p AS sampled "

@@ -7,21 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .scratch import materialize
-from .words import texts_of
+from .scratch import Write, materialize, temporary
 
 WINDOW = 5
 #: A sketch bucket spans this ratio: quantiles are right to 2 %.
 GAMMA = 1.02
 #: Groups with fewer rows use the sketch of their language, then that of all rows.
 MIN_ROWS = 50
-#: metric: (quantile, spread from the median to it that is still allowed, least threshold), all per mille
+#: Quantiles of a group's sketch: its spread below and above the median.
+LOW, HIGH = 0.1, 0.9
+#: metric: (spreads from the median that are still allowed, limit of a group without spread), the latter per mille
 METRICS = {
-    "symbols": (0.90, 4.0, 100),
-    "dup_lines": (0.90, 4.0, 300),
-    "repeats": (0.90, 4.0, 100),
-    "word_size": (0.90, 4.0, 12000),
+    "symbols": (4.0, 100),
+    "dup_lines": (4.0, 300),
+    "repeats": (4.0, 100),
+    "word_size": (4.0, 12000),
 }
 #: Metrics whose junk a base rule fails at any limit.
 BASE_RULED = {"repeats"}
@@ -62,12 +64,15 @@ class _Ids(dict):
         return value
 
 
-def _signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SIGNALS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+
+
+def _signals(batches: Iterator[pa.RecordBatch], text_at: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     drop = bytes(i for i in range(256) if 0x80 <= i < 0xC0)  # continuation bytes: what is left counts code points
     other = bytes(i for i in range(256) if i not in b"#*$%&|<>")
     for batch in batches:
         out: list[tuple[int, ...]] = []
-        for text in texts_of(batch, "text"):
+        for text in batch.column(text_at).cast(pa.binary()).to_pylist():
             text = text or b""
             words = text.split()
             n = len(words)
@@ -76,25 +81,28 @@ def _signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = [x for x in text.split(b"\n") if x and not x.isspace()]
             chars = sum(map(len, words)) if text.isascii() else len(b"".join(words).translate(None, drop))
             out.append((n, chars, len(text.translate(None, other)), len(lines), len(lines) - len(set(lines)), _repeated_words(ids)))
-        cols = np.array(out, dtype=np.int64).reshape(-1, 6).T
-        keep = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
-        names = [f.name for f in batch.schema if f.name != "text"]
+        cols = np.array(out, dtype=np.int64).reshape(-1, len(SIGNALS)).T
+        kept = [i for i in range(batch.num_columns) if keep_text or i != text_at]
         yield pa.RecordBatch.from_arrays(
-            [*keep, *[pa.array(c) for c in cols]],
-            names=[*names, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"],
+            [*[batch.column(i) for i in kept], *[pa.array(c) for c in cols]], names=[*[batch.schema.names[i] for i in kept], *SIGNALS]
         )
 
 
+def _with_signals(rows: DataFrame, text_col: str, keep_text: bool) -> DataFrame:
+    """``rows``, with or without the text, and the signals; texts stay in their task."""
+    at = rows.columns.index(text_col)
+    fields = [f for f in rows.schema.fields if keep_text or f.name != text_col]
+    schema = StructType([*fields, *[StructField(c, LongType()) for c in SIGNALS]])
+    return rows.mapInArrow(lambda batches: _signals(batches, at, keep_text), schema)
+
+
+def _groups(group_cols: tuple[str, ...]) -> list[Column]:
+    return [F.coalesce(F.col(g).cast("string"), F.lit("\x01none")).alias(f"g{i}") for i, g in enumerate(group_cols)]
+
+
 def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(doc_id, groups..., n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words); texts stay in their task."""
-    part = docs.select(
-        F.col(id_col).alias("doc_id"),
-        *[F.coalesce(F.col(g).cast("string"), F.lit("\x01none")).alias(f"g{i}") for i, g in enumerate(group_cols)],
-        F.col(text_col).alias("text"),
-    )
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema if f.name != "text")
-    counts = ", ".join(f"{c} bigint" for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))
-    return part.mapInArrow(_signals, f"{kept}, {counts}")
+    """(doc_id, groups..., n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)."""
+    return _with_signals(docs.select(F.col(id_col).alias("doc_id"), *_groups(group_cols), F.col(text_col).alias("text")), "text", False)
 
 
 def _per_mille() -> dict[str, Column]:
@@ -111,7 +119,7 @@ def _bucket(value: Column) -> Column:
     return F.when(value < 1, F.lit(-1)).otherwise(F.ceil(F.log(value.cast("double")) / F.lit(float(np.log(GAMMA))))).cast("int")
 
 
-def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
+def thresholds(rows: DataFrame, groups: list[str], write: Write = materialize) -> DataFrame:
     """(groups..., metric, size, p10, p50, p90) for each grouping level, from bucket counts.
 
     The sketch is a logarithmic histogram: counts by bucket, merged by addition
@@ -122,7 +130,7 @@ def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
         *groups,
         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _bucket(v).alias("bucket")) for m, v in _per_mille().items()])).alias("x"),
     ).select(*groups, "x.metric", "x.bucket")
-    finest = materialize(stacked.groupBy(*groups, "metric", "bucket").agg(F.count(F.lit(1)).alias("n")), "quality-sketch")
+    finest = write(stacked.groupBy(*groups, "metric", "bucket").agg(F.count(F.lit(1)).alias("n")), "quality-sketch")
     out = None
     for level in levels:
         cells = finest.groupBy(*level, "metric", "bucket").agg(F.sum("n").alias("n"))
@@ -147,15 +155,56 @@ def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
             *[F.col(g) if g in level else F.lit(None).cast("string").alias(g) for g in groups],
             "metric",
             "size",
-            quantile(0.1).alias("p10"),
+            quantile(LOW).alias("p10"),
             quantile(0.5).alias("p50"),
-            quantile(0.9).alias("p90"),
+            quantile(HIGH).alias("p90"),
             F.lit(len(level)).alias("level"),
         )
         out = found if out is None else out.unionAll(found)
     return out
 
 
+def limits(rows: DataFrame, groups: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
+    """(groups..., limit of each metric), one row for each group, written to the shared folder.
+
+    ``rows`` has the groups and the signals.  Small groups have no sketch of
+    their own and take the limit of the next wider one; ``least`` and
+    ``greatest`` skip its nulls.
+    """
+    with temporary(rows.sparkSession) as write:
+        sketch = write(thresholds(rows, groups, write), "quality-quantiles")
+        above, below = F.col("p90") - F.col("p50"), F.col("p50") - F.col("p10")
+        out = sketch.filter(F.col("level") == len(groups)).select(*groups).distinct()
+        for k in range(len(groups), -1, -1):
+            wide = sketch.filter((F.col("level") == k) & (F.col("size") >= (min_rows if k else 0)))
+            wide = wide.groupBy(*groups[:k]).agg(
+                *[
+                    F.max(F.when(F.col("metric") == m, F.greatest(F.lit(float(least)), F.col("p50") + spread * width))).alias(f"{name}{k}_{m}")
+                    for m, (spread, least) in METRICS.items()
+                    for name, width in (("t", above), ("f", above if m in BASE_RULED else below))
+                ]
+            )
+            out = out.join(wide, groups[:k], "left") if k else out.join(F.broadcast(wide), how="left")  # the last has one row
+
+        def limit(m: str) -> Column:
+            found = F.least(f"t0_{m}", f"f0_{m}")
+            for k in range(1, len(groups) + 1):
+                found = F.least(f"t{k}_{m}", F.greatest(f"f{k}_{m}", found))
+            return found.alias(f"limit_{m}")
+
+        return materialize(out.select(*groups, *[limit(m) for m in METRICS]), "quality-limits")
+
+
+def _judged(rows: DataFrame, found: DataFrame, groups: list[str]) -> DataFrame:
+    """``rows`` with (base_failed, kept, reasons).  The limits are as many rows as there are groups; Spark broadcasts them by their size."""
+    values = _per_mille()
+    reasons = F.filter(F.array(*[F.when(values[m] > F.col(f"limit_{m}"), F.lit(m)) for m in METRICS]), lambda x: x.isNotNull())
+    base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    return rows.join(found, groups, "left").withColumns(
+        {"base_failed": base, "kept": ~base & (F.size(reasons) == 0), "reasons": F.array_join(reasons, ",")}
+    )
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -168,9 +217,9 @@ def quality_rules(
     Base rules fail texts of under 10 words or with over 20 % of words in
     repeated windows.  Then each metric of a row is held against the limit of
     its language and source: median + 4 x (90th percentile - median), never
-    under the metric's least threshold; the limit of small groups is that of the
-    language, then that of all rows.  Only what stands far out of its own
-    group's distribution goes, so clean documents stay.
+    under what a group without any spread is allowed; the limit of small groups
+    is that of the language, then that of all rows.  Only what stands far out of
+    its own group's distribution goes, so clean documents stay.
 
     Where over a tenth of a group is junk, its 90th percentile is junk as well.
     So for metrics that no base rule bounds, this limit holds only as far as the
@@ -180,61 +229,30 @@ def quality_rules(
     its own limit; the tail of one that is mostly low does not set it.
 
     Null text is empty (and fails the base rules); null groups form one of their
-    own; repeated rows are judged alike; an empty table gives an empty result.
+    own; repeated rows are judged alike; an empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     rows = materialize(signals(docs, id_col, text_col, group_cols), "quality-signals")
     groups = [f"g{i}" for i in range(len(group_cols))]
-    sketch = materialize(thresholds(rows, groups), "quality-limits")
-    above, below = F.col("p90") - F.col("p50"), F.col("p50") - F.col("p10")
-    limits = None
-    for k in range(len(groups), -1, -1):
-        wide = (
-            sketch.filter((F.col("level") == k) & (F.col("size") >= (min_rows if k else 0)))
-            .groupBy(*groups[:k])
-            .agg(
-                *[
-                    F.max(F.when(F.col("metric") == m, F.greatest(F.lit(float(least)), F.col("p50") + spread * width))).alias(f"{name}{k}_{m}")
-                    for m, (_, spread, least) in METRICS.items()
-                    for name, width in (("t", above), ("f", above if m in BASE_RULED else below))
-                ]
-            )
-        )
-        limits = (limits or []) + [(k, wide)]
-    joined = rows
-    for k, wide in limits:
-        # The last has one row; the others are as long as there are groups, and joined by their own size.
-        joined = joined.join(wide, groups[:k], "left") if k else joined.join(F.broadcast(wide), how="left")
-    values = _per_mille()
-
-    def limit(m: str) -> Column:
-        out = F.least(f"t0_{m}", f"f0_{m}")
-        for k in range(1, len(groups) + 1):
-            out = F.least(f"t{k}_{m}", F.greatest(f"f{k}_{m}", out))  # both skip the nulls of small groups
-        return out
-
-    reasons = F.filter(
-        F.array(
-            *[
-                F.when(values[m] > limit(m), F.lit(m))
-                for m in METRICS
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
-    base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return joined.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        base.alias("base_failed"),
-        (~base & (F.size(reasons) == 0)).alias("kept"),
-        F.array_join(reasons, ",").alias("reasons"),
+    return _judged(rows, limits(rows, groups, min_rows), groups).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons"
     )
 
 
+def keep_good(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), min_rows: int = MIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    Each text is read once for the sketches and once to be judged where it
+    lies, so rows are decided one by one and no text is shuffled.
+    """
+    groups = [f"g{i}" for i in range(len(group_cols))]
+    found = limits(_with_signals(docs.select(*_groups(group_cols), F.col(text_col).alias("text")), "text", False), groups, min_rows)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *_groups(group_cols))
+    good = _judged(_with_signals(rows, names[docs.columns.index(text_col)], True), found, groups).filter("kept")
+    return good.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
 def quality_sql(table: str = "documents") -> str:
     """DuckDB SQL of the registered query."""
     metric_rows = {
@@ -244,13 +262,18 @@ def quality_sql(table: str = "documents") -> str:
         "word_size": "floor(word_chars * 1000 / greatest(n_words, 1))",
     }
     union = " UNION ALL ".join(f"SELECT row_no, lang, source, '{m}' AS metric, {e} AS v FROM s" for m, e in metric_rows.items())
-    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x[2]}.0::DOUBLE" for m, x in METRICS.items()) + " END"
+    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x[1]}.0::DOUBLE" for m, x in METRICS.items()) + " END"
+
+    ruled = ", ".join(f"'{m}'" for m in sorted(BASE_RULED))
+    limit = "least(t2.t, greatest(t2.f, least(t1.t, greatest(t1.f, least(t0.t, t0.f)))))"  # nulls of small groups are skipped
 
     def level(name: str, keys: str, at_least: int) -> str:
         group = f"{keys}, " if keys else ""
         return f"""{name} AS (
-  SELECT {group}metric, greatest({least}, p50 + 4.0 * (p90 - p50)) AS t FROM (
+  SELECT {group}metric, greatest({least}, p50 + 4.0 * (p90 - p50)) AS t,
+         CASE WHEN metric IN ({ruled}) THEN greatest({least}, p50 + 4.0 * (p90 - p50)) ELSE greatest({least}, p50 + 4.0 * (p50 - p10)) END AS f FROM (
     SELECT {group}metric, max(size) AS size,
+      max(CASE WHEN run >= ceil(size * 0.1::DOUBLE) AND run - n < ceil(size * 0.1::DOUBLE) THEN q END) AS p10,
       max(CASE WHEN run >= ceil(size * 0.5::DOUBLE) AND run - n < ceil(size * 0.5::DOUBLE) THEN q END) AS p50,
       max(CASE WHEN run >= ceil(size * 0.9::DOUBLE) AND run - n < ceil(size * 0.9::DOUBLE) THEN q END) AS p90 FROM (
       SELECT {group}metric, n, CASE WHEN bucket < 0 THEN 0.0 ELSE pow({GAMMA!r}::DOUBLE, bucket::DOUBLE) END AS q,
@@ -274,7 +297,7 @@ b AS (SELECT *, CASE WHEN v < 1 THEN -1 ELSE ceil(ln(v) / {float(np.log(GAMMA))!
 {level("t2", "lang, source", MIN_ROWS)},
 {level("t1", "lang", MIN_ROWS)},
 {level("t0", "", 0)},
-bad AS (SELECT row_no, count(*) FILTER (v > coalesce(t2.t, t1.t, t0.t)) AS n FROM m
+bad AS (SELECT row_no, count(*) FILTER (v > {limit}) AS n FROM m
         LEFT JOIN t2 ON m.lang = t2.lang AND m.source = t2.source AND m.metric = t2.metric
         LEFT JOIN t1 ON m.lang = t1.lang AND m.metric = t1.metric LEFT JOIN t0 ON m.metric = t0.metric GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

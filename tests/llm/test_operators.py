@@ -123,7 +123,7 @@ def test_url_filter(spark, sf_dir):
     assert url_filter.filter_urls(frame.limit(0), url_filter.RULES).count() == 0
 
 
-def test_quality(docs, texts, awkward, empty):
+def test_quality(docs, texts, awkward, empty, sf_dir):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for i, t in texts.items():
         w = WORD.findall(t or "")
@@ -135,7 +135,7 @@ def test_quality(docs, texts, awkward, empty):
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
         assert not (r.base_failed and r.kept)
-    clean = {r.doc_id for r in docs.sparkSession.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
+    clean = {r.doc_id for r in docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
     passed = [i for i in clean if not got[i].base_failed]
     assert sum(got[i].kept for i in passed) >= 0.97 * len(passed)
     rows = quality.quality_rules(awkward).collect()
@@ -277,6 +277,7 @@ def test_line_dedup(docs, texts, awkward, empty):
                 sites[x.strip(" \t\n\r\x0b\f")].add(source[i])
     bad = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
     got = {r.doc_id: (r.n_removed, r.clean_text) for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert got == {r.doc_id: (r.n_removed, r.clean_text) for r in line_dedup.remove_boilerplate(docs, in_place=0).collect()}
     for i, t in texts.items():
         lines = (t or "").split("\n")
         kept = [x for x in lines if x.strip(" \t\n\r\x0b\f") not in bad]
@@ -287,16 +288,91 @@ def test_line_dedup(docs, texts, awkward, empty):
     assert line_dedup.remove_boilerplate(empty).count() == 0
 
 
+def brute_mixing(cells, targets, rounds=mixing.ROUNDS):
+    """(probability of each cell, goals and shares reached of each dimension), in plain Python."""
+    total = sum(cells.values())
+    goals, share = [], []
+    for k, target in enumerate(targets.values()):
+        held = defaultdict(float)
+        for cell, t in cells.items():
+            held[cell[k]] += t
+        held = {v: t for v, t in held.items() if t}
+        if isinstance(target, dict):
+            rest = sum(t for v, t in held.items() if v not in target)
+            left = max(0.0, 1 - sum(target.values()))
+            listed = sum(t for v, t in held.items() if target.get(v))
+            share_of_rest = (lambda v: left * held[v] / rest) if left > 1e-9 else (lambda v: sum(target[x] for x in held if x in target) * held[v] / listed)
+            goal = {v: target[v] if v in target else share_of_rest(v) for v in held}
+        else:
+            goal = {v: t**target for v, t in held.items()}
+        whole = sum(goal.values())
+        goals.append({v: g / whole for v, g in goal.items() if g})
+        share.append({v: t / sum(held.values()) for v, t in held.items()})
+    listed = [s[v] / g for gs, s, t in zip(goals, share, targets.values()) if isinstance(t, dict) for v, g in gs.items()]
+    part = max(mixing.LEAST_YIELD, min(1.0, mixing.MARGIN * min(listed)))
+    for gs, s in zip(goals, share):
+        for _ in range(mixing.CUTS):
+            over = {v for v, g in gs.items() if g > s[v] / part}
+            if not over:
+                break
+            full = {v for v, g in gs.items() if g >= s[v] / part}
+            free = sum(g for v, g in gs.items() if v not in full)
+            scale = (1 - sum(s[v] / part for v in full)) / free if free else 0
+            gs.update({v: s[v] / part if v in full else g * scale for v, g in gs.items()})
+    factor = [dict.fromkeys(gs, 1.0) for gs in goals]
+    chance = lambda cell: min(1.0, part * math.prod(f.get(v, 0.0) for f, v in zip(factor, cell)))
+    for _ in range(rounds):
+        for k, gs in enumerate(goals):
+            mass = defaultdict(float)
+            for cell, t in cells.items():
+                mass[cell[k]] += t * chance(cell)
+            factor[k] = {v: factor[k][v] * g * part * total / mass[v] if mass[v] else 0.0 for v, g in gs.items()}
+    out = {cell: chance(cell) for cell in cells}
+    whole = sum(t * out[cell] for cell, t in cells.items())
+    reached = [{v: sum(t * out[c] for c, t in cells.items() if c[k] == v) / whole for v in gs} for k, gs in enumerate(goals)]
+    return out, goals, reached
+
+
+def test_mixing_meets_all_marginals(spark):
+    """With a scarce topic, a hot source and cells that are cut at one; against brute force."""
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for k in range(6000):
+        lang = ["en"] * 12 + ["fr", "de", "es"] * 2
+        text = "1 2 3 4 5 6 7 8 9 10" if rnd.random() < 1 / 60 else "one two three four five six seven eight nine ten"
+        rows.append((k, text + " x" * (k % 7), rnd.choice(lang), f"s{0 if rnd.random() < 0.4 else rnd.randrange(11)}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(frame, mixing.TARGETS, mixing.production_dims()).collect()
+    cells = defaultdict(int)
+    for r in out:
+        cells[r.source, r.lang, r.topic] += r.tokens
+    want, goals, reached = brute_mixing(cells, mixing.TARGETS)
+    for r in out:
+        assert r.probability == pytest.approx(want[r.source, r.lang, r.topic], rel=1e-6)
+    whole = sum(r.tokens * r.probability for r in out)
+    for k, dim in enumerate(mixing.TARGETS):
+        for v, goal in goals[k].items():
+            got = sum(r.tokens * r.probability for r in out if r[dim] == v) / whole
+            assert got == pytest.approx(goal, rel=0.01) and got == pytest.approx(reached[k][v], rel=1e-6)
+    for v, share in mixing.TARGETS["lang"].items():  # no symbols here, so the two topics share the whole
+        assert sum(r.tokens * r.probability for r in out if r.lang == v) / whole == pytest.approx(share, rel=0.01)
+    assert any(r.probability == 1 for r in out)
+    # The sample itself, and that the pipeline's form draws the same documents.
+    ids = {r.doc_id for r in out if r.sampled}
+    assert abs(sum(r.tokens for r in out if r.sampled) / whole - 1) < 0.1
+    drawn = mixing.sample(frame, mixing.TARGETS, mixing.production_dims())
+    assert drawn.columns == frame.columns and {r.doc_id for r in drawn.collect()} == ids
+
+
 def test_mixing(docs, awkward, empty):
-    out = mixing.mix(docs, mixing.TARGETS, mixing.production_dims()).collect()
-    total = sum(r.tokens for r in out)
-    assert sum(r.tokens * r.probability for r in out) == pytest.approx(mixing.KEEP * total, rel=1e-3)
-    assert all(r.sampled for r in out if r.probability == 1.0)
-    assert abs(sum(r.tokens for r in out if r.sampled) / total - mixing.KEEP) < 0.2
-    cells = docs.groupBy("source", "lang").agg(F.sum(mixing.n_words(F.col("text"))).alias("tokens"))
-    raked = mixing.rake(cells, {k: mixing.TARGETS[k] for k in ("source", "lang")}).collect()
-    for lang, share in mixing.TARGETS["lang"].items():
-        assert sum(r.tokens * r.factor for r in raked if r.lang == lang) == pytest.approx(share, abs=1e-3)
+    cells = docs.select(*[c.alias(d) for d, c in mixing.production_dims().items()], mixing.n_words(F.col("text")).alias("tokens")).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    raked, report = mixing.rake(cells, mixing.TARGETS)
+    want, goals, reached = brute_mixing({(r.source, r.lang, r.topic): r.tokens for r in raked.collect()}, mixing.TARGETS)
+    assert all(r.probability == pytest.approx(want[r.source, r.lang, r.topic], rel=1e-6, abs=1e-9) for r in raked.collect())
+    for k, d in enumerate(mixing.TARGETS):
+        assert {r[d]: (r.goal, r.reached) for r in report[d].collect()} == {v: pytest.approx((g, reached[k][v]), rel=1e-6) for v, g in goals[k].items()}
     rows = mixing.mix(awkward, mixing.TARGETS, mixing.production_dims(), rounds=2).collect()
     assert len(rows) == len(AWKWARD) and all(r.probability is not None for r in rows)
     assert mixing.mix(empty, mixing.TARGETS, mixing.production_dims(), rounds=1).count() == 0
@@ -312,8 +388,6 @@ def test_mixing_keeps_null_and_unlisted_values(spark, awkward):
     dims = {"source": F.col("source"), "lang": F.col("lang")}
     out = mixing.mix(frame, targets, dims, rounds=4).collect()
     assert len(out) == len(rows) and all(r.probability > 0 for r in out)
-    total = sum(r.tokens for r in out)
-    assert sum(r.tokens * r.probability for r in out) == pytest.approx(mixing.KEEP * total, rel=1e-3)
     cells = frame.select(mixing.n_words(F.col("text")).alias("tokens"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang")).groupBy("lang").agg(F.sum("tokens").alias("tokens"))
     goals = {r.lang: r.goal for r in mixing._marginal(cells, "lang", mixing.TARGETS["lang"]).collect()}
     assert goals == pytest.approx({"it": 0.05, mixing.NONE: 0.05} | {k: 0.9 * v for k, v in mixing.TARGETS["lang"].items()})
@@ -368,8 +442,36 @@ def test_ngram_join_of_near_copies(spark):
             rows.append((k, " ".join(words)))
             k += 1
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {tuple(r) for r in ngram_join.similarity_components(frame).collect()}
-    assert got == jaccard_components(dict(rows))
+    want = jaccard_components(dict(rows))
+    assert {tuple(r) for r in ngram_join.similarity_components(frame).collect()} == want
+    # Lists dealt over many buckets give the same links.
+    assert {tuple(r) for r in ngram_join.similarity_components(frame, bucket_bytes=2000, hot_list=2).collect()} == want
+    assert {r.doc_id for r in ngram_join.drop_near_duplicates(frame).collect()} == {i for i, _, c in want if i == c}
+
+
+def test_ngram_join_of_a_group_around_a_text(spark):
+    """Copies with ever more changes: those far from the text they come from are near to nothing, or to some of the others only."""
+    import random
+
+    rnd = random.Random(7)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for _ in range(rnd.randrange(0, 12)):
+            words[rnd.randrange(len(words))] = f"v{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.similarity_components(frame).collect()} == jaccard_components(dict(rows))
+
+
+def test_distinct_shingles_are_estimated():
+    import numpy as np
+
+    hashes = np.unique(np.random.default_rng(1).integers(0, 2**64, 300_000, dtype=np.uint64))
+    assert ngram_join._distinct(hashes[: ngram_join.SMALLEST]) == pytest.approx(len(hashes), rel=0.1)
+    assert ngram_join._distinct(hashes[:50]) == 50
+    assert 1 <= ngram_join.boundary(2.0) < ngram_join.boundary(10.0**7) < 40
 
 
 def test_boundary_is_chosen_by_cost():
@@ -399,7 +501,26 @@ def test_pipeline_stages(spark, docs, texts, sf_dir):
 def test_pipeline_on_awkward_rows(spark, awkward, empty, sf_dir):
     for frame in (awkward, empty):
         now = frame
-        for _, stage in corpus_pipeline.STAGES[:4]:
+        for name, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, sf_dir)
-            assert now.columns == frame.columns
-            now.count()
+            assert now.columns == frame.columns or name == "encoding"
+            assert (now.count() > 0) == (frame is awkward)
+
+
+def test_each_stage_decides_rows_not_ids(spark, sf_dir):
+    """Repeated rows, and different texts under one id."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (1, a), (1, a.replace(" ", "  ")), (2, a), (1, b), (3, b + " tail"), (None, a), (None, None), (None, None), (4, ""), (5, None), (6, "x")]
+    frame = spark.createDataFrame([(i, t, "en", "s", n, "clash") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_words int, key string")
+
+    def kept(stage):
+        out = stage(spark, frame, sf_dir)
+        assert out.columns == frame.columns
+        return Counter((r.doc_id, None if r.text is None else re.sub(" +", " ", r.text)) for r in out.collect())
+
+    whole = [(i, t if t is None else re.sub(" +", " ", t)) for i, t in rows]
+    assert kept(corpus_pipeline.exact_stage) == Counter([(1, a), (1, b), (3, b + " tail"), (4, ""), (6, "x")])
+    near = kept(corpus_pipeline.near_stage)
+    assert near == Counter([(1, a), (1, b), (None, None), (None, None), (4, ""), (5, None), (6, "x")])
+    assert kept(corpus_pipeline.quality_stage) == Counter(x for x in whole if x[1] and len(x[1].split()) >= 10)
+    assert len(corpus_pipeline.encode_stage(spark, frame, sf_dir).collect()) == len(rows)
