@@ -1,39 +1,43 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing, encoding."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing, encoding.
+
+A stage decides row by row and keeps all columns of ``documents``; the last one
+returns what the encoder does.  Nulls, empty texts, ties and repeated rows are
+decided as the operators' docstrings say; an empty table passes through.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from sparkloom.llm.registry import table, vocabulary
 from sparkloom.llm.scratch import materialize
 
 
-def _keeping(docs: DataFrame, decided: DataFrame, keep: object) -> DataFrame:
-    """The rows of ``docs`` whose id the decision keeps; a null id is an id like others."""
-    ids = materialize(decided.filter(keep).select(F.col("doc_id").alias("__id")).distinct(), "pipeline-kept")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keeping(docs, quality.quality_rules(docs), F.col("kept"))
+    """Rejected documents go, null and empty texts among them; repeated rows fare alike."""
+    return quality.keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keeping(docs, exact_dedup.exact_duplicates(docs), F.col("kept"))
+    """Of equal texts one row stays: that of the smallest id, a null id last; of repeated rows any one."""
+    return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keeping(docs, ngram_join.similarity_components(docs), F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of linked documents one row stays: that of the smallest id, a null id last; texts without words all stay."""
+    return ngram_join.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keeping(docs, mixing.mix(docs, mixing.TARGETS, mixing.production_dims()), F.col("sampled"))
+    """Documents are drawn by their cell's probability; null values are a cell's value like others, equal ids are drawn alike."""
+    return mixing.sample(docs, mixing.TARGETS, mixing.production_dims())
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each document: digests of its ids and of their decoding; a null text has no ids."""
     return bpe.encode(docs, vocabulary(), digests=True)
 
 
