@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .components import connected_components
 from .removal import filter_of, survives, without
 from .scratch import Write, materialize, temporary
-from .words import WordHashes, hash_words, lowered, texts_of, window_hashes
+from .words import WordHashes, hash_words, lowered, small_batches, texts_of, window_hashes
 
 SHINGLE = 5
 #: Jaccard similarity of at least 75 / 100.
@@ -32,6 +32,8 @@ PROBES = 1
 BUCKET_BYTES, HOT_LIST = 8_000_000, 100_000
 #: Members that are compared with one copy of an anchor, and entries of a list that meet each other in one task.
 ANCHOR_MEMBERS, BLOCK = 200, 1000
+#: Texts that a worker takes apart at a time, and list entries that it packs together.
+TEXTS, PACKED = 2000, 500_000
 LAST = (1 << 63) - 1
 
 
@@ -81,8 +83,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SLOTS, np.uint32)
     least = np.empty(0, np.uint64)
     names = ["kind", "doc", "row", "sid", "size", "packed"]
-    for batch in batches:
-        sids, sizes, fresh, low = [], [], [], [least]
+    for batch in small_batches(batches, TEXTS):
+        sids, sizes, fresh, low, held = [], [], [], [least], 0
         seen: set[int] = set()
         edge = least[-1] if len(least) == SMALLEST else ~np.uint64(0)
         for text in texts_of(batch, "text"):
@@ -92,7 +94,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(found))
             if sid is not None and sid not in seen:
                 seen.add(sid)
-                low.append(found[: np.searchsorted(found, edge)])
+                low.append(found[: min(SMALLEST, np.searchsorted(found, edge))])
+                held += len(low[-1])
+                if held > 50 * SMALLEST:
+                    low, held = [np.unique(np.concatenate(low))[:SMALLEST]], 0
+                    edge = low[0][-1] if len(low[0]) == SMALLEST else edge
                 fresh.append((found & np.uint64(SLOTS - 1)).astype(np.int32))
         least = np.unique(np.concatenate(low))[:SMALLEST]
         if fresh:
@@ -358,9 +364,22 @@ def _classes(part: DataFrame, bucket_bytes: int, hot_list: int, write: Write) ->
         cache = WordHashes()
         pack = zstandard.ZstdCompressor(level=1)
         rank, parts = order.value
-        for batch in batches:
+        out: list[np.ndarray] = []
+        size_out = 0
+
+        def packed() -> pa.RecordBatch:
+            e = np.concatenate(out)
+            # A list that may be long is dealt over several buckets by set.
+            part_no = (e["sid"].view(np.uint64) >> np.uint64(7)) % e["parts"].astype(np.uint64)
+            bucket = (((e["key"] >> np.uint64(20)) + part_no * np.uint64(0x9E3779B1)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            e, bucket = e[by], bucket[by]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            blobs = [pack.compress(e[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(e)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], schema=_BUCKETS)
+
+        for batch in small_batches(batches, TEXTS):
             seen: set[int] = set()
-            out: list[np.ndarray] = []
             for text in texts_of(batch, "text"):
                 found = shingles(text, cache)
                 size = len(found)
@@ -374,23 +393,19 @@ def _classes(part: DataFrame, bucket_bytes: int, hot_list: int, write: Write) ->
                     e["key"], e["subset"], e["parts"] = zip(*rows, strict=True)
                     e["sid"], e["size"] = sid, size
                     out.append(e)
+                    size_out += len(e)
                 if size * DEN > light * NUM:  # may have a partner beyond the boundary
                     n = prefix_length(size)
                     e = np.zeros(n, _ENTRY)
                     e["key"], e["pos"] = _order(found, rank)[:n], np.arange(n)
                     e["sid"], e["size"], e["parts"] = sid, size, parts[_slots(e["key"])]
                     out.append(e)
-            if not out:
-                continue
-            e = np.concatenate(out)
-            # A list that may be long is dealt over several buckets by set.
-            part_no = (e["sid"].view(np.uint64) >> np.uint64(7)) % e["parts"].astype(np.uint64)
-            bucket = (((e["key"] >> np.uint64(20)) + part_no * np.uint64(0x9E3779B1)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            e, bucket = e[by], bucket[by]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            blobs = [pack.compress(e[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(e)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], schema=_BUCKETS)
+                    size_out += n
+                if size_out >= PACKED:
+                    yield packed()
+                    out, size_out = [], 0
+        if out:
+            yield packed()
 
     posted = part.select("text").mapInArrow(post, "bucket bigint, packed binary")
     found = write(posted.groupBy("bucket").applyInArrow(_scan, "kind int, x bigint, y bigint, size int, pos int"), "join-found")
