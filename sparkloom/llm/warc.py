@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .scratch import materialize, new_path
-from .words import texts_of
+from .scratch import materialize, new_path, temporary
 
 #: Equal payloads of at least so many bytes are stored once; the others revisit it.
 REVISIT_BYTES = 100
-RECORDS_PER_FILE = 1500
+#: Archives are read as streams of records, so their size bounds no memory, only how far reading is spread.
+RECORDS_PER_FILE = 6000
 END = "\r\n\r\n"
+#: What parts two records: the end of one and the version line of the next.
+BETWEEN = END + "WARC/1."
+#: Bytes of records that leave a reader together.
+BATCH_BYTES = 8_000_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -43,9 +46,7 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
         out: list[str] = []
-        for page, url, html, row, first_row, first_page, digest, size in zip(
-            rows["page_id"], rows["url"], rows["html"], rows["row"], rows["first_row"], rows["first_page"], rows["digest"], rows["size"], strict=True
-        ):
+        for page, url, html, row, first_row, digest, size in zip(*[rows[c] for c in ("page_id", "url", "html", "row", "first_row", "digest", "size")], strict=True):
             uri = _header_safe(url)
             revisit = first_row is not None and first_row != row
             main = _record_id("c", row)
@@ -70,8 +71,6 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 + body
             )
             notes = f"page-id: {'' if page is None else page}\r\npayload-bytes: {size}\r\n"
-            if revisit:
-                notes += f"refers-to-page-id: {'' if first_page is None else first_page}\r\n"
             out.append(_head("metadata", _record_id("e", row), len(notes.encode()), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")]) + notes)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
@@ -90,18 +89,18 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
         F.monotonically_increasing_id().alias("row"),
     ).withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("bigint")})
-    # The number follows the place in the scan, which both uses share.
-    keys = materialize(rows.select("page_id", "row", "digest", "size"), "warc-keys")
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    firsts = materialize(
-        keys.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select("digest", F.col("f.row").alias("first_row"), F.col("f.page_id").alias("first_page")),
-        "warc-firsts",
-    )
-    full = rows.join(firsts, "digest", "left")
-    kind = "page_id bigint, url string, html string, row bigint, first_row bigint, first_page bigint, digest string, size bigint"
-    records = full.select(*[x.split()[0] for x in kind.split(", ")]).mapInArrow(_compose, "value string")
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    with temporary(pages.sparkSession) as write:
+        # Numbered once and written, so that a lost task can't number its rows otherwise.
+        rows = write(rows, "warc-rows")
+        order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+        firsts = write(
+            rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+            .select("digest", F.col("f.row").alias("first_row")),
+            "warc-firsts",
+        )
+        kind = "page_id bigint, url string, html string, row bigint, first_row bigint, digest string, size bigint"
+        records = rows.join(firsts, "digest", "left").select(*[x.split()[0] for x in kind.split(", ")]).mapInArrow(_compose, "value string")
+        records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _header(block: bytes) -> dict[str, str]:
@@ -113,55 +112,64 @@ def _header(block: bytes) -> dict[str, str]:
     return out
 
 
-def _inflated(data: bytes) -> bytes:
-    """All members of a gzip file; other data as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    parts = []
-    while data:
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(parts)
-
-
-def parse_records(data: bytes) -> Iterator[dict[str, object]]:
-    """Records of one archive by their Content-Length; what follows a broken record up to the next version line is left out."""
-    data = _inflated(data)
-    at = data.find(b"WARC/")
-    while at >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0:
-            return
-        head = _header(data[at:stop])
-        length = head.get("content-length", "")
-        if not length.isdigit():
-            at = data.find(b"\r\nWARC/", stop)
-            at = at + 2 if at >= 0 else -1
-            continue
-        body = data[stop + 4 : stop + 4 + int(length)]
-        kind = head.get("warc-type", "")
-        fields: dict[str, str] = {}
-        payload: bytes | None = None
-        if kind == "metadata":
-            fields = _header(body)
-        elif "application/http" in head.get("content-type", ""):
-            http, _, rest = body.partition(b"\r\n\r\n")
-            fields, payload = _header(http), rest if kind == "response" else None
+def record_of(data: bytes) -> tuple[dict[str, object] | None, int]:
+    """The record that ``data``, from after its version line's "WARC/1." on, begins with, and how many of its bytes are missing.
+
+    (None, 0) for a record without a readable length: it is left out.
+    """
+    head_bytes, _, body = data.partition(b"\r\n\r\n")
+    head = _header(head_bytes)
+    length = head.get("content-length", "")
+    if not length.isdigit():
+        return None, 0
+    if len(body) < int(length):
+        return None, int(length) - len(body)
+    body = body[: int(length)]
+    kind = head.get("warc-type", "")
+    fields: dict[str, str] = {}
+    payload: bytes | None = None
+    if kind == "metadata":
+        fields = _header(body)
+    elif "application/http" in head.get("content-type", ""):
+        http, _, rest = body.partition(b"\r\n\r\n")
+        fields, payload = _header(http), rest if kind == "response" else None
+    else:
+        payload = body
+    return {
+        "record_type": kind,
+        "record_id": head.get("warc-record-id"),
+        "concurrent_to": head.get("warc-concurrent-to"),
+        "refers_to": head.get("warc-refers-to"),
+        "target_uri": head.get("warc-target-uri"),
+        "date": head.get("warc-date"),
+        "payload_digest": head.get("warc-payload-digest"),
+        "fields": list(fields.items()),
+        "payload": payload,
+    }, 0
+
+
+def parse_records(parts: Iterator[tuple[str, bytes]]) -> Iterator[dict[str, object]]:
+    """Records from (file, part) in the files' order, the files cut at ``BETWEEN``.
+
+    A payload may hold what looks like the start of a record: parts are put
+    together again as long as the record's length asks for more.  A record that
+    its file does not hold whole, or without a readable length, is left out.
+    """
+    now, held, missing = None, bytearray(), 0
+    for file, part in parts:
+        if file != now:
+            now, missing = file, 0
+            part = part.removeprefix(b"WARC/1.")
+        if missing:
+            held += BETWEEN.encode() + part
+            missing -= len(BETWEEN) + len(part)
+            if missing > 0:
+                continue
         else:
-            payload = body
-        yield {
-            "record_type": kind,
-            "record_id": head.get("warc-record-id"),
-            "concurrent_to": head.get("warc-concurrent-to"),
-            "refers_to": head.get("warc-refers-to"),
-            "target_uri": head.get("warc-target-uri"),
-            "date": head.get("warc-date"),
-            "payload_digest": head.get("warc-payload-digest"),
-            "fields": list(fields.items()),
-            "payload": payload,
-        }
-        at = data.find(b"WARC/", stop + 4 + int(length))
+            held = bytearray(part)
+        record, missing = record_of(bytes(held))
+        if record:
+            yield record
 
 
 _SCHEMA = pa.schema(
@@ -171,24 +179,33 @@ _SCHEMA = pa.schema(
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            rows: list[dict[str, object]] = []
-            size = 0
-            for record in parse_records(batch.column(0)[k].as_py()):
-                rows.append(record)
-                size += len(record["payload"] or b"") + 1000
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+    def parts() -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+
+    rows: list[dict[str, object]] = []
+    size = 0
+    for record in parse_records(parts()):
+        rows.append(record)
+        size += len(record["payload"] or b"") + 1000
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives under ``path``, plain or gzipped (also record by record)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(_parse, RECORD)
+    """One row for each record of the archives under ``path``, plain or gzipped (also record by record).
+
+    Spark's text reader streams the files and cuts them between records, so no
+    task holds more than a batch of records.  Large plain files are read in
+    several pieces; a payload that holds a whole record of its own may then be
+    cut where two pieces meet.
+    """
+    lines = spark.read.option("lineSep", BETWEEN).option("recursiveFileLookup", "true").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_parse, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -234,17 +251,35 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def page_digests(captures: DataFrame) -> DataFrame:
-    """The digest columns of the registered query, from assembled captures."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of assembled captures.
+
+    What a revisit stands for is looked up by the record id it refers to; where
+    the archives do not hold that record, bytes and page are null and the digest
+    is the one of its header.
+    """
     payload = F.col("response.payload")
-    revisit = F.col("response.record_type") == "revisit"
-    notes = F.col("metadata.fields")
-    return captures.select(
-        F.nullif(notes["page-id"], F.lit("")).cast("bigint").alias("page_id"),
-        F.when(revisit, notes["payload-bytes"].cast("bigint")).otherwise(F.octet_length(payload).cast("bigint")).alias("payload_bytes"),
-        F.when(revisit, F.regexp_replace("response.payload_digest", "^sha256:", "")).otherwise(F.sha2(payload, 256)).alias("payload_digest"),
-        F.col("response.record_type").alias("record_type"),
-        F.when(revisit, F.nullif(notes["refers-to-page-id"], F.lit("")).cast("bigint")).alias("refers_to"),
+    page = F.nullif(F.col("metadata.fields")["page-id"], F.lit("")).cast("bigint")
+    light = materialize(
+        captures.select(
+            "capture_id",
+            page.alias("page_id"),
+            F.col("response.record_type").alias("record_type"),
+            F.col("response.refers_to").alias("refers"),
+            F.octet_length(payload).cast("bigint").alias("bytes"),
+            F.sha2(payload, 256).alias("sha"),
+            F.regexp_replace("response.payload_digest", "^sha256:", "").alias("said"),
+        ),
+        "warc-captures",
+    )
+    revisits = light.filter("record_type = 'revisit'").select("page_id", "record_type", "refers", "said")
+    seen = light.filter("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), "bytes", "sha")
+    found = revisits.join(seen.hint("merge"), "refers", "left").select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.coalesce("sha", "said").alias("payload_digest"), "record_type", "refers_to"
+    )
+    own = light.filter("not record_type <=> 'revisit'").select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to")
     )
+    return own.unionAll(found)
 
 
 WARC_SQL = """
