@@ -28,6 +28,20 @@ CACHE_WORD_CHARS = 64
 #: White space of the pre-tokenizer's regex engine: code points.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE = "".join(map(chr, SPACES))
+# The pre-tokenizer's tables are those of Unicode 16.  Ranges of letters that came after it, which it takes
+# for other characters, and capitals that came with it, which it lower-cases, with the distance of their small letters.
+LATER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NEW_CAPITALS = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC} | dict.fromkeys(range(0x10D50, 0x10D66), 0x20)
+_LATER = "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_LETTERS)
+_CAPITALS = str.maketrans({c: chr(c + d) for c, d in NEW_CAPITALS.items()})
 #: The same classes below U+0250, for which the standard library's faster engine is enough.
 _LATIN = [chr(c) for c in range(0x250)]
 _LATIN_LETTERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
@@ -86,7 +100,7 @@ class BpeModel:
             self.automaton.add_word(key, (len(key), i))
         self.automaton.make_automaton()
         lead = "'s|'t|'re|'ve|'m|'ll|'d"
-        self.pattern = regex.compile(rf"{lead}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        self.pattern = regex.compile(rf"(?V1){lead}|[\p{{L}}--[{_LATER}]]+|\p{{N}}|[[^{_SPACE}\p{{L}}\p{{N}}]||[{_LATER}]]+")
         self.latin = re.compile(rf"{lead}|[{_LATIN_LETTERS}]+|[{_LATIN_NUMBERS}]|[^{_SPACE}{_LATIN_LETTERS}{_LATIN_NUMBERS}]+")
         self.beyond_latin = re.compile(f"[{chr(0x250)}-{chr(0x10FFFF)}]")
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -194,7 +208,7 @@ class BpeModel:
 
     def normalized(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_CAPITALS)  # letter by letter: no final sigma
         return text.lower()
 
     def words_of(self, text: str) -> list[str]:
