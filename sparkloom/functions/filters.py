@@ -171,3 +171,39 @@ class Request:
             value = getattr(self, name)
             if value is not None and not 0 <= value <= 1:
                 raise ValueError(f"{name}: 0 to 1")
+
+
+def within_bounds(query: Column, top_k: Column, rerank_top_k: Column, min_score: Column) -> Column:
+    """The bounds of ``Request`` for rows of requests; absent options are within them."""
+    share = F.coalesce(min_score.between(0, 1), F.lit(True))
+    return F.coalesce(F.octet_length(query).between(1, 2000), F.lit(False)) & F.coalesce(top_k.between(1, 100), F.lit(True)) & F.coalesce(rerank_top_k.between(1, 100), F.lit(True)) & share
+
+
+#: What a frame needs to stand under the access rules.
+ACL_COLUMNS = {
+    "tenant_id": "string",
+    "visibility": "string",
+    "owner_id": "string",
+    "allowed_groups": "array<string>",
+    "allowed_users": "array<string>",
+    "denied_users": "array<string>",
+    "denied_groups": "array<string>",
+    "status": "string",
+}
+
+
+def acl_rows(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The extension point for rows of any kind: ``columns`` says where each access column comes from.
+
+    Lists that a source does not have are empty, other columns null, status is
+    active; a name that is no access column is an error.
+    """
+    odd = set(columns) - set(ACL_COLUMNS)
+    if odd:
+        raise ValueError(f"no access columns: {sorted(odd)}")
+    absent = {"status": F.lit("active")}
+    added = {}
+    for name, kind in ACL_COLUMNS.items():
+        default = F.array().cast(kind) if kind.startswith("array") else absent.get(name, F.lit(None))
+        added[name] = F.coalesce(columns[name].cast(kind), default.cast(kind)) if name in columns else default.cast(kind)
+    return frame.withColumns(added)

@@ -6,6 +6,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Word lists and patterns that decide results.
 QUESTION_WORDS = ("who", "what", "where", "when", "why", "how", "which", "whose")
@@ -20,7 +21,9 @@ CLOSINGS = (
     r"^(bye|goodbye|see\s+you|later|take\s+care)[\s!.,?]*$",
     r"^(ok|okay|got\s+it|understood|perfect|great)[\s!.,?]*$",
 )
-GREETING_WORDS = "hi hello hey thanks bye ok okay cool nice great awesome sure yes no yep nope".split()
+GREETING_WORDS = (
+    "hi", "hello", "hey", "thanks", "bye", "ok", "okay", "cool", "nice", "great", "awesome", "sure", "yes", "no", "yep", "nope",
+)
 QUESTION_TYPES = {
     "factual": (
         r"\b(what\s+is|what\s+are|what's|whats)\b",
@@ -141,10 +144,10 @@ HARMS = (
     (r"\b(buy|sell|obtain)\s+illegal\s+(drugs|weapons)\b", "illegal", "high"),
     (r"\bexterminate\s+(all\s+)?(the\s+)?[a-z]+s?\b", "hate", "critical"),
 )
-#: Type: pattern, in the order of redaction.
+# Fixed values, in the order of redaction: type and pattern.
 PII = {
     "EMAIL_ADDRESS": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-    "SSN": r"\b[0-9]{3}[-\s]?[0-9]{2}[-\s]?[0-9]{4}\b",
+    "SSN": r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b",
     "CREDIT_CARD": r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b",
     "PHONE_NUMBER": r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}",
     "IP_ADDRESS": r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",
@@ -167,10 +170,18 @@ SECRETS = (
     (r"(?:AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}", "***AWS_KEY***"),
 )
 KEY_TERM_STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might can and or but if then that this these those it its "
-    "to of in for on with at by from as into through during before after above below between under again further once here there when where why how all each few "
-    "more most other some such no nor not only own same so than too very"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "and", "or", "but", "if", "then", "that", "this", "these", "those", "it", "its", "to", "of", "in", "for", "on",
+    "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "between", "under", "again", "further",
+    "once", "here", "there", "when", "where", "why", "how", "all", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+    "own", "same", "so", "than", "too", "very",
+)
+# Parts of names whose values are never logged.
+SENSITIVE_KEYS = (
+    "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "authorization", "auth", "credential", "credentials",
+    "private_key", "privatekey", "access_token", "refresh_token", "jwt", "bearer", "connection_string", "database_url", "redis_password",
+    "postgres_password", "opensearch_password",
+)
 MODEL_TIERS = {
     ("basic", "simple"): "small",
     ("basic", "complex"): "small",
@@ -331,6 +342,25 @@ def key_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(useful, F.lower))
 
 
+def masked(value: Column, kind: DataType, mask: str = "***") -> Column:
+    """A nested value whose fields and map entries of sensitive names are masked whole, at any depth."""
+    if isinstance(kind, StructType):
+        fields = [
+            (F.lit(mask) if is_sensitive(f.name) else masked(value[f.name], f.dataType, mask)).alias(f.name) for f in kind.fields
+        ]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, MapType):
+        hidden = F.lit(mask) if isinstance(kind.valueType, StringType) else F.lit(None)
+        return F.transform_values(value, lambda k, v: F.when(F.lower(k).rlike("|".join(SENSITIVE_KEYS)), hidden).otherwise(masked(v, kind.valueType, mask)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: masked(x, kind.elementType, mask))
+    return value
+
+
+def is_sensitive(name: str) -> bool:
+    return any(k in name.lower() for k in SENSITIVE_KEYS)
+
+
 def visibility(text: Column) -> Column:
     t = F.lower(F.trim(text))
     return F.when(t == "internal", "tenant").when(t.isin("public", "private", "group", "tenant"), t)

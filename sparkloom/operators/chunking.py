@@ -371,29 +371,55 @@ def select_for(profile: dict) -> str:
 _SCHEMA = pa.schema([("chunk_index", pa.int32()), ("content", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("tokens", pa.int32()), ("section", pa.string()), ("kind", pa.string())])
 
 
-def chunk(docs: DataFrame, strategy: str | None = None, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def profile(text: str, extension: str = "", kinds: list[str] = (), tables: int = 0) -> dict:
+    """What the strategy rules look at: the text, its file's extension and the kinds of its parsed blocks."""
+    heads = sum(heading_of(x) is not None for x in text.splitlines())
+    size = len(text.encode())
+    lengths = [len(s.strip().encode()) for _, s in sentences(text) if len(s.strip()) > 3]
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    blocks = len(kinds) + tables
+    texts = any(k not in ("code", "image") for k in kinds)
+    return {
+        "extension": extension.lower(),
+        "blocks": blocks,
+        "tables": tables,
+        "code": sum(k == "code" for k in kinds),
+        "structured": sum(k == "heading" for k in kinds),
+        "variance": (texts + (tables > 0) + ("code" in kinds) + ("image" in kinds)) / 4 if blocks else 0.0,
+        "pairs": len(qa_pairs(text)),
+        "headings": heads,
+        "density": heads / (size / 1000) if size else 0,
+        "n_bytes": size,
+        "mean_sentence": sum(lengths) / len(lengths) if lengths else 0.0,
+        "prose": sum(x[-1] in ".?!\")" for x in lines) / len(lines) if lines else 0.0,
+    }
+
+
+def chunk(
+    docs: DataFrame,
+    strategy: str | None = None,
+    config: Config = Config(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    extension: Column | None = None,
+    kinds: Column | None = None,
+    tables: Column | None = None,
+) -> DataFrame:
     """(doc_id, chunk_index, content, start, stop, tokens, section, kind); ``auto`` picks a strategy by profile.
 
-    Texts never leave the task that reads them; null texts have no chunks.
+    ``extension`` of the file, ``kinds`` of its parsed blocks and the number of
+    its ``tables`` take part in that choice where they are known.  Texts never
+    leave the task that reads them; null texts have no chunks.
     """
     name = strategy_name(strategy)
 
-    def profile(text: str) -> str:
-        heads = sum(heading_of(x) is not None for x in text.splitlines())
-        size = len(text.encode())
-        lengths = [len(s.strip().encode()) for _, s in sentences(text) if len(s.strip()) > 3]
-        lines = [x.strip() for x in text.splitlines() if x.strip()]
-        return select_for(
-            {"pairs": len(qa_pairs(text)), "headings": heads, "density": heads / (size / 1000) if size else 0, "n_bytes": size, "mean_sentence": sum(lengths) / len(lengths) if lengths else 0.0, "prose": sum(x[-1] in ".?!\")" for x in lines) / len(lines) if lines else 0.0}
-        )
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 owners, rows = [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    how = STRATEGIES[profile(text or "") if name == "auto" else name]
+                for k, (text, ext, blocks, n) in enumerate(zip(*[part.column(i).to_pylist() for i in range(1, 5)], strict=True)):
+                    how = STRATEGIES[select_for(profile(text or "", ext or "", blocks or [], n or 0)) if name == "auto" else name]
                     for i, c in enumerate(how(text or "", config)):
                         owners.append(k)
                         rows.append((i, c.content, c.start, c.end, count(c.content), c.section, c.kind))
@@ -402,6 +428,7 @@ def chunk(docs: DataFrame, strategy: str | None = None, config: Config = Config(
                     [part.column(0).take(pa.array(owners, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)]], names=["doc_id", *_SCHEMA.names]
                 )
 
-    part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = [F.lit(None).cast(t) if c is None else c.cast(t) for c, t in ((extension, "string"), (kinds, "array<string>"), (tables, "int"))]
+    part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), known[0].alias("extension"), known[1].alias("kinds"), known[2].alias("tables"))
     kind = part.schema["doc_id"].dataType.simpleString()
     return part.mapInArrow(work, f"doc_id {kind}, chunk_index int, content string, start int, stop int, tokens int, section string, kind string")

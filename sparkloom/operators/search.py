@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Okapi parameters.
 K1, B = 1.2, 0.75
 #: English stop words of the analyzer.
 STOP_WORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that",
+    "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+)
 
 
 def dot_columns(a: str, b: str) -> Column:
@@ -46,32 +48,118 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_search(corpus: DataFrame, queries: dict[int, list[float]], k: int, min_score: float | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of ``corpus(id, embedding)`` for a batch of query vectors.
+#: Query vectors in a block, and vectors of the corpus that one matrix product scores.
+QUERY_BLOCK, CHUNK_ROWS = 2048, 4096
 
-    One matrix product for each Arrow batch scores all requests; the best ``k``
-    of a batch leave it, so the corpus is read once and nearly nothing is
-    shuffled.  Scores have nine digits, so that equal vectors tie.  Vectors of
-    another length, or null, are left out.
+
+def _packed(rows: DataFrame, width: int) -> DataFrame:
+    """(ids, vectors): one row for each batch of ``rows(id, embedding)`` of this width."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                flat = part.column(1).flatten().cast(pa.float64())
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column(0).cast(pa.int64()), flat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "vectors"])
+
+    usable = rows.select("id", "embedding").filter(F.size("embedding") == width)
+    return usable.mapInArrow(work, "ids array<bigint>, vectors array<double>")
+
+
+def _scored(ids: np.ndarray, vectors: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int, min_score: float | None) -> pa.RecordBatch:
+    """The best ``k`` of one chunk for each query.  Scores have nine digits, so that equal vectors tie."""
+    scores = np.round(queries @ vectors.T, 9)
+    if k < len(ids):
+        # All that reach the k-th score: ties are cut later, by id.
+        edge = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+        q, at = np.nonzero(scores >= edge[:, None])
+    else:
+        q, at = np.nonzero(np.ones_like(scores, bool))
+    found = scores[q, at]
+    if min_score is not None:
+        q, at, found = q[found >= min_score], at[found >= min_score], found[found >= min_score]
+    return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[at]), pa.array(found)], names=["query_id", "id", "score"])
+
+
+_HITS = "query_id bigint, id bigint, score double"
+
+
+def vector_search(corpus: DataFrame, queries: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of ``corpus(id, embedding)`` for ``queries(query_id, embedding)``.
+
+    Both sides are packed: queries into blocks of some thousands, the corpus
+    into chunks, and each block meets each chunk in one matrix product; the best
+    ``k`` of a chunk leave it, so nearly nothing is shuffled.  Nothing is
+    collected, so queries may grow with the corpus.  Vectors of another length
+    than the queries', or null, are left out.
     """
-    names = np.array(list(queries), np.int64)
-    matrix = np.array(list(queries.values()), np.float64)
-    width = matrix.shape[1] if len(matrix) else 0
+    width, n = queries.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    dealt = queries.select(F.col("query_id").alias("id"), "embedding").repartition(blocks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), width)
-            scores = np.round(vectors @ matrix.T, 9)
-            for q, column in zip(names, scores.T, strict=True):
-                best = np.lexsort((ids, -column))
-                if min_score is not None:
-                    best = best[column[best] >= min_score]
-                best = best[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(ids[best]), pa.array(column[best])], names=["query_id", "id", "score"])
+            for r in range(batch.num_rows):
+                ids, vectors, names, asked = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(4))
+                yield _scored(ids, vectors.reshape(len(ids), -1), names, asked.reshape(len(names), -1), k, min_score)
+
+    asked = _packed(dealt, width or 0).withColumnsRenamed({"ids": "names", "vectors": "asked"})
+    met = _packed(corpus, width or 0).crossJoin(asked)  # blocks of the stated queries against chunks, not rows against rows
+    return top_k(met.mapInArrow(work, _HITS), k)
+
+
+#: Vectors that the centres of an index are fitted to, and lists of an index at most.
+FIT_ROWS, MOST_LISTS = 20_000, 4096
+
+
+def index_vectors(corpus: DataFrame, path: str, lists: int | None = None, seed: int = 7) -> None:
+    """An index under ``path``: every vector of ``corpus(id, embedding)`` in the list of its nearest centre.
+
+    Centres are fitted to a sample of at most some ``FIT_ROWS`` vectors; each
+    list is a folder of its own, so that a search reads few of them.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = corpus.filter("embedding is not null").select("id", "embedding", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    n = rows.count()
+    lists = lists or max(1, min(MOST_LISTS, int(n**0.5)))
+    sample = rows.sample(min(1.0, FIT_ROWS / max(1, n)), seed)
+    model = KMeans(k=lists, seed=seed, maxIter=10).fit(sample)
+    model.transform(rows).select("id", "embedding", F.col("prediction").alias("list")).write.partitionBy("list").parquet(f"{path}/lists")
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    corpus.sparkSession.createDataFrame(centres, "list int, centre array<double>").write.parquet(f"{path}/centres")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank) from the lists of the ``probes`` nearest centres of each query: two fifths of them, and twelve at least,
+    where nothing is known of the vectors; well-clustered ones need far fewer."""
+    centres = sorted(spark.read.parquet(f"{path}/centres").collect())  # at most MOST_LISTS
+    names, matrix = np.array([c[0] for c in centres]), np.array([c[1] for c in centres])
+    probes = min(len(names), probes or max(12, len(names) * 2 // 5))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.empty((0, matrix.shape[1]))
+            gap = (matrix**2).sum(1) - 2 * asked @ matrix.T
+            best = np.argpartition(gap, probes - 1, axis=1)[:, :probes]
+            owner = np.repeat(np.arange(len(asked)), probes)
+            yield pa.RecordBatch.from_arrays([pa.array(names[best.ravel()], pa.int32()), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))], names=["list", "query_id", "embedding"])
+
+    kind = queries.schema["embedding"].dataType.simpleString()
+    probing = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").mapInArrow(near, f"list int, query_id bigint, embedding {kind}")
+    indexed = spark.read.parquet(f"{path}/lists")
+
+    def score(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not asked.num_rows:
+            return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+        grid = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+        ids = vectors.column("id").cast(pa.int64()).to_numpy()
+        return pa.Table.from_batches([_scored(ids, grid(vectors), asked.column("query_id").to_numpy(), grid(asked), k, None)])
 
-    usable = corpus.select(F.col("id").cast("bigint").alias("id"), "embedding").filter(F.size("embedding") == width)
-    return top_k(usable.mapInArrow(work, "query_id bigint, id bigint, score double"), k)
+    met = indexed.groupBy("list").cogroup(probing.groupBy("list")).applyInArrow(score, _HITS)
+    return top_k(met, k)
 
 
 def average_vector(rows: DataFrame, by: str) -> DataFrame:
@@ -80,41 +168,88 @@ def average_vector(rows: DataFrame, by: str) -> DataFrame:
     return cells.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("embedding"))
 
 
-def tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+def tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Lower-case runs of letters and digits without stop words."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     return F.filter(words, lambda w: (w != "") & ~w.isin(*stop_words))
 
 
-def bm25(docs: DataFrame, queries: dict[int, str], fields: tuple[str, ...] = ("text",), k: int = 50) -> DataFrame:
-    """(query_id, id, score, rank): the best field's Okapi score, terms joined by OR.
+def query_terms(queries: dict[int, str]) -> list[tuple[int, str]]:
+    stop = set(STOP_WORDS)
+    return sorted({(q, t) for q, text in queries.items() for t in re.findall(r"[^\W_]+", text.lower()) if t not in stop})
+
+
+def _okapi(tf: DataFrame, df: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, id, score) from ``tf(id, dl, term, tf)``.  Statistics are one row, the rest a request's terms.
+
+    Rounded, so that equal documents tie whatever the order of the sum.
+    """
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(stats)).join(F.broadcast(pairs), "term")
+    return scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"))
+
+
+def _best_field(legs: list[DataFrame]) -> DataFrame:
+    hits = reduce(DataFrame.unionAll, legs)
+    return hits.groupBy("query_id", "id").agg(F.max("score").alias("score")) if len(legs) > 1 else hits
+
+
+def bm25_scores(docs: DataFrame, queries: dict[int, str], fields: tuple[str, ...] = ("text",), keep: Column | None = None) -> DataFrame:
+    """(query_id, id, score) of all hits: the best field's Okapi score, terms joined by OR.
 
+    ``keep`` says which documents may be hits; the statistics are those of all.
     Query terms are literals, so documents are reduced to their term counts
     where they are read; postings of other terms never leave the task.
     """
-    import re
-
-    stop = set(STOP_WORDS)
-    wanted = sorted({(q, t) for q, text in queries.items() for t in re.findall(r"[^\W_]+", text.lower()) if t not in stop})
+    wanted = query_terms(queries)
     terms = sorted({t for _, t in wanted})
     legs = []
     for field_ in fields:
-        words = docs.select("id", tokens(F.coalesce(F.col(field_), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+        words = docs.select("id", tokens(F.coalesce(F.col(field_), F.lit(""))).alias("w"), (F.lit(True) if keep is None else keep).alias("may")).withColumn("dl", F.size("w"))
         stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        counted = words.select("id", "dl", F.explode(F.filter("w", lambda x: x.isin(*terms) if terms else F.lit(False))).alias("term"))
-        tf = counted.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counted = words.select("id", "dl", "may", F.explode(F.filter("w", lambda x: x.isin(*terms) if terms else F.lit(False))).alias("term"))
+        tf = counted.groupBy("id", "dl", "may", "term").agg(F.count(F.lit(1)).alias("tf"))
         df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         pairs = docs.sparkSession.createDataFrame(wanted or [(0, "")], "query_id bigint, term string")
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        # Statistics are one row, query terms a request's worth, document frequencies one row a query term.
-        scored = tf.join(F.broadcast(df), "term").join(F.broadcast(stats)).join(F.broadcast(pairs), "term")
-        # Rounded, so that equal documents tie whatever the order of the sum.
-        legs.append(scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score")))
-    hits = reduce(DataFrame.unionAll, legs)
-    if len(legs) > 1:
-        hits = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return top_k(hits, k)
+        legs.append(_okapi(tf.filter("may"), df, stats, pairs))
+    return _best_field(legs)
+
+
+def bm25(docs: DataFrame, queries: dict[int, str], fields: tuple[str, ...] = ("text",), k: int = 50, keep: Column | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the best ``k`` of ``bm25_scores``."""
+    return top_k(bm25_scores(docs, queries, fields, keep), k)
+
+
+def hit_page(hits: DataFrame, offset: int, limit: int) -> DataFrame:
+    """(query_id, id, score, rank, total): one page of each query's hits, and how many there are."""
+    totals = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))  # one row a query
+    return top_k(hits, offset + limit).filter(F.col("rank") > offset).join(F.broadcast(totals), "query_id")
+
+
+def index_postings(docs: DataFrame, path: str, fields: tuple[str, ...] = ("text",)) -> None:
+    """An inverted index under ``path``: postings (term, id, dl, tf) in term order, document frequencies and field statistics.
+
+    A search then reads only the files and row groups of its terms.  A term's
+    postings may lie in several files, so a term of many documents is no hot group.
+    """
+    for field_ in fields:
+        words = docs.select("id", tokens(F.coalesce(F.col(field_), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+        counted = words.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/{field_}/postings")
+        postings = docs.sparkSession.read.parquet(f"{path}/{field_}/postings")
+        postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{field_}/terms")
+        words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/{field_}/stats")
+
+
+def bm25_indexed(spark: SparkSession, path: str, queries: dict[int, str], fields: tuple[str, ...] = ("text",), k: int = 50) -> DataFrame:
+    """As ``bm25``, from an index; term filters reach the scans."""
+    wanted = query_terms(queries)
+    pairs = spark.createDataFrame(wanted or [(0, "")], "query_id bigint, term string")
+    terms = sorted({t for _, t in wanted}) or [""]
+    read = lambda field_, part: spark.read.parquet(f"{path}/{field_}/{part}")
+    legs = [_okapi(read(f, "postings").filter(F.col("term").isin(*terms)), read(f, "terms").filter(F.col("term").isin(*terms)), read(f, "stats"), pairs) for f in fields]
+    return top_k(_best_field(legs), k)
 
 
 def best_per_id(hits: DataFrame, by: str = "query_id") -> DataFrame:
@@ -123,4 +258,15 @@ def best_per_id(hits: DataFrame, by: str = "query_id") -> DataFrame:
 
 
 def highlighted(text: Column, terms: list[str]) -> Column:
-    return F.regexp_replace(text, "(?i)\\b(" + "|".join(terms) + ")\\b", "<em>$1</em>")
+    """Whole words, in letters and digits of any script."""
+    return F.regexp_replace(text, r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(terms) + r")(?![\p{L}\p{N}])", "<em>$1</em>")
+
+
+def highlights(text: Column, terms: list[str], size: int = 150, most: int = 3) -> Column:
+    """Up to ``most`` fragments that hold a term, marked.
+
+    Fragments are ``size`` characters, cut after the last white space where there is one.
+    """
+    fragments = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{size}}}(?=\s|$)|.{{1,{size}}})"), 1)
+    marked = F.transform(fragments, lambda x: highlighted(x, terms))
+    return F.slice(F.filter(marked, lambda x: x.contains("<em>")), 1, most)

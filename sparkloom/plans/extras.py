@@ -12,20 +12,23 @@ from ..operators import fusion, search
 from ..sources.tables import DOCUMENTS_SQL as D, EVENTS_SQL as E, documents, events, read
 from .catalog import query
 from .pipelines import _scratch
-from .retrieval import MEMBER, _MULTI, _access_sql, _multi
+from .retrieval import MEMBER, _MULTI, _access_sql, _multi, corpus, request_vectors
 from .textual import Q, _any, q, requests
 
 
-@query("b03_stemmed_analyzer", r"SELECT doc_id, list_transform(list_filter(string_split_regex(lower(left(text, 500)), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 5 THEN regexp_replace(w, '(ing|ed|es|s)$', '') ELSE w END) AS stems FROM documents")
+@query("b03_stemmed_analyzer", r"SELECT doc_id, list_transform(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 5 THEN regexp_replace(w, '(ing|ed|es|s)$', '') ELSE w END) AS stems FROM documents")
 def b03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lighter of the two analyzers: common English endings of longer words go."""
-    words = F.filter(F.split(F.lower(F.substring("text", 1, 500)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     stems = F.transform(words, lambda w: F.when(F.length(w) > 5, F.regexp_replace(w, "(ing|ed|es|s)$", "")).otherwise(w))
     return read(spark, sf_dir, "documents").select("doc_id", stems.alias("stems"))
 
 
 # Keys of a stored document that are no metadata.
-RESERVED = "chunk_id document_id tenant_id content title source_uri source_type chunk_index visibility owner_id allowed_groups allowed_users created_at".split()
+RESERVED = (
+    "chunk_id", "document_id", "tenant_id", "content", "title", "source_uri", "source_type", "chunk_index", "visibility", "owner_id",
+    "allowed_groups", "allowed_users", "created_at",
+)
 
 
 @query("b05_hit_metadata", "SELECT doc_id, lang, source FROM documents")
@@ -100,15 +103,21 @@ def x15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "x.kind", "x.start", "x.stop")
 
 
-SENSITIVE_KEYS = "password passwd pwd secret token api_key authorization credential jwt bearer".split()
+_LINE_JSON = """'{"user":{"name":"u' || user_id || '","api-key":"***"},"auth_token":"***","tags":{"kind":"' || event_type || '","Database_URL":"***"},"calls":[{"path":"/' || event_type || '","credential":"***"}]}'"""
 
 
-@query("x41_masked_keys", "SELECT event_id, '***' AS token, event_type AS kind FROM events")
+@query("x41_masked_keys", f"SELECT event_id, {_LINE_JSON} AS line FROM events")
 def x41(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = F.create_map(F.lit("Auth_Token"), F.col("user_id").cast("string"), F.lit("kind"), "event_type")
-    sensitive = lambda k: F.lower(k).rlike("|".join(SENSITIVE_KEYS))
-    masked = F.transform_values(log, lambda k, v: F.when(sensitive(k), "***").otherwise(v))
-    return read(spark, sf_dir, "events").select("event_id", masked["Auth_Token"].alias("token"), masked["kind"].alias("kind"))
+    """Log lines as nested values; sensitive names are found in structs, maps and lists alike."""
+    who = F.col("user_id").cast("string")
+    line = F.struct(
+        F.struct(F.concat(F.lit("u"), who).alias("name"), who.alias("api-key")).alias("user"),
+        F.struct(who.alias("jwt")).alias("auth_token"),
+        F.create_map(F.lit("kind"), "event_type", F.lit("Database_URL"), who).alias("tags"),
+        F.array(F.struct(F.concat(F.lit("/"), "event_type").alias("path"), F.col("value").alias("credential"))).alias("calls"),
+    )
+    rows = read(spark, sf_dir, "events").select("event_id", line.alias("line"))
+    return rows.select("event_id", F.to_json(tx.masked(F.col("line"), rows.schema["line"].dataType)).alias("line"))
 
 
 @query("x52_merged_config", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'redact' ELSE 'mask' END AS mode, 'en' AS language FROM events")
@@ -146,7 +155,8 @@ def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k12_approximate_neighbours")
 def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random-projection buckets by the signs of eight fixed directions; candidates share a bucket.  For recall against v01."""
-    signs = [F.when(search.dot_columns("embedding", F.array(*[F.lit(((i * 37 + b * 101) % 17) - 8.0) for i in range(64)])) > 0, 1).otherwise(0) for b in range(8)]
-    code = sum((s * (1 << b) for b, s in enumerate(signs)), F.lit(0))
-    return read(spark, sf_dir, "embeddings").select("vec_id", code.alias("bucket"))
+    """Every fiftieth vector against an index of all vectors; recall against the exact search is tested."""
+    path = _scratch(spark, "vectors")
+    search.index_vectors(corpus(spark, sf_dir), path)
+    hits = search.search_index(spark, path, request_vectors(spark, sf_dir), 10)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))

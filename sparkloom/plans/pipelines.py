@@ -17,7 +17,12 @@ from .catalog import query
 
 
 def _scratch(spark: SparkSession, tag: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/sparkloom-shared"
+    """A new path in the cluster's shared folder; a local one only where none is set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/sparkloom-shared"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -44,8 +49,8 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s01_s04_list_files")
 def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table's own files as a listing: name, extension, size."""
-    return parsers.list_files(spark, f"{sf_dir}/region.parquet", ("parquet",)).select("name", "extension", "size")
+    """All files of the tables as a listing: name, extension, size; contents are not read."""
+    return parsers.list_files(spark, sf_dir, ("PARQUET",)).select("name", "extension", "size")
 
 
 def hashed_embedding(texts: pd.Series, dims: int = 64) -> pd.Series:
@@ -177,18 +182,15 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u08_lexical_quality_metric")
-def u08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The offline stand-in of model-based metrics: share of benchmark words that the other turn holds."""
-
-    @F.pandas_udf("double")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None) -> float:
-            x_words, y_words = set((x or "").lower().split()), set((y or "").lower().split())
-            return len(x_words & y_words) / max(1, len(x_words))
+_WORD_SET = r"list_distinct(list_filter(string_split_regex(lower({}), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
+@query("u08_lexical_quality_metric", f"WITH s AS (SELECT b.conv_id, b.turn, {_WORD_SET.format('a.text')} AS x, {_WORD_SET.format('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, round(len(list_intersect(x, y)) / greatest(1, len(x))::DOUBLE, 6) AS score FROM s")
+def u08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline stand-in of model-based metrics: share of a turn's words that the next turn holds."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     turns = read(spark, sf_dir, "conversations")
-    other = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    return turns.join(other, ["conv_id", "turn"]).select("conv_id", "turn", F.round(overlap("before", "text"), 6).alias("score"))
+    other = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), words("text").alias("x"))
+    both = turns.select("conv_id", "turn", words("text").alias("y")).join(other, ["conv_id", "turn"])
+    share = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.lit(1))
+    return both.select("conv_id", "turn", F.round(share, 6).alias("score"))

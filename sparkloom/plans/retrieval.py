@@ -11,7 +11,8 @@ from ..sources.tables import DOCUMENTS_SQL as D, documents, read
 from .catalog import query
 
 MEMBER, OWNER, ADMIN = User("u3", "t1", ("g1", "g2")), User("u6", "t2"), User("u0", "t0", (), True)
-QUESTIONS = 4
+#: Every so many-th vector is a query.
+QUERY_STEP = 50
 
 # --- filters -------------------------------------------------------------------------------------
 
@@ -112,7 +113,7 @@ def f21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _docs("f27_base_filter", "tenant_id = 't2' AND status = 'active' AND (visibility IN ('public', 'tenant') OR owner_id = 'u6' OR list_contains(allowed_users, 'u6')) AND NOT list_contains(denied_users, 'u6')", lambda d: fl.acl_prefilter(d, OWNER))
 _docs("f30_point_lookup", "doc_id = 13 AND tenant_id = 't1'", lambda d: (d.doc_id == 13) & (d.tenant_id == "t1"), "doc_id, lang")
-_docs("f32_by_source", "source = 'src3' AND tenant_id = 't1'", lambda d: (d.source == "src3") & (d.tenant_id == "t1"))
+_docs("f32_by_source", "source = 'src3' AND tenant_id = 't3'", lambda d: (d.source == "src3") & (d.tenant_id == "t3"))
 _docs("f41_group_access", "visibility = 'public' OR list_has_any(allowed_groups, ['g2', 'g4'])", lambda d: fl.group_access(("g2", "g4")))
 _docs("f42_accessible_subset", f"doc_id IN (1, 5, 9, 13, 17, 21, 25, 29) AND {_access_sql(MEMBER, True)}", lambda d: d.doc_id.isin(1, 5, 9, 13, 17, 21, 25, 29) & fl.acl_can_access(MEMBER))
 
@@ -135,15 +136,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
 
 
-def request_vectors(spark: SparkSession, sf_dir: str, n: int = QUESTIONS) -> dict[int, list[float]]:
-    """A request's query vectors: ``n`` of them, whatever the corpus."""
-    rows = read(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select("vec_id", "embedding").collect()
-    return {r[0]: [float(x) for x in r[1]] for r in sorted(rows)}
+def request_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query vectors (query_id, embedding): every fiftieth one."""
+    rows = read(spark, sf_dir, "embeddings").filter(F.col("vec_id") % QUERY_STEP == 0)
+    return rows.select(F.floor(F.col("vec_id") / QUERY_STEP).alias("query_id"), "embedding")
 
 
-def _vector_sql(n: int = QUESTIONS, k: int = 10, where: str = "true", floor: str = "true") -> str:
-    return f"""s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
-  FROM embeddings c, embeddings q WHERE q.vec_id < {n} AND {where}),
+def _vector_sql(k: int = 10, where: str = "true", floor: str = "true") -> str:
+    return f"""s AS (SELECT q.vec_id // {QUERY_STEP} AS query_id, c.vec_id AS id, round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
+  FROM embeddings c, embeddings q WHERE q.vec_id % {QUERY_STEP} = 0 AND {where}),
 sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE {floor}) WHERE rank <= {k})"""
 
 
@@ -190,9 +191,9 @@ def v04(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("v06_normalize", "SELECT vec_id, list_transform(embedding, lambda x: round((x::DOUBLE * 3) / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE * 3), list_transform(embedding, lambda y: y::DOUBLE * 3))), 6)) AS unit FROM embeddings WHERE vec_id < 50")
+@query("v06_normalize", "SELECT vec_id, list_transform(embedding, lambda x: round((x::DOUBLE * 3) / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE * 3), list_transform(embedding, lambda y: y::DOUBLE * 3))), 6)) AS unit FROM embeddings")
 def v06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tripled = read(spark, sf_dir, "embeddings").filter("vec_id < 50").withColumn("e3", F.transform("embedding", lambda x: x.cast("double") * 3))
+    tripled = read(spark, sf_dir, "embeddings").withColumn("e3", F.transform("embedding", lambda x: x.cast("double") * 3))
     return tripled.select("vec_id", F.transform(search.normalized("e3"), lambda x: F.round(x, 6)).alias("unit"))
 
 
@@ -214,14 +215,25 @@ def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYWORDS = {0: "the one thing that others tell", 1: "des queue avec pour", 2: "der ist und einer", 3: "license copyright terms"}
 _STOP = "[" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + "]"
 _QTERMS = ", ".join(f"({q}, '{t}')" for q, s in KEYWORDS.items() for t in sorted(set(s.split())) if t not in search.STOP_WORDS)
-_BM25 = rf"""w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND NOT list_contains({_STOP}, x)) AS w FROM documents),
-st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
-qt(query_id, term) AS (VALUES {_QTERMS}),
-tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-k0 AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score
-  FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY 1, 2),
-kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k0) WHERE rank <= 50)"""
+_TERMS = f"qt(query_id, term) AS (VALUES {_QTERMS})"
+
+
+def _field_sql(column: str, prefix: str, where: str = "true") -> str:
+    """CTEs of one field: words, statistics, term and document frequencies, scores ``{prefix}0``."""
+    p = prefix
+    return rf"""{p}_words AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce({column}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND NOT list_contains({_STOP}, x)) AS w FROM documents),
+{p}st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {p}_words),
+{p}tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM {p}_words) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+{p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY 1),
+{p}0 AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score
+  FROM {p}tf JOIN {p}df USING (term) JOIN qt USING (term), {p}st WHERE {where} GROUP BY 1, 2)"""
+
+
+def _bm25_sql(where: str = "true") -> str:
+    return f"{_TERMS}, {_field_sql('text', 'k', where)}, kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k0) WHERE rank <= 50)"
+
+
+_BM25 = _bm25_sql()
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
@@ -233,7 +245,7 @@ def b01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_hits(spark, sf_dir).select(F.col("query_id"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("b02_analyzer", f"WITH {_BM25} SELECT id, len(w)::BIGINT AS n_tokens, w[1] AS first_token FROM w")
+@query("b02_analyzer", f"WITH {_BM25} SELECT id, len(w)::BIGINT AS n_tokens, w[1] AS first_token FROM k_words")
 def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), search.tokens(F.coalesce("text", F.lit(""))).alias("w"))
     return words.select("id", F.size("w").cast("bigint").alias("n_tokens"), F.get("w", F.lit(0)).alias("first_token"))
@@ -260,24 +272,60 @@ def b06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_hits(spark, sf_dir).join(kept, "id", "left_semi").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("b08_highlights", r"SELECT doc_id, regexp_replace(text, '(?i)\b(the|des|der)\b', '<em>\1</em>', 'g') AS marked FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@query("b08_highlights")
 def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
-    return ascii_only.select("doc_id", search.highlighted(F.col("text"), ["the", "des", "der"]).alias("marked"))
+    """Marked fragments of every document; documents without a term have none."""
+    return read(spark, sf_dir, "documents").select("doc_id", search.highlights(F.col("text"), ["the", "des", "der"]).alias("fragments"))
+
+
+#: A document's first line stands for its title.
+_FIELDS = f"{_TERMS}, {_field_sql('text', 'k')}, {_field_sql('split_part(text, chr(10), 1)', 't')}, b0 AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM k0 UNION ALL SELECT * FROM t0) GROUP BY 1, 2)"
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), "text", F.substring_index("text", "\n", 1).alias("title"))
+
+
+@query("b01_best_fields_page", f"WITH {_FIELDS} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM b0) WHERE rank > 5 AND rank <= 25")
+def b01p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of two fields, the sixth to twenty-fifth hit and how many there are."""
+    hits = search.hit_page(search.bm25_scores(titled(spark, sf_dir), KEYWORDS, ("text", "title")), 5, 20)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"), "total")
+
+
+@query("b01_k05_indexed", f"WITH {_FIELDS} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b0) WHERE rank <= 50")
+def b01i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index: a request reads the postings of its terms only."""
+    from .pipelines import _scratch
+
+    path = _scratch(spark, "postings")
+    search.index_postings(titled(spark, sf_dir), path, ("text", "title"))
+    return search.bm25_indexed(spark, path, KEYWORDS, ("text", "title")).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 # --- fusion --------------------------------------------------------------------------------------
 
-#: Both legs at 50 candidates for four requests.
-_LEGS = f"{_vector_sql(k=50)}, {_BM25}"
+#: Both legs at 50 candidates.  Request j has the j-th query vector and the keywords j modulo 4.
+_KR = f"kr AS (SELECT r.query_id, kw.id, kw.score, kw.rank FROM kw JOIN (SELECT vec_id // {QUERY_STEP} AS query_id FROM embeddings WHERE vec_id % {QUERY_STEP} = 0) r ON kw.query_id = r.query_id % {len(KEYWORDS)})"
+_LEGS = f"{_vector_sql(k=50)}, {_BM25}, {_KR}"
 
 
-def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    semantic = search.vector_search(corpus(spark, sf_dir), request_vectors(spark, sf_dir), 50).drop("rank")
-    return semantic.withColumn("query_id", F.col("query_id").cast("bigint")), keyword_hits(spark, sf_dir).drop("rank")
+def legs(spark: SparkSession, sf_dir: str, user: User | None = None) -> tuple[DataFrame, DataFrame]:
+    """Semantic and keyword candidates of each request; with a user only of what the user may see, cut afterwards."""
+    vectors, asked = corpus(spark, sf_dir), request_vectors(spark, sf_dir)
+    docs = documents(spark, sf_dir)
+    may = None if user is None else fl.acl_prefilter(docs, user)
+    if may is not None:
+        vectors = vectors.join(docs.filter(may).select(F.col("doc_id").alias("id")), "id", "left_semi")
+    semantic = search.vector_search(vectors, asked, 50).drop("rank")
+    keyword = search.bm25(docs.withColumnRenamed("doc_id", "id"), KEYWORDS, ("text",), 50, may).select(F.col("query_id").alias("words"), "id", "score")
+    # Fifty hits for each of four keyword sets.
+    keyword = asked.select("query_id").join(F.broadcast(keyword), F.col("query_id") % len(KEYWORDS) == F.col("words")).select("query_id", "id", "score")
+    return semantic, keyword
 
 
-_RRF = "rrf AS (SELECT query_id, id, sum(s) AS score FROM (SELECT query_id, id, 0.7 / (59.0 + rank) AS s FROM sem UNION ALL SELECT query_id, id, 0.3 / (59.0 + rank) FROM kw) GROUP BY 1, 2)"
+_RRF = "rrf AS (SELECT query_id, id, sum(s) AS score FROM (SELECT query_id, id, 0.7 / (59.0 + rank) AS s FROM sem UNION ALL SELECT query_id, id, 0.3 / (59.0 + rank) FROM kr) GROUP BY 1, 2)"
 _ROUNDED = "SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score FROM "
 
 
@@ -291,14 +339,14 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.min_max(legs(spark, sf_dir)[0]).withColumn("score", F.round("score", 6))
 
 
-@query("r05_dedup_max", f"WITH {_LEGS} SELECT query_id::BIGINT AS query_id, id, round(max(score), 6) AS score FROM (SELECT query_id, id, score FROM sem UNION ALL SELECT query_id, id, score FROM kw) GROUP BY 1, 2")
+@query("r05_dedup_max", f"WITH {_LEGS} SELECT query_id::BIGINT AS query_id, id, round(max(score), 6) AS score FROM (SELECT query_id, id, score FROM sem UNION ALL SELECT query_id, id, score FROM kr) GROUP BY 1, 2")
 def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = legs(spark, sf_dir)
     return search.best_per_id(a.select("query_id", "id", "score").unionAll(b.select("query_id", "id", "score"))).withColumn("score", F.round("score", 6))
 
 
 def _pair_sql(side: str) -> str:
-    return f"j AS (SELECT query_id, id, a.x AS s, b.x AS k FROM (SELECT query_id, id, {side} AS x FROM sem WINDOW p AS (PARTITION BY query_id)) a FULL JOIN (SELECT query_id, id, {side} AS x FROM kw WINDOW p AS (PARTITION BY query_id)) b USING (query_id, id))"
+    return f"j AS (SELECT query_id, id, a.x AS s, b.x AS k FROM (SELECT query_id, id, {side} AS x FROM sem WINDOW p AS (PARTITION BY query_id)) a FULL JOIN (SELECT query_id, id, {side} AS x FROM kr WINDOW p AS (PARTITION BY query_id)) b USING (query_id, id))"
 
 
 _Z = "(score - avg(score) OVER p) / CASE WHEN coalesce(stddev_samp(score) OVER p, 0) > 1.1920929e-07 THEN stddev_samp(score) OVER p ELSE 1.0 END"
@@ -327,33 +375,35 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUSED = f"{_LEGS}, {_RRF}, fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS fused_rank FROM rrf) WHERE fused_rank <= 10)"
 
 
-@query("r11_r12_fused_rows", f"WITH {_FUSED} SELECT fu.query_id::BIGINT AS query_id, fu.id, round(fu.score, 6) AS fused_score, fused_rank, round(sem.score, 6) AS semantic_score, sem.rank AS semantic_rank, round(kw.score, 6) AS keyword_score, kw.rank AS keyword_rank, least(sem.rank, kw.rank) AS best_rank, sem.rank IS NOT NULL AND kw.rank IS NOT NULL AS in_both FROM fu LEFT JOIN sem USING (query_id, id) LEFT JOIN kw ON fu.query_id = kw.query_id AND fu.id = kw.id")
+@query("r11_r12_fused_rows", f"WITH {_FUSED} SELECT fu.query_id::BIGINT AS query_id, fu.id, round(fu.score, 6) AS fused_score, fused_rank, round(sem.score, 6) AS semantic_score, sem.rank AS semantic_rank, round(kr.score, 6) AS keyword_score, kr.rank AS keyword_rank, least(sem.rank, kr.rank) AS best_rank, sem.rank IS NOT NULL AND kr.rank IS NOT NULL AS in_both FROM fu LEFT JOIN sem USING (query_id, id) LEFT JOIN kr ON fu.query_id = kr.query_id AND fu.id = kr.id")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fusion.fuse(*legs(spark, sf_dir))
     ranks = {c: F.col(c).cast("bigint") for c in ("fused_rank", "semantic_rank", "keyword_rank", "best_rank")}
     return rows.withColumns(ranks | {c: F.round(c, 6) for c in ("fused_score", "semantic_score", "keyword_score")})
 
 
-def _dedup_sql(extra: str = "") -> str:
-    return f"{_FUSED}, be AS (SELECT * FROM (SELECT fu.*, source, lang, row_number() OVER (PARTITION BY query_id, id // 3 ORDER BY score DESC, id) AS n FROM fu JOIN documents ON id = doc_id WHERE score >= 0.004{extra}) WHERE n = 1)"
+_SEEN = f"SELECT doc_id FROM d WHERE {_PRE}"
+_HYBRID = (
+    f"{D}, {_vector_sql(k=50, where=f'c.vec_id IN ({_SEEN})')}, {_bm25_sql(f'id IN ({_SEEN})')}, {_KR}, {_RRF}, "
+    "fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS fused_rank FROM rrf) WHERE fused_rank <= 10), "
+    f"be AS (SELECT * FROM (SELECT fu.*, source, lang, row_number() OVER (PARTITION BY query_id, id // 3 ORDER BY score DESC, id) AS n FROM fu JOIN d ON id = doc_id WHERE score >= 0.004 AND {_access_sql(MEMBER, True)}) WHERE n = 1)"
+)
 
 
-def hybrid(spark: SparkSession, sf_dir: str, user: User | None = None, k: int = 10, min_score: float = 0.004) -> DataFrame:
-    """The flagship: both legs, fusion cut to ``k``, content, threshold, access, one chunk a document, top ``k``.
+def hybrid(spark: SparkSession, sf_dir: str, user: User = MEMBER, k: int = 10, min_score: float = 0.004) -> DataFrame:
+    """The flagship: both legs over what the user may see, fusion cut to ``k``, content, threshold, access, one chunk a document, top ``k``.
 
     Three neighbouring ids stand for the chunks of one document.  Text is read
     only for the fused rows.
     """
-    best = search.top_k(fusion.rrf(list(legs(spark, sf_dir)), [0.7, 0.3]), k).drop("rank")
+    best = search.top_k(fusion.rrf(list(legs(spark, sf_dir, user)), [0.7, 0.3]), k).drop("rank")
     docs = documents(spark, sf_dir).withColumnRenamed("doc_id", "id")
-    rows = best.filter(F.col("score") >= min_score).join(docs, "id")
-    if user is not None:
-        rows = rows.filter(fl.acl_can_access(user))
+    rows = best.filter(F.col("score") >= min_score).join(docs, "id").filter(fl.acl_can_access(user))
     rows = fusion.best_chunk_per_document(rows.withColumn("document_id", F.floor(F.col("id") / 3)))
     return search.top_k(rows, k).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"), "source", "lang")
 
 
-@query("r13_r14_hybrid_search", f"WITH {_dedup_sql()} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, source, lang FROM be")
+@query("r13_r14_hybrid_search", f"WITH {_HYBRID} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, source, lang FROM be")
 def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir)
 
@@ -380,7 +430,7 @@ def r20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.merge_sub_questions(_multi(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"), "found_by")
 
 
-@query("r21_overlap_rerank", f"WITH {_BM25}, q AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1), h AS (SELECT kw.query_id, kw.id, len(list_intersect(q.terms, w.w)) / len(q.terms)::DOUBLE AS score, kw.score AS original_score FROM kw JOIN q USING (query_id) JOIN w ON w.id = kw.id) SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, round(original_score, 6) AS original_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM h) WHERE n <= 10")
+@query("r21_overlap_rerank", f"WITH {_BM25}, q AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1), h AS (SELECT kw.query_id, kw.id, len(list_intersect(q.terms, w.w)) / len(q.terms)::DOUBLE AS score, kw.score AS original_score FROM kw JOIN q USING (query_id) JOIN k_words w ON w.id = kw.id) SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, round(original_score, 6) AS original_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM h) WHERE n <= 10")
 def r21(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([(q, sorted({t for t in s.split() if t not in search.STOP_WORDS})) for q, s in KEYWORDS.items()], "query_id bigint, q array<string>")
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), search.tokens(F.coalesce("text", F.lit(""))).alias("t"))
@@ -396,7 +446,7 @@ def r26(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("j01_full_outer_lists", f"WITH {_LEGS} SELECT query_id::BIGINT AS query_id, id, sem.id IS NOT NULL AS semantic, kw.id IS NOT NULL AS keyword FROM sem FULL JOIN kw USING (query_id, id)".replace("sem.id IS NOT NULL", "sem.score IS NOT NULL").replace("kw.id IS NOT NULL", "kw.score IS NOT NULL"))
+@query("j01_full_outer_lists", f"WITH {_LEGS} SELECT query_id::BIGINT AS query_id, id, sem.score IS NOT NULL AS semantic, kr.score IS NOT NULL AS keyword FROM sem FULL JOIN kr USING (query_id, id)")
 def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = legs(spark, sf_dir)
     left = a.select("query_id", "id", F.lit(True).alias("s"))

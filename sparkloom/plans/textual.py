@@ -18,11 +18,11 @@ PHRASES = (
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as requests: a phrase, in odd turns followed by the turn's text in ASCII."""
+    """Conversation turns as requests: a phrase, then the turn's whole text, its letters beyond ASCII as x."""
     c = read(spark, sf_dir, "conversations")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(PHRASES) + 1).cast("int"))
-    tail = F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" "), F.substring(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), 1, 200))).otherwise("")
-    return c.select("conv_id", "turn", "role", F.concat(phrase, tail).alias("q"))
+    tail = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x")
+    return c.select("conv_id", "turn", "role", F.concat(phrase, F.lit(" "), tail).alias("q"))
 
 
 def _quoted(items: object) -> str:
@@ -30,7 +30,7 @@ def _quoted(items: object) -> str:
 
 
 Q = f"""q AS (SELECT conv_id, turn, role, list_extract({_quoted(PHRASES)}, ((conv_id * 7 + turn) % {len(PHRASES)} + 1)::INT)
-  || CASE WHEN turn % 2 = 1 THEN ' ' || left(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), 200) ELSE '' END AS q FROM conversations)"""
+  || ' ' || regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g') AS q FROM conversations)"""
 
 
 def _any(expr: str, patterns: tuple[str, ...], flag: str = "") -> str:
@@ -141,9 +141,9 @@ def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).select("conv_id", "turn", F.slice(F.array_distinct(variants), 1, 5).alias("variants"))
 
 
-@query("x07_expansion_lines", r"SELECT doc_id, list_filter(list_transform(string_split(left(text, 400), chr(10)), lambda l: trim(regexp_replace(trim(l), '^([0-9]\.|-|\*|\))', ''))), lambda s: octet_length(encode(s)) BETWEEN 3 AND 500 AND lower(s) <> 'the') AS lines FROM documents")
+@query("x07_expansion_lines", r"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(trim(l), '^([0-9]\.|-|\*|\))', ''))), lambda s: octet_length(encode(s)) BETWEEN 3 AND 500 AND lower(s) <> 'the') AS lines FROM documents")
 def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.transform(F.split(F.substring("text", 1, 400), "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^([0-9]\.|-|\*|\))", "")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^([0-9]\.|-|\*|\))", "")))
     return read(spark, sf_dir, "documents").select("doc_id", F.filter(lines, lambda s: F.octet_length(s).between(3, 500) & (F.lower(s) != "the")).alias("lines"))
 
 
@@ -245,10 +245,10 @@ def r24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", cited.alias("cited"))
 
 
-@query("x30_x60_context_blocks", "SELECT conv_id, string_agg('[' || r || '] ' || role || chr(10) || left(text, 100), chr(10) || '---' || chr(10) ORDER BY r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1")
+@query("x30_x60_context_blocks", "SELECT conv_id, string_agg('[' || r || '] ' || role || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1")
 def x30(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
-    block = F.concat(F.lit("["), F.col("r").cast("string"), F.lit("] "), "role", F.lit("\n"), F.substring("text", 1, 100))
+    block = F.concat(F.lit("["), F.col("r").cast("string"), F.lit("] "), "role", F.lit("\n"), "text")
     parts = F.array_sort(F.collect_list(F.struct("r", block.alias("b"))))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["b"]), "\n---\n").alias("context"))
 
@@ -285,10 +285,10 @@ def x33(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", raw.alias("raw"), tx.display_name(source, title, "Document").alias("name"))
 
 
-@query("x34_modality_text", "SELECT conv_id, turn, concat_ws(chr(10), CASE WHEN turn % 2 = 0 THEN '[Speech] ' || trim(left(text, 40)) END, CASE WHEN turn % 3 = 0 THEN '[Visual] scene' END, CASE WHEN turn % 5 = 0 THEN '[Text on screen] ' || role END) AS fused FROM conversations")
+@query("x34_modality_text", "SELECT conv_id, turn, concat_ws(chr(10), CASE WHEN turn % 2 = 0 THEN '[Speech] ' || trim(text) END, CASE WHEN turn % 3 = 0 THEN '[Visual] scene' END, CASE WHEN turn % 5 = 0 THEN '[Text on screen] ' || role END) AS fused FROM conversations")
 def x34(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("turn")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.modality_text(F.when(t % 2 == 0, F.substring("text", 1, 40)), F.when(t % 3 == 0, " scene "), F.when(t % 5 == 0, F.col("role")).otherwise("  ")).alias("fused"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.modality_text(F.when(t % 2 == 0, F.col("text")), F.when(t % 3 == 0, " scene "), F.when(t % 5 == 0, F.col("role")).otherwise("  ")).alias("fused"))
 
 
 @query("x35_retrieval_cache_key", rf"WITH {Q} SELECT conv_id, turn, 'cache:t' || (conv_id % 4) || ':' || sha256(trim(regexp_replace(lower(q), '[ \t\r\n]+', ' ', 'g')) || '|hyb|10|u' || conv_id || '|g1,g2,|lang=en|1|20|') AS key FROM q")
@@ -363,9 +363,9 @@ def x55(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", tx.positive_int(F.coalesce(nested, flat), 10).alias("top_k"))
 
 
-@query("x57_context_by_sub_question", "SELECT conv_id, turn % 2 AS sub, string_agg(left(text, 30), ' / ' ORDER BY turn) AS context FROM conversations GROUP BY 1, 2")
+@query("x57_context_by_sub_question", "SELECT conv_id, turn % 2 AS sub, string_agg(text, ' / ' ORDER BY turn) AS context FROM conversations GROUP BY 1, 2")
 def x57(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 30).alias("b"))))
+    parts = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("b"))))
     return read(spark, sf_dir, "conversations").groupBy("conv_id", (F.col("turn") % 2).alias("sub")).agg(F.array_join(F.transform(parts, lambda x: x["b"]), " / ").alias("context"))
 
 

@@ -33,6 +33,46 @@ def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ())
     return out.filter(F.col("extension").isin(*[e.lower() for e in extensions])) if extensions else out
 
 
+def fetch(files: DataFrame, source_id: str) -> DataFrame:
+    """The one listed file of this id, with its content; a missing one is an error."""
+    found = files.filter(F.col("source_id") == source_id)
+    if not found.limit(1).count():
+        raise FileNotFoundError(source_id)
+    return found
+
+
+def list_objects(objects: DataFrame, prefix: str, after: str | None = None, limit: int = 1000, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """A page of the keys that begin with ``prefix``, in key order, after the last key of the page before."""
+    page = objects.filter(F.col("key").startswith(prefix))
+    if after is not None:
+        page = page.filter(F.col("key") > after)
+    if extensions:
+        page = page.filter(F.lower(F.regexp_extract("key", r"\.([A-Za-z0-9]+)$", 1)).isin(*[e.lower() for e in extensions]))
+    return page.orderBy("key").limit(limit)
+
+
+def put_objects(objects: DataFrame, store: str) -> None:
+    """Add ``objects(key, content)`` to the store; a key that is put again has its latest content.
+
+    Objects are rows of a Parquet table in buckets of their keys' hash, so that
+    millions of small ones do not become millions of files.
+    """
+    stamped = objects.select("key", F.col("content").cast("binary").alias("content"), F.current_timestamp().alias("at"), F.pmod(F.xxhash64("key"), F.lit(64)).alias("bucket"))
+    stamped.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(store)
+
+
+def objects_of(spark: SparkSession, store: str) -> DataFrame:
+    """(key, content): the latest content of each key."""
+    rows = spark.read.schema("key string, content binary, at timestamp, bucket int").parquet(store)
+    return rows.groupBy("key").agg(F.max_by("content", "at").alias("content"))
+
+
+def copy_objects(spark: SparkSession, store: str, prefix: str, to: str) -> None:
+    """Put the objects under ``prefix`` once more, under ``to`` in place of it."""
+    moved = objects_of(spark, store).filter(F.col("key").startswith(prefix))
+    put_objects(moved.select(F.concat(F.lit(to), F.substr("key", F.lit(len(prefix) + 1))).alias("key"), "content"), store)
+
+
 _TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
 
 
@@ -59,9 +99,9 @@ class _Html(HTMLParser):
             if href and not href.startswith("#"):
                 self.out.links.append(href)
         elif tag == "table":
-            self.table = {"rows": [], "head": False, "caption": None}
+            self.table = {"rows": [], "head": None, "in_head": False, "caption": None}
         elif tag == "thead" and self.table:
-            self.table["head"] = True
+            self.table["in_head"] = True
         elif tag == "tr":
             self.row = []
         elif tag in ("td", "th", "caption"):
@@ -79,13 +119,15 @@ class _Html(HTMLParser):
             self.cell = None
         elif tag == "caption" and self.table and self.cell is not None:
             self.table["caption"], self.cell = "".join(self.cell).strip(), None
+        elif tag == "thead" and self.table:
+            self.table["in_head"] = False
         elif tag == "tr" and self.table and self.row:
-            self.table["rows"].append(self.row)
+            if not self.table["in_head"]:
+                self.table["rows"].append(self.row)
+            elif self.table["head"] is None:  # further rows of the head are no data
+                self.table["head"] = self.row
         elif tag == "table" and self.table:
-            rows = self.table["rows"]
-            headed = bool(rows) and (self.table["head"] or all(t == "th" for t, _ in rows[0]) or True)
-            if headed:
-                self.out.tables.append({"headers": [c for _, c in rows[0]], "rows": [[c for _, c in r] for r in rows[1:]], "caption": self.table["caption"]})
+            self._close_table(self.table)
             self.table = None
         if any(t == tag for t, _ in self.open):
             while True:
@@ -96,6 +138,14 @@ class _Html(HTMLParser):
                 if name == tag:
                     break
 
+    def _close_table(self, table: dict) -> None:
+        """Headers: the head's row, else the first row of header cells only, else the first row."""
+        rows, head = table["rows"], table["head"]
+        if head is None and rows:
+            head = rows.pop(next((k for k, r in enumerate(rows) if all(t == "th" for t, _ in r)), 0))
+        if head is not None:
+            self.out.tables.append({"headers": [c for _, c in head], "rows": [[c for _, c in r] for r in rows], "caption": table["caption"]})
+
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.out.title = (self.out.title or "") + data

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -119,3 +119,22 @@ def invalidate(cache: DataFrame, batch: DataFrame) -> DataFrame:
     """Cached answers without those whose document, or whole tenant, a batch of events names."""
     left = cache.join(batch.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
     return left.join(batch.filter("doc_id IS NULL").select("tenant_id").distinct(), "tenant_id", "left_anti")
+
+
+Handler = Callable[[DataFrame], DataFrame]
+
+
+def run_handlers(stream: DataFrame, kind: str, handlers: dict[str, Handler], path: str, checkpoint: str) -> StreamingQuery:
+    """The extension point for jobs: each kind's rows of a micro-batch go to its handler; kinds without one are dead letters.
+
+    Results and dead letters are written under the batch's id, so a batch that
+    runs twice overwrites itself.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        for name, handle in handlers.items():
+            handle(batch.filter(batch[kind] == name)).write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+        left = batch.filter(F.coalesce(~batch[kind].isin(*handlers), F.lit(True)))
+        left.write.mode("overwrite").parquet(f"{path}/dead/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import filters, text
-from sparkloom.operators import chunking, fusion, intervals, tables
+from sparkloom.operators import chunking, fusion, intervals, reporting, search, tables
 from sparkloom.sources import parsers
 
 CONFIG = chunking.Config(target=20, most=30, overlap=5, least=5)
@@ -112,6 +112,74 @@ def test_markdown_pages_docx():
     assert d.blocks == [("text", "Hi")] and d.tables == [{"headers": ["a"], "rows": [["1"]], "caption": None}]
 
 
+def test_table_headers():
+    rows = "<tr><td>1</td><td>2</td></tr><tr><th>a</th><th>b</th></tr><tr><td>3</td><td>4</td></tr>"
+    read = lambda inner: parsers.parse_html(f"<table>{inner}</table>".encode()).tables
+    assert read(f"<thead><tr><td>x</td></tr></thead>{rows}")[0] == {"headers": ["x"], "rows": [["1", "2"], ["a", "b"], ["3", "4"]], "caption": None}
+    assert read(rows)[0] == {"headers": ["a", "b"], "rows": [["1", "2"], ["3", "4"]], "caption": None}
+    assert read("<tr><td>1</td></tr><tr><td>2</td></tr>")[0] == {"headers": ["1"], "rows": [["2"]], "caption": None}
+    assert read("") == []
+
+
+def test_approximate_search_has_the_recall(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    search.index_vectors(rows, str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index" / "lists")).count() == rows.count()
+    found = {(r.query_id, r.id) for r in search.search_index(spark, str(tmp_path / "index"), asked, 10).collect()}
+    exact = search.vector_search(rows, asked, 10).collect()
+    want = {(r.query_id, r.id) for r in exact}
+    assert len(want) == 10 * asked.count() and len(found & want) >= 0.9 * len(want)
+    # The exact search against brute force, ties by id.
+    vectors = {r.id: r.embedding for r in rows.collect()}
+    for q in (0, 50):
+        scores = sorted((-round(sum(a * b for a, b in zip(vectors[q], v, strict=True)), 9), i) for i, v in vectors.items())[:10]
+        assert [i for _, i in scores] == [r.id for r in sorted(exact, key=lambda r: r.rank) if r.query_id == q]
+
+
+def test_search_of_many_blocks_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    rows = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(20)] + [(30, [1.0]), (31, None)], "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(q, [1.0, 0.0]) for q in range(5)], "query_id bigint, embedding array<double>")
+    got = search.vector_search(rows, asked, 3, 0.5).collect()
+    assert {q: [r.id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in range(5)} == {q: [2, 5, 8] for q in range(5)}
+    assert search.vector_search(rows, asked.limit(0), 3).count() == 0
+
+
+def test_highlights(spark):
+    text = "Thé the " + "x" * 160 + " THE. " + "y " * 200 + "them der" + " z" * 300 + " the the"
+    row = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select(search.highlights(F.col("t"), ["the", "der"]).alias("h")).collect()
+    assert [x.count("<em>") for x in row[0].h] == [1, 1, 1] and row[0].h[0].startswith("Thé <em>the</em>") and "<em>THE</em>." in row[0].h[1]
+    assert all(len(x.replace("<em>", "").replace("</em>", "")) <= 150 for x in row[0].h)
+    assert row[1].h == [] and row[2].h is None
+
+
+def test_fetch_of_a_missing_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    files = parsers.list_files(spark, str(tmp_path))
+    one = files.first().source_id
+    assert parsers.fetch(files, one).count() == 1
+    with pytest.raises(FileNotFoundError):
+        parsers.fetch(files, one + "x")
+
+
+def test_extension_points(spark):
+    with pytest.raises(ValueError):
+        filters.acl_rows(spark.range(1), {"odd": F.lit(1)})
+    with pytest.raises(ValueError):
+        reporting.report(spark.range(1).toDF("n"), "nowhere", ["odd"])
+    bare = filters.acl_rows(spark.range(1), {}).first()
+    assert bare.status == "active" and bare.allowed_groups == [] and bare.tenant_id is None
+
+
+@pytest.mark.parametrize(
+    ("extension", "kinds", "tables", "want"),
+    [("csv", [], 0, "tabular"), ("", ["text"] * 3, 1, "tabular"), ("", ["text"] * 9 + ["code"], 2, "mixed"), ("md", ["heading"] * 2, 0, "hierarchical"), ("", ["code", "text"], 0, "recursive"), ("", ["heading"] * 3, 0, "hierarchical")],
+)
+def test_blocks_take_part_in_the_strategy(extension, kinds, tables, want):
+    assert chunking.select_for(chunking.profile("plain words without any sign " * 80, extension, kinds, tables)) == want
+
+
 def test_listing(spark, tmp_path):
     (tmp_path / "a.MD").write_text("# A\nx")
     (tmp_path / "sub").mkdir()
