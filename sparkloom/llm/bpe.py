@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import bound_batches
 from .words import texts_of
 
 #: Words and token pairs that a worker keeps.
@@ -292,6 +293,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     )
                     counts, ids, texts, pending, start = [], [], [], 0, k + 1
 
+    bound_batches(docs.sparkSession)
     part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = part.schema["doc_id"].dataType.simpleString()
     out = part.mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids {'string' if digests else 'array<int>'}, decoded string")

@@ -7,6 +7,7 @@ whole chain, and the reread table gives Spark exact sizes for its join choice.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 Write = Callable[[DataFrame, str], DataFrame]
+#: Bytes that a Python worker is handed at a time, whatever the length of texts.
+ARROW_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch: rows of long texts then come in small numbers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"\d+", spark.conf.get(name))
+    if not held or not 0 < int(held[0]) <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
+    bound_batches(spark)
     return f"{shared_dir(spark)}/sparkloom/{tag}-{uuid.uuid4().hex}"
 
 
