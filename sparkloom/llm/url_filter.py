@@ -29,17 +29,50 @@ def canonical_form(url: Column) -> Column:
     return F.concat(F.lit("https://"), host_of(url), path, F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept)))
 
 
-def _absolute(url: Column, href: Column) -> Column:
-    """Absolute and root-relative targets; others are no link."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("/"), F.concat(scheme, href))
+def _without_dots(path: Column) -> Column:
+    """Path segments ``.`` and ``..`` resolved; the path keeps its final slash."""
+    steps = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.array_append(done, x)),
+    )
+    ends = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise("")
+    return F.concat(F.array_join(steps, "/"), ends)
+
+
+def resolved(url: Column, href: Column) -> Column:
+    """A link's target seen from its page: absolute, or relative to the scheme, host, folder or page; null for other schemes and anchors."""
+    target = F.regexp_replace(F.replace(F.trim(href), F.lit("&amp;"), F.lit("&")), r"(?s)#.*$", "")
+    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    page = F.regexp_extract(url, r"(?s)^([^?#]*)", 1)
+    folder = F.regexp_extract(F.concat(path_of(url), F.lit("")), r"(?s)^(.*/)", 1)
+    tail = F.regexp_extract(target, r"(?s)(\?.*)$", 1)
+    own = F.regexp_replace(target, r"(?s)\?.*$", "")
+    return (
+        F.when(F.coalesce(target, F.lit("")) == "", None)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("?"), F.concat(page, target))
+        .when(target.startswith("/"), F.concat(site, _without_dots(own), tail))
+        .otherwise(F.concat(site, _without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own)), tail))
+    )
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, in double, single or no quotes."""
+    pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    found = [F.nullif(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3)]
+    return F.coalesce(*found, F.lit(""))
 
 
 def declared_links(url: Column, html: Column) -> list[Column]:
-    """Targets of link rel=canonical and of meta refresh in the page."""
-    canonical = F.regexp_extract(html, r"(?i)<link\b(?=[^>]*\brel=[\"']?canonical\b)[^>]*\bhref=[\"']([^\"'>]*)", 1)
-    refresh = F.regexp_extract(html, r"(?i)<meta\b(?=[^>]*\bhttp-equiv=[\"']?refresh\b)[^>]*\bcontent=[\"'][^\"'>]*?url=([^\"'>]*)", 1)
-    return [_absolute(url, canonical), _absolute(url, refresh)]
+    """Targets of the first link rel=canonical and of the first meta refresh in the page."""
+    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?\s*canonical\b)[^>]*>""", 0)
+    meta = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b)[^>]*>""", 0)
+    refresh = F.regexp_extract(_attribute(meta, "content"), r"""(?is)\burl\s*=\s*["']?([^"']*)""", 1)
+    return [resolved(url, _attribute(link, "href")), resolved(url, refresh)]
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -72,8 +105,10 @@ def filter_urls(
     rule of its own; else an explicit block on any url blocks them.
 
     A null url or one without ``://`` has empty host and path, no rule and no
-    alias, and is allowed.  Repeated pages each get a row; null html links
-    nothing; an empty table gives an empty result.
+    alias, and is allowed.  Of rules of one length that fit, equal ones by name,
+    allow goes first.  Repeated pages each get a row; null html links nothing;
+    an empty table gives an empty result; other columns are ignored, whatever
+    their names.
     """
     url = F.col("url")
     source = pages.select(
@@ -120,6 +155,7 @@ def filter_urls(
 #: Fixed rules of the registered query.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
+#: For tables whose pages declare no links: the only edges are those from a url to its canonical form.
 URL_SQL = r"""
 WITH p AS (
   SELECT page_id, url,

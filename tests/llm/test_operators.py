@@ -27,12 +27,13 @@ AWKWARD = [
     (8, " \t\n ", "de", "c", 8),
     (9, "é ö <|endoftext|> don't #$%", "de", "c", 9),
 ]
-CLASH = "doc_id long, text string, lang string, source string, size long"
+#: The last columns clash with names that operators use inside.
+CLASH = "doc_id long, text string, lang string, source string, size long, sid string, doc string, key int, tokens string, kept int, row string, line string"
 
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    return spark.createDataFrame(AWKWARD, CLASH)
+    return spark.createDataFrame([(*r, "s", "d", 1, "t", 0, "r", "l") for r in AWKWARD], CLASH)
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +124,60 @@ def test_url_filter(spark, sf_dir):
     assert url_filter.filter_urls(frame.limit(0), url_filter.RULES).count() == 0
 
 
+def test_links_are_resolved(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    pages = ["http://a.org/x/y/z.html?q=1#top", "https://b.net", "http://c.com/d/"]
+    hrefs = ["http://e.org/f", "//g.org/h?i", "/j/../k", "l.html", "./m", "../n/", "../../../o", "?p=1", "q?r=/s", "t/./u/..", "v&amp;w", "#x", "mailto:y@z.org", ""]
+    rows = [(u, h) for u in pages for h in hrefs]
+    frame = spark.createDataFrame(rows, "url string, href string").select("url", "href", url_filter.resolved(F.col("url"), F.col("href")).alias("target"))
+    for r in frame.collect():
+        if r.href in ("", "#x", "mailto:y@z.org"):
+            assert r.target is None
+        else:
+            assert r.target == urldefrag(urljoin(r.url, r.href.replace("&amp;", "&")))[0], (r.url, r.href)
+
+
+def test_url_filter_against_brute_force(spark):
+    """Unquoted and relative links, ties of rules, very long urls and pages, clashing columns."""
+    import random
+
+    rnd = random.Random(11)
+    urls = [f"http://h{k}.{d}/p/{k}.html" for k in range(40) for d in ("net", "org", "com")]
+    urls += ["http://example.net/en/" + "x" * 20_000, "http://q.org/fr/" + "y/" * 3000]
+    pages = []
+    for k, u in enumerate(urls):
+        to = rnd.choice(urls)
+        quote = rnd.choice(['"', "'", ""])
+        html = rnd.choice(["", f"<LINK Rel={quote}canonical{quote} hreflang=en HREF={quote}{to}{quote}>", f"<meta content=\"3; URL={to}\" http-equiv=refresh>", "z" * 200_000])
+        pages.append((k, u, html, "clash", k))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, host string, component long")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    def rule(u):
+        host, path = re.match(r"https?://([^/?#]*)([^?#]*)", u).groups()
+        fits = [(len(r), r, a) for a, r in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return max(fits)[1:] if fits else (None, None)
+
+    for _, u, html, *_ in pages:
+        canon = "https://" + re.sub(r"(\.html|/)$", "", u.split("://")[1])
+        for v in [canon, *re.findall(r"(?i)(?:href=|url=)[\"']?([^\"'>]+)", html)]:
+            root[find(u)] = find(v)
+    flags = defaultdict(set)
+    for u in list(root):
+        flags[find(u)].add(rule(u)[1])
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(frame, url_filter.RULES).collect()}
+    for k, u, *_ in pages:
+        name, action = rule(u)
+        inherited = "allow" if "allow" in flags[find(u)] or "block" not in flags[find(u)] else "block"
+        assert got[k] == (name, action or inherited), u
+
+
 def test_quality(docs, texts, awkward, empty, sf_dir):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for i, t in texts.items():
