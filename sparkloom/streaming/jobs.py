@@ -37,10 +37,21 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return timed.groupBy(F.session_window("at", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", "session_window.start", "session_window.end", "n")
 
 
-def token_bucket(stream: DataFrame, rate: float, burst: float) -> DataFrame:
-    """(user_id, event_id, allowed): each event takes a token; tokens come back at ``rate`` a second up to ``burst``."""
+def _timed(stream: DataFrame, late: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    return stream.withColumns({"at": at, "us": F.unix_micros(at)}).withWatermark("at", late)
+
+
+def token_bucket(stream: DataFrame, rate: float, burst: float, late: str = "1 hour") -> DataFrame:
+    """(user_id, event_id, allowed): each event takes a token; tokens come back at ``rate`` a second up to ``burst``.
+
+    A bucket that had time to fill up is like a new one, so its state goes then.
+    """
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (burst, None)
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         allowed = []
@@ -51,13 +62,14 @@ def token_bucket(stream: DataFrame, rate: float, burst: float) -> DataFrame:
             allowed.append(tokens >= 1)
             tokens -= 1 if allowed[-1] else 0
         state.update((float(tokens), last))
+        state.setTimeoutTimestamp(max(last // 1000 + int(burst / rate * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
     return (
-        stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-        .select("user_id", "event_id", "us")
+        _timed(stream, late)
+        .select("user_id", "event_id", "us", "at")
         .groupBy("user_id")
-        .applyInPandasWithState(work, "user_id bigint, event_id bigint, allowed boolean", "tokens double, last bigint", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(work, "user_id bigint, event_id bigint, allowed boolean", "tokens double, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -90,12 +102,17 @@ def circuit_breaker(stream: DataFrame, failures: int = 3, open_seconds: float =
     )
 
 
-def token_buffer(stream: DataFrame, least: int, wait_ms: int) -> DataFrame:
-    """(user_id, event_ids): events leave in groups of ``least``, or when one arrives ``wait_ms`` after the first."""
+def token_buffer(stream: DataFrame, least: int, wait_ms: int, late: str = "1 hour") -> DataFrame:
+    """(user_id, event_ids): events leave in groups of ``least``, or ``wait_ms`` after the first: when the next one comes, or
+    when the watermark has passed that time."""
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, first = state.get if state.exists else ([], 0)
         ids = [int(x) for x in ids]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "event_ids": [ids]})
+            return
         out = []
         for us, event in pd.concat(list(frames)).sort_values(["us", "event_id"])[["us", "event_id"]].itertuples(index=False):
             if not ids:
@@ -104,14 +121,18 @@ def token_buffer(stream: DataFrame, least: int, wait_ms: int) -> DataFrame:
             if len(ids) >= least or us - first >= wait_ms * 1000:
                 out.append(ids)
                 ids = []
-        state.update((ids, int(first)))
+        if ids:
+            state.update((ids, int(first)))
+            state.setTimeoutTimestamp(max(first // 1000 + wait_ms, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_ids": out})
 
     return (
-        stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-        .select("user_id", "event_id", "us")
+        _timed(stream, late)
+        .select("user_id", "event_id", "us", "at")
         .groupBy("user_id")
-        .applyInPandasWithState(work, "user_id bigint, event_ids array<bigint>", "ids array<bigint>, first bigint", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(work, "user_id bigint, event_ids array<bigint>", "ids array<bigint>, first bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
