@@ -577,7 +577,21 @@ def test_pipeline_stages(spark, docs, texts, sf_dir):
         least.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
     assert ids[1] == set(least.values())
     assert ids[2] == {i for i, _, c in jaccard_components({i: texts[i] for i in ids[1]}) if i == c}
-    assert ids[3] <= ids[2] and ids[4] == ids[3] and ids[3]
+    # Mixing: the cells' probabilities, and the draw of each id.
+    rows = {r.doc_id: r for r in docs.select("doc_id", mixing.n_words(F.col("text")).alias("tokens"), *[c.alias(d) for d, c in mixing.production_dims().items()]).collect()}
+    cells = defaultdict(int)
+    for i in ids[2]:
+        cells[rows[i].source, rows[i].lang, rows[i].topic] += rows[i].tokens
+    chance = brute_mixing(cells, mixing.TARGETS)[0]
+    draw = lambda i: int(hashlib.sha256(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    assert ids[3] == {i for i in ids[2] if draw(i) < chance[rows[i].source, rows[i].lang, rows[i].topic]} and ids[3]
+    # Encoding: the library's ids of each document that is left.
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(registry.vocabulary())
+    for r in now.collect():
+        want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+    assert ids[4] == ids[3]
 
 
 def test_pipeline_on_awkward_rows(spark, awkward, empty, sf_dir):
