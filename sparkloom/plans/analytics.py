@@ -229,8 +229,12 @@ def w03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w02_hash_chain_check", f"WITH {E}, h AS (SELECT event_id, tenant_id, ts, sha256({_ENTRY}) AS entry_hash FROM e), c AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'broken' ELSE lag(entry_hash) OVER o END AS previous_hash, lag(entry_hash) OVER o AS expected FROM h WINDOW o AS (PARTITION BY tenant_id ORDER BY ts, event_id)) SELECT tenant_id, count(*) AS n, count(*) FILTER (previous_hash IS DISTINCT FROM expected) AS breaks, min(event_id) FILTER (previous_hash IS DISTINCT FROM expected) AS first_break FROM c GROUP BY 1")
 def w02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("tenant_id").orderBy("ts", "event_id")
-    h = events(spark, sf_dir).withColumn("entry_hash", F.sha2(entry_json(), 256)).withColumn("expected", F.lag("entry_hash").over(order))
+    """A chain for each tenant, checked day by day: a day's first entry follows the last one of the tenant's day before."""
+    order = W.partitionBy("tenant_id", "day").orderBy("ts", "event_id")
+    h = events(spark, sf_dir).withColumn("entry_hash", F.sha2(entry_json(), 256))
+    ends = h.groupBy("tenant_id", "day").agg(F.max_by("entry_hash", F.struct("ts", "event_id")).alias("last"))  # one row a day
+    borders = ends.select("tenant_id", "day", F.lag("last").over(W.partitionBy("tenant_id").orderBy("day")).alias("border"))
+    h = h.withColumn("before", F.lag("entry_hash").over(order)).join(borders, ["tenant_id", "day"]).withColumn("expected", F.coalesce("before", "border"))
     stored = F.when(F.col("event_id") % 97 == 0, "broken").otherwise(F.col("expected"))
     bad = ~stored.eqNullSafe(F.col("expected"))
     return h.groupBy("tenant_id").agg(n_rows("n"), count_if(bad).alias("breaks"), F.min(F.when(bad, F.col("event_id"))).alias("first_break"))
