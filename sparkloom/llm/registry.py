@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, ngram_join, ppm, quality, substring_dedup, url_filter, warc
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, ppm, prefix_trie, quality, substring_dedup, url_filter, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), hash_all=True)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_quality_rules, op4_ppm_scoring, op5_substring_dedup, op6_warc, op7_line_dedup, op8_bpe, op9_ngram_join, op10_exact_dedup)}
+    all_of_them = (
+        op1_mixing, op2_url_filter, op3_quality_rules, op4_ppm_scoring, op5_substring_dedup, op6_warc, op7_line_dedup, op8_bpe, op9_ngram_join, op10_exact_dedup,
+        op11_prefix_trie, op12_language_id, op13_whitening,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -74,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.WARC_SQL,
         "op7_line_dedup": line_dedup.LINE_SQL,
         "op10_exact_dedup": exact_dedup.EXACT_SQL,
+        "op11_prefix_trie": prefix_trie.TRIE_SQL,
     }
