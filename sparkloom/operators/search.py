@@ -1,4 +1,4 @@
-"""Candidate legs: exact vector top-k and BM25."""
+"""Candidate legs: exact vector top-k and BM25.  The approximate vector search is in ``vector_index``."""
 
 from __future__ import annotations
 
@@ -109,59 +109,6 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, min_score: floa
     return top_k(met.mapInArrow(work, _HITS), k)
 
 
-#: Vectors that the centres of an index are fitted to, and lists of an index at most.
-FIT_ROWS, MOST_LISTS = 20_000, 4096
-
-
-def index_vectors(corpus: DataFrame, path: str, lists: int | None = None, seed: int = 7) -> None:
-    """An index under ``path``: every vector of ``corpus(id, embedding)`` in the list of its nearest centre.
-
-    Centres are fitted to a sample of at most some ``FIT_ROWS`` vectors; each
-    list is a folder of its own, so that a search reads few of them.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = corpus.filter("embedding is not null").select("id", "embedding", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    n = rows.count()
-    lists = lists or max(1, min(MOST_LISTS, int(n**0.5)))
-    sample = rows.sample(min(1.0, FIT_ROWS / max(1, n)), seed)
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(sample)
-    model.transform(rows).select("id", "embedding", F.col("prediction").alias("list")).write.partitionBy("list").parquet(f"{path}/lists")
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    corpus.sparkSession.createDataFrame(centres, "list int, centre array<double>").write.parquet(f"{path}/centres")
-
-
-def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank) from the lists of the ``probes`` nearest centres of each query: two fifths of them, and twelve at least,
-    where nothing is known of the vectors; well-clustered ones need far fewer."""
-    centres = sorted(spark.read.parquet(f"{path}/centres").collect())  # at most MOST_LISTS
-    names, matrix = np.array([c[0] for c in centres]), np.array([c[1] for c in centres])
-    probes = min(len(names), probes or max(12, len(names) * 2 // 5))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.empty((0, matrix.shape[1]))
-            gap = (matrix**2).sum(1) - 2 * asked @ matrix.T
-            best = np.argpartition(gap, probes - 1, axis=1)[:, :probes]
-            owner = np.repeat(np.arange(len(asked)), probes)
-            yield pa.RecordBatch.from_arrays([pa.array(names[best.ravel()], pa.int32()), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))], names=["list", "query_id", "embedding"])
-
-    kind = queries.schema["embedding"].dataType.simpleString()
-    probing = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").mapInArrow(near, f"list int, query_id bigint, embedding {kind}")
-    indexed = spark.read.parquet(f"{path}/lists")
-
-    def score(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not asked.num_rows:
-            return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
-        grid = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
-        ids = vectors.column("id").cast(pa.int64()).to_numpy()
-        return pa.Table.from_batches([_scored(ids, grid(vectors), asked.column("query_id").to_numpy(), grid(asked), k, None)])
-
-    met = indexed.groupBy("list").cogroup(probing.groupBy("list")).applyInArrow(score, _HITS)
-    return top_k(met, k)
-
-
 def average_vector(rows: DataFrame, by: str) -> DataFrame:
     """Element-wise mean of the vectors of a group."""
     cells = rows.select(by, F.posexplode("embedding").alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))

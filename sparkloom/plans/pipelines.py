@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,21 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import chunking
 from ..sources import parsers
+from ..sources.shared import new_path as _scratch
 from ..sources.tables import DOCUMENTS_SQL as D, EVENTS_SQL as E, documents, event_stream, events, read
 from ..streaming import jobs
 from .catalog import query
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is set and all runs on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/sparkloom-shared"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 for _name, _strategy in (("c01_c02_recursive", "recursive"), ("c05_c06_semantic", "semantic"), ("c09_hierarchical", "hierarchical"), ("c10_c11_qa", "qa"), ("c12_c14_tabular", "tabular"), ("c16_mixed", "mixed"), ("c19_auto", None)):
 
     def _run(spark: SparkSession, sf_dir: str, strategy: str | None = _strategy) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import filters as fl
 from ..functions.filters import Condition, Filter, User
 from ..operators import fusion, search
+from ..sources.shared import kept
 from ..sources.tables import DOCUMENTS_SQL as D, documents, read
 from .catalog import query
 
@@ -296,11 +297,8 @@ def b01p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b01_k05_indexed", f"WITH {_FIELDS} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b0) WHERE rank <= 50")
 def b01i(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stored index: a request reads the postings of its terms only."""
-    from .pipelines import _scratch
-
-    path = _scratch(spark, "postings")
-    search.index_postings(titled(spark, sf_dir), path, ("text", "title"))
+    """The same from a kept index: a request reads the postings of its terms only."""
+    path = kept(spark, "postings", sf_dir, lambda p: search.index_postings(titled(spark, sf_dir), p, ("text", "title")))
     return search.bm25_indexed(spark, path, KEYWORDS, ("text", "title")).select("query_id", "id", F.round("score", 6).alias("score"))
 
 

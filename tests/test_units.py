@@ -1,6 +1,7 @@
 """Operators on constants: chunking, parsers, fusion invariants, access rules, intervals."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import filters, text
-from sparkloom.operators import chunking, fusion, intervals, reporting, search, tables
+from sparkloom.operators import chunking, fusion, intervals, reporting, search, tables, vector_index
 from sparkloom.sources import parsers
 
 CONFIG = chunking.Config(target=20, most=30, overlap=5, least=5)
@@ -121,15 +122,24 @@ def test_table_headers():
     assert read("") == []
 
 
-def test_approximate_search_has_the_recall(spark, tmp_path):
+def neighbours(rows, asked, k=10):
+    return {(r.query_id, r.id) for r in search.vector_search(rows, asked, k).collect()}
+
+
+@pytest.mark.parametrize("literals", [0, 10_000])
+def test_approximate_search_has_the_recall(spark, tmp_path, monkeypatch, literals):
+    monkeypatch.setattr(vector_index, "MOST_LITERALS", literals)
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").withColumnRenamed("vec_id", "id")
     asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
-    search.index_vectors(rows, str(tmp_path / "index"))
-    assert spark.read.parquet(str(tmp_path / "index" / "lists")).count() == rows.count()
-    found = {(r.query_id, r.id) for r in search.search_index(spark, str(tmp_path / "index"), asked, 10).collect()}
+    path = str(tmp_path / "index")
+    vector_index.index_vectors(rows, path)
+    assert spark.read.parquet(f"{path}/codes").count() == spark.read.parquet(f"{path}/vectors").count() == rows.count()
+    hits = vector_index.search_index(spark, path, asked, 10).collect()
     exact = search.vector_search(rows, asked, 10).collect()
-    want = {(r.query_id, r.id) for r in exact}
-    assert len(want) == 10 * asked.count() and len(found & want) >= 0.9 * len(want)
+    want = {(r.query_id, r.id): r.score for r in exact}
+    found = {(r.query_id, r.id): r.score for r in hits}
+    assert len(want) == 10 * asked.count() and len(found.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(abs(s - want[k]) < 1e-8 for k, s in found.items() if k in want)
     # The exact search against brute force, ties by id.
     vectors = {r.id: r.embedding for r in rows.collect()}
     for q in (0, 50):
@@ -137,6 +147,50 @@ def test_approximate_search_has_the_recall(spark, tmp_path):
         assert [i for _, i in scores] == [r.id for r in sorted(exact, key=lambda r: r.rank) if r.query_id == q]
 
 
+def test_approximate_search_reads_few_lists(spark, tmp_path, monkeypatch):
+    """Clustered vectors: each request reads at most a tenth of the codes and fewer vectors, by partition filters; a third of all
+    vectors are equal and their list is split."""
+    import numpy as np
+
+    monkeypatch.setattr(vector_index, "PART_ROWS", 300)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 15)) * 4
+    made = [(i, (centres[i % 40] + rng.standard_normal(15)).tolist()) for i in range(4000)] + [(i, centres[0].tolist()) for i in range(4000, 6000)]
+    rows = spark.createDataFrame([*made, (9000, None), (9001, [1.0])], "id bigint, embedding array<double>")
+    path = str(tmp_path / "index")
+    vector_index.index_vectors(rows, path, lists=60)
+    codes = spark.read.parquet(f"{path}/codes")
+    assert codes.count() == 6000 and codes.groupBy("list", "part").count().agg(F.max("count")).first()[0] < 500
+    near = [i for i in range(50, 4000, 50) if i % 40]
+    found, want = set(), set()
+    for i in near[:3]:
+        asked = rows.filter(F.col("id") == i).select(F.col("id").alias("query_id"), "embedding")
+        hits = vector_index.search_index(spark, path, asked, 10)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        lists = [[int(x) for x in m.split(",")] for m in re.findall(r"PartitionFilters: \[list#\d+ IN \(([\d,]+)\)", plan)]
+        lists += [[int(x)] for x in re.findall(r"PartitionFilters: \[isnotnull\(list#\d+\), \(list#\d+ = (\d+)\)", plan)]
+        assert lists and "In(id" in plan, plan
+        probed = vector_index.candidates(spark, path, asked, 80).select("list").distinct()
+        assert codes.join(probed, "list").count() <= 600
+        found |= {(r.query_id, r.id) for r in hits.collect()}
+        want |= neighbours(rows, asked)
+    assert len(found & want) >= 0.9 * len(want)
+    every = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    hits, exact = vector_index.search_index(spark, path, every, 10).collect(), search.vector_search(rows, every, 10).collect()
+    # Equal vectors tie: scores are compared, not ids.
+    best = {(r.query_id, r["rank"]): r.score for r in exact}
+    assert sum(abs(r.score - best[r.query_id, r["rank"]]) < 1e-6 for r in hits) >= 0.9 * len(best)
+
+
+def test_approximate_search_of_few_or_no_vectors(spark, tmp_path):
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None)], "query_id bigint, embedding array<double>")
+    for name, rows, ids in (("none", [], []), ("null", [(1, None)], []), ("two", [(1, [1.0, 2.0]), (2, [3.0, 1.0])], [2, 1])):
+        path = str(tmp_path / name)
+        vector_index.index_vectors(spark.createDataFrame(rows, "id bigint, embedding array<double>"), path)
+        got = vector_index.search_index(spark, path, asked, 5).collect()
+        assert [(r.query_id, r.id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, i) for i in ids]
+
+
 def test_search_of_many_blocks_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 2)
     rows = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(20)] + [(30, [1.0]), (31, None)], "id bigint, embedding array<double>")
