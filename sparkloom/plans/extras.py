@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import filters as fl, text as tx
+from ..functions import filters as fl, stemming, text as tx
 from ..operators import fusion, search, vector_index
 from ..sources.shared import kept
 from ..sources.tables import DOCUMENTS_SQL as D, EVENTS_SQL as E, documents, events, read
@@ -17,12 +17,19 @@ from .retrieval import MEMBER, _MULTI, _access_sql, _multi, corpus, request_vect
 from .textual import Q, _any, q, requests
 
 
-@query("b03_stemmed_analyzer", r"SELECT doc_id, list_transform(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 5 THEN regexp_replace(w, '(ing|ed|es|s)$', '') ELSE w END) AS stems FROM documents")
+_STOPS = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+
+
+@query(
+    "b03_stemmed_analyzer",
+    r"WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents), "
+    f"u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM t), v AS (SELECT DISTINCT w FROM u), {stemming.stem_sql('v')}, "
+    f"k AS (SELECT doc_id, list(stem ORDER BY pos) AS stems FROM u JOIN stemmed USING (w) WHERE stem NOT IN ({_STOPS}) GROUP BY 1) "
+    "SELECT t.doc_id, CASE WHEN t.ws IS NOT NULL THEN coalesce(k.stems, []) END AS stems FROM t LEFT JOIN k ON t.doc_id = k.doc_id",
+)
 def b03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lighter of the two analyzers: common English endings of longer words go."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    stems = F.transform(words, lambda w: F.when(F.length(w) > 5, F.regexp_replace(w, "(ing|ed|es|s)$", "")).otherwise(w))
-    return read(spark, sf_dir, "documents").select("doc_id", stems.alias("stems"))
+    """The second analyzer: lower case, English stems, stop words off."""
+    return read(spark, sf_dir, "documents").select("doc_id", stemming.stemmed_tokens(F.col("text"), search.STOP_WORDS).alias("stems"))
 
 
 # Keys of a stored document that are no metadata.
