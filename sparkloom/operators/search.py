@@ -199,6 +199,18 @@ def bm25_indexed(spark: SparkSession, path: str, queries: dict[int, str], fields
     return top_k(_best_field(legs), k)
 
 
+def bm25_requests(spark: SparkSession, path: str, pairs: DataFrame, k: int, field: str = "text") -> DataFrame:
+    """(query_id, id, score, rank) of any number of requests ``pairs(query_id, term)`` from an index: postings meet the terms in a join."""
+    read = lambda part: spark.read.parquet(f"{path}/{field}/{part}")
+    asked = pairs.select("query_id", "term").distinct()
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = asked.join(read("terms"), "term").join(F.broadcast(read("stats")))  # one row of statistics
+    weighted = terms.select("query_id", "term", "avgdl", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = read("postings").join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    return top_k(scored, k)
+
+
 def best_per_id(hits: DataFrame, by: str = "query_id") -> DataFrame:
     """Several lists of one request into one: the best score of each id."""
     return hits.groupBy(by, "id").agg(F.max("score").alias("score"))

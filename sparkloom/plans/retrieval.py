@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import filters as fl
 from ..functions.filters import Condition, Filter, User
-from ..operators import fusion, search
+from ..operators import fusion, rerank, search
 from ..sources.shared import kept
 from ..sources.tables import DOCUMENTS_SQL as D, documents, read
 from .catalog import query
@@ -437,6 +437,35 @@ def r21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", F.round("score", 6).alias("score"), F.round("original_score", 6).alias("original_score"))
 
 
+#: Candidates of a request that the model orders.
+CANDIDATES = 50
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each benchmark item with features; relevant: judged to be of good quality, null where nobody has judged.
+
+    An item's requests are its analysed words; its vector is that of its best candidate.
+    """
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(search.tokens(F.coalesce("text", F.lit("")))).alias("terms"))
+    path = kept(spark, "postings", sf_dir, lambda p: search.index_postings(titled(spark, sf_dir), p, ("text", "title")))
+    hits = search.bm25_requests(spark, path, items.select("query_id", F.explode("terms").alias("term")), CANDIDATES)
+    vectors = corpus(spark, sf_dir).select("id", "embedding")
+    first = hits.filter("rank = 1").select("query_id", "id").join(vectors, "id").select("query_id", F.col("embedding").alias("asked"))
+    rows = hits.join(items, "query_id").join(titled(spark, sf_dir), "id").join(vectors, "id", "left").join(first, "query_id", "left")
+    rows = rows.withColumn("semantic", search.dot_columns("asked", "embedding")).drop("asked", "embedding")
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("relevant"))
+    return rerank.features(rows).join(labels, "id", "left").drop("text", "title", "terms", "semantic")
+
+
+@query("r21_learned_rerank")
+def r21l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten of each benchmark item by a model fitted to the judged candidates of every other one."""
+    rows = _judged(spark, sf_dir)
+    model = rerank.fit_ranker(rows.filter("query_id % 2 = 0"))
+    out = rerank.rerank(rows, model, 10, 0.01)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.round("original_score", 6).alias("original_score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("r26_result_summary", f"WITH {_vector_sql(k=50)} SELECT query_id, count(*) AS n, round(min(score), 6) AS low, round(max(score), 6) AS high, count(DISTINCT id // 3) AS documents FROM sem GROUP BY 1")
 def r26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs(spark, sf_dir)[0].groupBy("query_id").agg(
