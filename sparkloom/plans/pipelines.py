@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import chunking
+from ..operators import chunking, embedding
 from ..sources import parsers
-from ..sources.shared import new_path as _scratch
+from ..sources.shared import kept, new_path as _scratch
 from ..sources.tables import DOCUMENTS_SQL as D, EVENTS_SQL as E, documents, event_stream, events, read
 from ..streaming import jobs
 from .catalog import query
@@ -42,31 +39,12 @@ def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.list_files(spark, sf_dir, ("PARQUET",)).select("name", "extension", "size")
 
 
-def hashed_embedding(texts: pd.Series, dims: int = 64) -> pd.Series:
-    """The offline embedder: signed word hashes, unit length."""
-    import zlib
-
-    import numpy as np
-
-    def one(t: str | None) -> list[float]:
-        v = np.zeros(dims)
-        for w in (t or "").lower().split():
-            h = zlib.crc32(w.encode())
-            v[h % dims] += 1 if h & 0x8000 else -1
-        size = float(np.linalg.norm(v))
-        return (v / size if size else v).astype("float32").tolist()
-
-    return texts.map(one)
-
-
 @query("v09_v10_embed")
 def v09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield hashed_embedding(texts)
-
-    return read(spark, sf_dir, "documents").select("doc_id", embed("text").alias("embedding"))
+    """Vectors of all documents by the model learned from them; encoded in groups of at most 32, failures are tried again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = kept(spark, "word-vectors", sf_dir, lambda p: embedding.fit_word_vectors(docs, p))
+    return embedding.embed(docs, embedding.load_word_vectors(spark, path))
 
 
 _USAGE = f"WITH {E} SELECT tenant_id, day, model, sum(tokens)::BIGINT AS tokens FROM e GROUP BY 1, 2, 3"
