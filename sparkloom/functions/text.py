@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
+from .spans import ascii_bounds
+
 # Word lists and patterns that decide results.
 QUESTION_WORDS = ("who", "what", "where", "when", "why", "how", "which", "whose")
 GREETINGS = (
@@ -151,7 +153,7 @@ PII = {
     "CREDIT_CARD": r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b",
     "PHONE_NUMBER": r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}",
     "IP_ADDRESS": r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",
-    "DATE": r"\b(?:[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})\b",
+    "DATE": r"\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2})\b",
     "PASSPORT": r"\b[A-Z]{1,2}[0-9]{6,9}\b",
     "BANK_ACCOUNT": r"\b[0-9]{8,17}\b",
     "DRIVERS_LICENSE": r"\b[A-Z]{1,2}[0-9]{5,8}\b",
@@ -307,15 +309,25 @@ def rerank_needed(override: Column, strategy: Column, intent: Column, score: Col
     return F.coalesce(override, hard | (F.lower(intent) == "analytical") | (score >= 0.75))
 
 
+def may_hold(text: Column, kind: str) -> Column:
+    """A cheap test that every text with a match passes: a sign that all matches of the pattern hold."""
+    if kind == "EMAIL_ADDRESS":
+        return F.contains(text, F.lit("@"))
+    if kind == "MEDICAL_RECORD":
+        return F.contains(text, F.lit("MR")) | F.contains(text, F.lit("Medical Record"))
+    return text.rlike("[0-9]")
+
+
 def pii_counts(text: Column) -> dict[str, Column]:
-    return {k: F.regexp_count(text, F.lit(p)) for k, p in PII.items()}
+    return {k: F.when(may_hold(text, k), F.regexp_count(text, F.lit(ascii_bounds(p)))).when(text.isNotNull(), 0) for k, p in PII.items()}
 
 
 def redacted(text: Column) -> Column:
-    """Types replaced one after the other, so overlapping finds can't garble each other."""
+    """Types replaced one after the other, so overlapping finds can't garble each other; texts without a sign of any are left alone."""
+    out = text
     for kind, pattern in PII.items():
-        text = F.regexp_replace(text, pattern, f"[{kind}]")
-    return text
+        out = F.regexp_replace(out, ascii_bounds(pattern), f"[{kind}]")
+    return F.when(reduce(or_, (may_hold(text, kind) for kind in PII)), out).otherwise(text)
 
 
 def without_secrets(text: Column) -> Column:

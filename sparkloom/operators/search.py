@@ -221,11 +221,16 @@ def highlighted(text: Column, terms: list[str]) -> Column:
     return F.regexp_replace(text, r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(terms) + r")(?![\p{L}\p{N}])", "<em>$1</em>")
 
 
-def highlights(text: Column, terms: list[str], size: int = 150, most: int = 3) -> Column:
-    """Up to ``most`` fragments that hold a term, marked.
+def highlights(text: Column, terms: list[str] | dict[str, float], size: int = 150, most: int = 3) -> Column:
+    """The ``most`` best fragments that hold a term, marked, in the order of the text.
 
-    Fragments are ``size`` characters, cut after the last white space where there is one.
+    Fragments are ``size`` characters, cut after the last white space where
+    there is one.  A fragment is as good as the weights of the different terms
+    that it holds (1 each unless given); of equal ones the earlier is better.
     """
+    weights = terms if isinstance(terms, dict) else dict.fromkeys(terms, 1.0)
     fragments = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{size}}}(?=\s|$)|.{{1,{size}}})"), 1)
-    marked = F.transform(fragments, lambda x: highlighted(x, terms))
-    return F.slice(F.filter(marked, lambda x: x.contains("<em>")), 1, most)
+    value = lambda x: sum((F.when(highlighted(x, [t]) != x, F.lit(float(w))).otherwise(0.0) for t, w in weights.items()), F.lit(0.0))
+    judged = F.filter(F.transform(fragments, lambda x, i: F.struct((-value(x)).alias("worse"), i.alias("at"), x.alias("text"))), lambda s: s["worse"] < 0)
+    best = F.array_sort(F.transform(F.slice(F.array_sort(judged), 1, most), lambda s: F.struct(s["at"], s["text"])))
+    return F.transform(best, lambda s: highlighted(s["text"], list(weights)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators import intervals, tables
+from ..operators import chains, containment, intervals, tables
 from ..sources.tables import DOCUMENTS_SQL as D, EVENTS_SQL as E, documents, events, read
 from .catalog import query
 
@@ -240,13 +240,16 @@ def w02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("tenant_id").agg(n_rows("n"), count_if(bad).alias("breaks"), F.min(F.when(bad, F.col("event_id"))).alias("first_break"))
 
 
-@query("w04_generated_hash_chain")
+@query(
+    "w04_generated_hash_chain",
+    f"WITH RECURSIVE {E}, o AS (SELECT user_id, event_id, sha256({_ENTRY}) AS body, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e), "
+    "c AS (SELECT user_id, event_id, k, '' AS previous_hash, sha256(body) AS chain_hash FROM o WHERE k = 1 UNION ALL "
+    "SELECT o.user_id, o.event_id, o.k, c.chain_hash, sha256(c.chain_hash || o.body) FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1) SELECT user_id, event_id, previous_hash, chain_hash FROM c",
+)
 def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entry's hash covers the one before; a chain for each user, folded in order."""
-    rows = events(spark, sf_dir).withColumn("body", F.sha2(entry_json(), 256))
-    chains = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "body"))).alias("c"))
-    last = F.aggregate("c", F.lit(""), lambda h, x: F.sha2(F.concat(h, x["body"]), 256))
-    return chains.select("user_id", F.size("c").alias("n"), last.alias("chain_hash"))
+    rows = events(spark, sf_dir).select("user_id", "event_id", "ts", F.sha2(entry_json(), 256).alias("body"))
+    return chains.chained(rows, "user_id", ["ts", "event_id"], "body").select("user_id", "event_id", "previous_hash", "chain_hash")
 
 
 @query("w05_token_budget", f"WITH t AS (SELECT conv_id, turn, {_TOKENS_SQL} AS tokens FROM conversations), r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t) SELECT conv_id, turn, CASE WHEN run <= 300 THEN tokens ELSE 300 - (run - tokens) END::BIGINT AS used, run > 300 AS truncated FROM r WHERE run <= 300 OR 300 - (run - tokens) > 50")
@@ -282,8 +285,11 @@ def w09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w10_text_dedup_in_order")
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
-    return turns.select("conv_id", F.size("texts").alias("n"), F.size(intervals.first_texts(F.col("texts"))).alias("kept"))
+    """How many texts of a conversation stay, and their letters: those that repeat, hold or lie in an earlier one go."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("id"), "text")
+    kept = containment.first_texts(turns).groupBy("key").agg(n_rows("kept"), F.sum(F.length("text")).cast("bigint").alias("letters"))
+    every = turns.groupBy("key").agg(n_rows("n"))
+    return every.join(kept, "key", "left").select(F.col("key").alias("conv_id"), "n", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("letters", F.lit(0)).alias("letters"))
 
 
 @query("w11_first_boundary_frame", "SELECT user_id, arg_min(event_id, (NOT (event_type = 'click'), ts, event_id)) AS frame FROM events GROUP BY 1")
@@ -311,9 +317,9 @@ def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", (F.count(F.lit(1)).over(near) > 3).alias("suppressed"))
 
 
-@query("w15_regular_timestamps", "SELECT o_orderkey AS video, unnest(range(0, o_orderkey * 700, 5000))::BIGINT AS at_ms FROM orders WHERE o_orderkey <= 100")
+@query("w15_regular_timestamps", "SELECT o_orderkey AS video, unnest(range(0, o_orderkey % 200 * 700, 5000))::BIGINT AS at_ms FROM orders")
 def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = read(spark, sf_dir, "orders").filter("o_orderkey <= 100").withColumn("d", (F.col("o_orderkey") * 700).cast("bigint"))
+    v = read(spark, sf_dir, "orders").withColumn("d", (F.col("o_orderkey") % 200 * 700).cast("bigint"))
     return v.filter("d > 0").select(F.col("o_orderkey").alias("video"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1, F.lit(5000).cast("bigint"))).alias("at_ms"))
 
 

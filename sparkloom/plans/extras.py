@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import filters as fl, stemming, text as tx
+from ..functions import filters as fl, spans, stemming, text as tx
 from ..operators import fusion, search, vector_index
 from ..sources.shared import kept
 from ..sources.tables import DOCUMENTS_SQL as D, EVENTS_SQL as E, documents, events, read
@@ -93,21 +90,8 @@ def x09(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x15_guardrail_pii")
 def x15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans by type in order; a span that overlaps an earlier one is no find."""
-    patterns = [(k, re.compile(p)) for k, p in tx.PII.items()]
-
-    @F.pandas_udf("array<struct<kind:string,start:int,stop:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[dict]:
-            found: list[dict] = []
-            for kind, p in patterns:
-                for m in p.finditer(t or ""):
-                    if all(m.end() <= x["start"] or m.start() >= x["stop"] for x in found):
-                        found.append({"kind": kind, "start": m.start(), "stop": m.end()})
-            return found
-
-        return texts.map(one)
-
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(spans("text")).alias("x"))
+    patterns = {kind: "(?U)" + p for kind, p in tx.PII.items()}  # word letters of any script
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(spans.first_come_spans(F.col("text"), patterns)).alias("x"))
     return rows.select("doc_id", "x.kind", "x.start", "x.stop")
 
 

@@ -119,10 +119,10 @@ _docs("f41_group_access", "visibility = 'public' OR list_has_any(allowed_groups,
 _docs("f42_accessible_subset", f"doc_id IN (1, 5, 9, 13, 17, 21, 25, 29) AND {_access_sql(MEMBER, True)}", lambda d: d.doc_id.isin(1, 5, 9, 13, 17, 21, 25, 29) & fl.acl_can_access(MEMBER))
 
 
-@query("f31_by_content_hash", f"WITH {D} SELECT doc_id FROM d WHERE tenant_id = 't1' AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id < 20)")
+@query("f31_by_content_hash", f"WITH {D} SELECT doc_id FROM d WHERE tenant_id = 't1' AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 50 = 0)")
 def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).withColumn("h", F.sha2("text", 256))
-    return d.filter(d.tenant_id == "t1").join(d.filter("doc_id < 20").select("h"), "h", "left_semi").select("doc_id")
+    return d.filter(d.tenant_id == "t1").join(d.filter("doc_id % 50 = 0").select("h"), "h", "left_semi").select("doc_id")
 
 
 @query("f33_by_status", f"WITH {D} SELECT doc_id, status FROM d WHERE status = 'deleted' ORDER BY doc_id LIMIT 25")
@@ -480,10 +480,10 @@ def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(b.select("query_id", "id", F.lit(True).alias("k")), ["query_id", "id"], "full_outer").select("query_id", "id", F.coalesce("s", F.lit(False)).alias("semantic"), F.coalesce("k", F.lit(False)).alias("keyword"))
 
 
-@query("j02_content_lookup", f"WITH {_FUSED} SELECT fu.query_id::BIGINT AS query_id, fu.id, left(text, 80) AS content FROM fu JOIN documents ON id = doc_id")
+@query("j02_content_lookup", f"WITH {_FUSED} SELECT fu.query_id::BIGINT AS query_id, fu.id, text AS content FROM fu JOIN documents ON id = doc_id")
 def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = search.top_k(fusion.rrf(list(legs(spark, sf_dir)), [0.7, 0.3]), 10)
-    return best.join(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id").select("query_id", "id", F.substring("text", 1, 80).alias("content"))
+    return best.join(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id").select("query_id", "id", F.col("text").alias("content"))
 
 
 @query("r22_fused_rerank_by_label", f"WITH {_FUSED} SELECT fu.query_id::BIGINT AS query_id, fu.id, round(fu.score, 6) AS fused_score, label FROM fu JOIN embeddings ON fu.id = vec_id")

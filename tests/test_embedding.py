@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from sparkloom.operators import embedding
+from sparkloom.plans import pipelines  # noqa: F401  it registers its queries
 from sparkloom.plans.catalog import QUERIES
 
 
