@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators import chunking, embedding
+from ..operators import chunking, embedding, quality_metrics
 from ..sources import parsers
 from ..sources.shared import kept, new_path as _scratch
 from ..sources.tables import DOCUMENTS_SQL as D, EVENTS_SQL as E, documents, event_stream, events, read
@@ -161,3 +161,14 @@ def u08(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = turns.select("conv_id", "turn", words("text").alias("y")).join(other, ["conv_id", "turn"])
     share = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.lit(1))
     return both.select("conv_id", "turn", F.round(share, 6).alias("score"))
+
+
+@query("u08_quality_metrics")
+def u08m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of each assistant turn: the turn before asks, the three before that are its context, the next assistant turn is the truth."""
+    order = W.partitionBy("conv_id").orderBy("turn")
+    turns = read(spark, sf_dir, "conversations")
+    earlier = F.array_compact(F.array(*[F.lag("text", k).over(order) for k in (2, 3, 4)]))
+    rows = turns.select("conv_id", "turn", "role", F.col("text").alias("answer"), F.lag("text").over(order).alias("question"), earlier.alias("contexts"), F.lead("text", 2).over(order).alias("ground_truth"))
+    samples = rows.filter("role = 'assistant'").withColumn("id", F.struct("conv_id", "turn"))
+    return quality_metrics.evaluate(samples).select("id.conv_id", "id.turn", "metric", F.round("score", 6).alias("score"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from . import stateful
 
 
 def usage_totals(stream: DataFrame) -> DataFrame:
@@ -45,95 +45,21 @@ def _timed(stream: DataFrame, late: str) -> DataFrame:
 def token_bucket(stream: DataFrame, rate: float, burst: float, late: str = "1 hour") -> DataFrame:
     """(user_id, event_id, allowed): each event takes a token; tokens come back at ``rate`` a second up to ``burst``.
 
-    A bucket that had time to fill up is like a new one, so its state goes then.
+    A row later than the watermark is dropped; one that is late within it takes
+    a token, but no token comes back for the time that it is late.
     """
+    return stateful.run(_timed(stream, late), "user_id", stateful.TokenBucket(rate, burst), "user_id bigint, event_id bigint, allowed boolean")
 
-    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (burst, None)
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        allowed = []
-        for us in rows["us"]:
-            if last is not None:
-                tokens = min(burst, tokens + max(0, us - last) / 1e6 * rate)
-            last = int(us)
-            allowed.append(tokens >= 1)
-            tokens -= 1 if allowed[-1] else 0
-        state.update((float(tokens), last))
-        state.setTimeoutTimestamp(max(last // 1000 + int(burst / rate * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": allowed})
-
-    return (
-        _timed(stream, late)
-        .select("user_id", "event_id", "us", "at")
-        .groupBy("user_id")
-        .applyInPandasWithState(work, "user_id bigint, event_id bigint, allowed boolean", "tokens double, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
-def circuit_breaker(stream: DataFrame, failures: int = 3, open_seconds: float = 60.0) -> DataFrame:
-    """(event_type, event_id, state): CLOSED, OPEN after failures in a row, HALF_OPEN once the wait is over."""
 
-    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, bad, since = state.get if state.exists else ("CLOSED", 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        out = []
-        for us, good in zip(rows["us"], rows["good"], strict=True):
-            if now == "OPEN" and us - since >= open_seconds * 1e6:
-                now = "HALF_OPEN"
-            if now != "OPEN":
-                if good:
-                    now, bad = "CLOSED", 0
-                else:
-                    bad += 1
-                    if now == "HALF_OPEN" or bad >= failures:
-                        now, since = "OPEN", int(us)
-            out.append(now)
-        state.update((now, int(bad), int(since)))
-        yield pd.DataFrame({"event_type": key[0], "event_id": rows["event_id"], "state": out})
-
-    return (
-        stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-        .select("event_type", "event_id", "us", "good")
-        .groupBy("event_type")
-        .applyInPandasWithState(work, "event_type string, event_id bigint, state string", "now string, bad bigint, since bigint", "append", GroupStateTimeout.NoTimeout)
-    )
+def circuit_breaker(stream: DataFrame, failures: int = 3, open_seconds: float = 60.0, late: str = "1 hour") -> DataFrame:
+    """(event_type, event_id, state): CLOSED, OPEN after failures in a row, HALF_OPEN once the wait is over."""
+    return stateful.run(_timed(stream, late), "event_type", stateful.CircuitBreaker(failures, open_seconds), "event_type string, event_id bigint, state string")
 
 
 def token_buffer(stream: DataFrame, least: int, wait_ms: int, late: str = "1 hour") -> DataFrame:
     """(user_id, event_ids): events leave in groups of ``least``, or ``wait_ms`` after the first: when the next one comes, or
     when the watermark has passed that time."""
-
-    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, first = state.get if state.exists else ([], 0)
-        ids = [int(x) for x in ids]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "event_ids": [ids]})
-            return
-        out = []
-        for us, event in pd.concat(list(frames)).sort_values(["us", "event_id"])[["us", "event_id"]].itertuples(index=False):
-            if not ids:
-                first = int(us)
-            ids.append(int(event))
-            if len(ids) >= least or us - first >= wait_ms * 1000:
-                out.append(ids)
-                ids = []
-        if ids:
-            state.update((ids, int(first)))
-            state.setTimeoutTimestamp(max(first // 1000 + wait_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_ids": out})
-
-    return (
-        _timed(stream, late)
-        .select("user_id", "event_id", "us", "at")
-        .groupBy("user_id")
-        .applyInPandasWithState(work, "user_id bigint, event_ids array<bigint>", "ids array<bigint>, first bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    return stateful.run(_timed(stream, late), "user_id", stateful.TokenBuffer(least, wait_ms), "user_id bigint, event_ids array<bigint>")
 
 
 def invalidate(cache: DataFrame, batch: DataFrame) -> DataFrame:
