@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -146,20 +147,33 @@ def bm25_scores(docs: DataFrame, queries: dict[int, str], fields: tuple[str, ...
     """(query_id, id, score) of all hits: the best field's Okapi score, terms joined by OR.
 
     ``keep`` says which documents may be hits; the statistics are those of all.
-    Query terms are literals, so documents are reduced to their term counts
-    where they are read; postings of other terms never leave the task.
+    A first pass counts documents and those of each term, one row; a second one
+    scores every document where it is read, so nothing but hits is shuffled.
     """
     wanted = query_terms(queries)
     terms = sorted({t for _, t in wanted})
+    by_query: dict[int, list[str]] = {}
+    for q, t in wanted:
+        by_query.setdefault(q, []).append(t)
     legs = []
     for field_ in fields:
-        words = docs.select("id", tokens(F.coalesce(F.col(field_), F.lit(""))).alias("w"), (F.lit(True) if keep is None else keep).alias("may")).withColumn("dl", F.size("w"))
-        stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        counted = words.select("id", "dl", "may", F.explode(F.filter("w", lambda x: x.isin(*terms) if terms else F.lit(False))).alias("term"))
-        tf = counted.groupBy("id", "dl", "may", "term").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        pairs = docs.sparkSession.createDataFrame(wanted or [(0, "")], "query_id bigint, term string")
-        legs.append(_okapi(tf.filter("may"), df, stats, pairs))
+        words = tokens(F.coalesce(F.col(field_), F.lit("")))
+        found = F.filter("w", lambda x: x.isin(*terms)) if terms else F.array().cast("array<string>")
+        rows = docs.withColumn("w", words).select("id", F.size("w").alias("dl"), found.alias("w"), (F.lit(True) if keep is None else keep).alias("may"))
+        stats = rows.agg(F.count(F.lit(1)), F.avg("dl"), *[F.count_if(F.array_contains("w", t)) for t in terms]).first()
+        n, average, df = stats[0], float(stats[1] or 0.0) or 1.0, dict(zip(terms, stats[2:], strict=True))
+        dampening = K1 * (1 - B + B * F.col("dl") / F.lit(average))
+
+        def part(term: str, n: int = n, df: dict[str, int] = df, dampening: Column = dampening) -> Column:
+            tf = F.size(F.filter("w", lambda x: x == term))
+            return F.lit(math.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))) * tf * (K1 + 1) / (tf + dampening)
+
+        scores = [
+            F.when(F.arrays_overlap("w", F.array(*map(F.lit, ts))), F.struct(F.lit(q).cast("bigint").alias("query_id"), F.round(sum((part(t) for t in ts), F.lit(0.0)), 9).alias("score")))
+            for q, ts in by_query.items()
+        ]
+        every = F.array_compact(F.array(*scores)) if scores else F.array().cast("array<struct<query_id:bigint,score:double>>")
+        legs.append(rows.filter(F.col("may") & (F.size("w") > 0)).select("id", F.explode(every).alias("hit")).select("hit.query_id", "id", "hit.score"))
     return _best_field(legs)
 
 
@@ -189,14 +203,15 @@ def index_postings(docs: DataFrame, path: str, fields: tuple[str, ...] = ("text"
         words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/{field_}/stats")
 
 
-def bm25_indexed(spark: SparkSession, path: str, queries: dict[int, str], fields: tuple[str, ...] = ("text",), k: int = 50) -> DataFrame:
-    """As ``bm25``, from an index; term filters reach the scans."""
+def bm25_indexed(spark: SparkSession, path: str, queries: dict[int, str], fields: tuple[str, ...] = ("text",), k: int = 50, allowed: DataFrame | None = None) -> DataFrame:
+    """As ``bm25``, from an index; term filters reach the scans.  Only ids of ``allowed(id)`` may be hits."""
     wanted = query_terms(queries)
     pairs = spark.createDataFrame(wanted or [(0, "")], "query_id bigint, term string")
     terms = sorted({t for _, t in wanted}) or [""]
     read = lambda field_, part: spark.read.parquet(f"{path}/{field_}/{part}")
     legs = [_okapi(read(f, "postings").filter(F.col("term").isin(*terms)), read(f, "terms").filter(F.col("term").isin(*terms)), read(f, "stats"), pairs) for f in fields]
-    return top_k(_best_field(legs), k)
+    hits = _best_field(legs)
+    return top_k(hits if allowed is None else hits.join(allowed.select("id"), "id", "left_semi"), k)
 
 
 def bm25_requests(spark: SparkSession, path: str, pairs: DataFrame, k: int, field: str = "text") -> DataFrame:

@@ -237,13 +237,19 @@ def _bm25_sql(where: str = "true") -> str:
 _BM25 = _bm25_sql()
 
 
-def keyword_hits(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
-    return search.bm25(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), KEYWORDS, ("text",), k)
+def postings(spark: SparkSession, sf_dir: str) -> str:
+    """The kept index of texts and titles."""
+    return kept(spark, "postings", sf_dir, lambda p: search.index_postings(titled(spark, sf_dir), p, ("text", "title")))
+
+
+def keyword_hits(spark: SparkSession, sf_dir: str, k: int = 50, allowed: DataFrame | None = None) -> DataFrame:
+    return search.bm25_indexed(spark, postings(spark, sf_dir), KEYWORDS, ("text",), k, allowed)
 
 
 @query("b01_bm25", f"WITH {_BM25} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, rank FROM kw")
 def b01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_hits(spark, sf_dir).select(F.col("query_id"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    """Without an index: two passes over the texts."""
+    return search.bm25(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), KEYWORDS, ("text",), 50).select(F.col("query_id"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("b02_analyzer", f"WITH {_BM25} SELECT id, len(w)::BIGINT AS n_tokens, w[1] AS first_token FROM k_words")
@@ -298,8 +304,7 @@ def b01p(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b01_k05_indexed", f"WITH {_FIELDS} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b0) WHERE rank <= 50")
 def b01i(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a kept index: a request reads the postings of its terms only."""
-    path = kept(spark, "postings", sf_dir, lambda p: search.index_postings(titled(spark, sf_dir), p, ("text", "title")))
-    return search.bm25_indexed(spark, path, KEYWORDS, ("text", "title")).select("query_id", "id", F.round("score", 6).alias("score"))
+    return search.bm25_indexed(spark, postings(spark, sf_dir), KEYWORDS, ("text", "title")).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 # --- fusion --------------------------------------------------------------------------------------
@@ -314,10 +319,11 @@ def legs(spark: SparkSession, sf_dir: str, user: User | None = None) -> tuple[Da
     vectors, asked = corpus(spark, sf_dir), request_vectors(spark, sf_dir)
     docs = documents(spark, sf_dir)
     may = None if user is None else fl.acl_prefilter(docs, user)
-    if may is not None:
-        vectors = vectors.join(docs.filter(may).select(F.col("doc_id").alias("id")), "id", "left_semi")
+    allowed = None if may is None else docs.filter(may).select(F.col("doc_id").alias("id"))
+    if allowed is not None:
+        vectors = vectors.join(allowed, "id", "left_semi")
     semantic = search.vector_search(vectors, asked, 50).drop("rank")
-    keyword = search.bm25(docs.withColumnRenamed("doc_id", "id"), KEYWORDS, ("text",), 50, may).select(F.col("query_id").alias("words"), "id", "score")
+    keyword = keyword_hits(spark, sf_dir, 50, allowed).select(F.col("query_id").alias("words"), "id", "score")
     # Fifty hits for each of four keyword sets.
     keyword = asked.select("query_id").join(F.broadcast(keyword), F.col("query_id") % len(KEYWORDS) == F.col("words")).select("query_id", "id", "score")
     return semantic, keyword
@@ -447,8 +453,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     An item's requests are its analysed words; its vector is that of its best candidate.
     """
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(search.tokens(F.coalesce("text", F.lit("")))).alias("terms"))
-    path = kept(spark, "postings", sf_dir, lambda p: search.index_postings(titled(spark, sf_dir), p, ("text", "title")))
-    hits = search.bm25_requests(spark, path, items.select("query_id", F.explode("terms").alias("term")), CANDIDATES)
+    hits = search.bm25_requests(spark, postings(spark, sf_dir), items.select("query_id", F.explode("terms").alias("term")), CANDIDATES)
     vectors = corpus(spark, sf_dir).select("id", "embedding")
     first = hits.filter("rank = 1").select("query_id", "id").join(vectors, "id").select("query_id", F.col("embedding").alias("asked"))
     rows = hits.join(items, "query_id").join(titled(spark, sf_dir), "id").join(vectors, "id", "left").join(first, "query_id", "left")
