@@ -18,15 +18,17 @@ GAMMA = 1.02
 MIN_ROWS = 50
 #: Quantiles of a group's sketch: its spread below and above the median.
 LOW, HIGH = 0.1, 0.9
-#: metric: (spreads from the median that are still allowed, limit of a group without spread), the latter per mille
+#: metric: (spreads from the median that are still allowed, limit where no level of grouping has any spread), the latter per mille
 METRICS = {
     "symbols": (4.0, 100),
     "dup_lines": (4.0, 300),
     "repeats": (4.0, 100),
-    "word_size": (4.0, 12000),
+    "word_size": (6.0, 12000),
 }
 #: Metrics whose junk a base rule fails at any limit.
 BASE_RULED = {"repeats"}
+#: Metrics that are parts of a whole: a limit of 1,000 fails nothing.
+SHARES = {"dup_lines", "repeats"}
 
 
 def _repeated_words(ids: np.ndarray) -> int:
@@ -173,23 +175,25 @@ def limits(rows: DataFrame, groups: list[str], min_rows: int = MIN_ROWS) -> Data
     """
     with temporary(rows.sparkSession) as write:
         sketch = write(thresholds(rows, groups, write), "quality-quantiles")
-        above, below = F.col("p90") - F.col("p50"), F.col("p50") - F.col("p10")
         out = sketch.filter(F.col("level") == len(groups)).select(*groups).distinct()
         for k in range(len(groups), -1, -1):
             wide = sketch.filter((F.col("level") == k) & (F.col("size") >= (min_rows if k else 0)))
-            wide = wide.groupBy(*groups[:k]).agg(
-                *[
-                    F.max(F.when(F.col("metric") == m, F.greatest(F.lit(float(least)), F.col("p50") + spread * width))).alias(f"{name}{k}_{m}")
-                    for m, (spread, least) in METRICS.items()
-                    for name, width in (("t", above), ("f", above if m in BASE_RULED else below))
-                ]
-            )
+            parts = {"m": F.col("p50"), "a": F.col("p90") - F.col("p50"), "b": F.col("p50") - F.col("p10")}
+            wide = wide.groupBy(*groups[:k]).agg(*[F.max(F.when(F.col("metric") == m, v)).alias(f"{n}{k}_{m}") for m in METRICS for n, v in parts.items()])
             out = out.join(wide, groups[:k], "left") if k else out.join(F.broadcast(wide), how="left")  # the last has one row
 
+        def reach(m: str, k: int, side: str) -> Column:
+            """The median and so many spreads: the widest one of this level and the wider ones."""
+            spread, constant = METRICS[m]
+            width = F.greatest(*[F.col(f"{side}{j}_{m}") for j in range(k + 1)]) if k else F.col(f"{side}0_{m}")
+            found = F.when(width > 0, F.col(f"m{k}_{m}") + spread * width).otherwise(F.greatest(F.lit(float(constant)), f"m{k}_{m}"))
+            return F.when(F.col(f"m{k}_{m}").isNotNull(), F.least(found, F.lit(1000.0)) if m in SHARES else found)
+
         def limit(m: str) -> Column:
-            found = F.least(f"t0_{m}", f"f0_{m}")
+            other = "a" if m in BASE_RULED else "b"
+            found = F.least(reach(m, 0, "a"), reach(m, 0, other))
             for k in range(1, len(groups) + 1):
-                found = F.least(f"t{k}_{m}", F.greatest(f"f{k}_{m}", found))
+                found = F.least(reach(m, k, "a"), F.greatest(reach(m, k, other), found))
             return found.alias(f"limit_{m}")
 
         return materialize(out.select(*groups, *[limit(m) for m in METRICS]), "quality-limits")
@@ -216,17 +220,20 @@ def quality_rules(
 
     Base rules fail texts of under 10 words or with over 20 % of words in
     repeated windows.  Then each metric of a row is held against the limit of
-    its language and source: median + 4 x (90th percentile - median), never
-    under what a group without any spread is allowed; the limit of small groups
-    is that of the language, then that of all rows.  Only what stands far out of
-    its own group's distribution goes, so clean documents stay.
+    its language and source: median + 4 (word size: 6) x spread.  The spread is
+    90th percentile - median, at least that of the language and that of all
+    rows; only where all three are zero, as for symbols in a corpus that has
+    next to none, a constant takes its place.  The limit of small groups is that
+    of the language, then that of all rows.  Only what stands far out of its own
+    group's distribution goes, so clean documents stay.
 
     Where over a tenth of a group is junk, its 90th percentile is junk as well.
     So for metrics that no base rule bounds, this limit holds only as far as the
-    spread below the median bears it out, median + 4 x (median - 10th
-    percentile), or the limit of the language, and that one's likewise as far
-    as the limit of all rows.  A source that is regularly high in a metric keeps
-    its own limit; the tail of one that is mostly low does not set it.
+    spread below the median (median - 10th percentile, likewise at least the
+    wider groups') bears it out, or the limit of the language, and that one's
+    likewise as far as the limit of all rows.  A source that is regularly high
+    in a metric keeps its own limit; the tail of one that is mostly low does not
+    set it.
 
     Null text is empty (and fails the base rules); null groups form one of their
     own; repeated rows are judged alike; an empty table gives an empty result;
@@ -262,16 +269,25 @@ def quality_sql(table: str = "documents") -> str:
         "word_size": "floor(word_chars * 1000 / greatest(n_words, 1))",
     }
     union = " UNION ALL ".join(f"SELECT row_no, lang, source, '{m}' AS metric, {e} AS v FROM s" for m, e in metric_rows.items())
-    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x[1]}.0::DOUBLE" for m, x in METRICS.items()) + " END"
+    spread, constant = ("CASE metric " + " ".join(f"WHEN '{m}' THEN {float(x[i])}::DOUBLE" for m, x in METRICS.items()) + " END" for i in (0, 1))
+    ruled, shares = (", ".join(f"'{m}'" for m in sorted(names)) for names in (BASE_RULED, SHARES))
+
+    def reach(k: int, side: str) -> str:
+        width = f"greatest({', '.join(f't{j}.{side}' for j in range(k + 1))})" if k else f"t0.{side}"
+        found = f"CASE WHEN {width} > 0 THEN t{k}.p50 + ({spread.replace('metric', 'm.metric')}) * {width} ELSE greatest({constant.replace('metric', 'm.metric')}, t{k}.p50) END"
+        return f"CASE WHEN t{k}.p50 IS NOT NULL THEN CASE WHEN m.metric IN ({shares}) THEN least({found}, 1000.0) ELSE {found} END END"
+
+    def other(k: int) -> str:
+        return f"CASE WHEN m.metric IN ({ruled}) THEN {reach(k, 'a')} ELSE {reach(k, 'b')} END"
 
-    ruled = ", ".join(f"'{m}'" for m in sorted(BASE_RULED))
-    limit = "least(t2.t, greatest(t2.f, least(t1.t, greatest(t1.f, least(t0.t, t0.f)))))"  # nulls of small groups are skipped
+    limit = f"least({reach(0, 'a')}, {other(0)})"
+    for k in (1, 2):  # nulls of small groups are skipped
+        limit = f"least({reach(k, 'a')}, greatest({other(k)}, {limit}))"
 
     def level(name: str, keys: str, at_least: int) -> str:
         group = f"{keys}, " if keys else ""
         return f"""{name} AS (
-  SELECT {group}metric, greatest({least}, p50 + 4.0 * (p90 - p50)) AS t,
-         CASE WHEN metric IN ({ruled}) THEN greatest({least}, p50 + 4.0 * (p90 - p50)) ELSE greatest({least}, p50 + 4.0 * (p50 - p10)) END AS f FROM (
+  SELECT {group}metric, p50, p90 - p50 AS a, p50 - p10 AS b FROM (
     SELECT {group}metric, max(size) AS size,
       max(CASE WHEN run >= ceil(size * 0.1::DOUBLE) AND run - n < ceil(size * 0.1::DOUBLE) THEN q END) AS p10,
       max(CASE WHEN run >= ceil(size * 0.5::DOUBLE) AND run - n < ceil(size * 0.5::DOUBLE) THEN q END) AS p50,

@@ -199,6 +199,53 @@ def test_quality(docs, texts, awkward, empty, sf_dir):
     assert quality.quality_rules(empty).count() == 0
 
 
+def brute_limits(rows, groups=("lang", "source"), min_rows=quality.MIN_ROWS):
+    """Limits of each (group, metric) by sorting each group's values."""
+    levels = [defaultdict(list) for _ in range(3)]
+    for key, values in rows:
+        for k in range(3):
+            levels[k][key[:k]].append(values)
+
+    def sketched(v):
+        return 0.0 if v < 1 else quality.GAMMA ** math.ceil(math.log(v) / math.log(quality.GAMMA))
+
+    out = {}
+    for key in levels[2]:
+        for m, (spread, constant) in quality.METRICS.items():
+            parts = []
+            for k in range(3):
+                held = sorted(v[m] for v in levels[k][key[:k]])
+                p10, p50, p90 = (sketched(held[math.ceil(len(held) * q) - 1]) for q in (quality.LOW, 0.5, quality.HIGH))
+                parts.append((p50, p90 - p50, p50 - p10) if k == 0 or len(held) >= min_rows else None)
+            found = None
+            for k, part in enumerate(parts):
+                if part is None:
+                    continue
+                reach = []
+                for side in (1, 1 if m in quality.BASE_RULED else 2):
+                    width = max(p[side] for p in parts[: k + 1] if p)
+                    limit = part[0] + spread * width if width > 0 else max(float(constant), part[0])
+                    reach.append(min(limit, 1000.0) if m in quality.SHARES else limit)
+                found = min(reach) if k == 0 else min(reach[0], max(reach[1], found))
+            out[key, m] = found
+    return out
+
+
+@pytest.mark.parametrize("min_rows", [quality.MIN_ROWS, 5])
+def test_quality_limits_against_brute_force(spark, docs, min_rows):
+    measured = quality.signals(docs)
+    rows = [((r.g0, r.g1), {m: r[m] for m in quality.METRICS}) for r in measured.select("g0", "g1", *[v.alias(m) for m, v in quality._per_mille().items()]).collect()]
+    want = brute_limits(rows, min_rows=min_rows)
+    found = quality.limits(measured, ["g0", "g1"], min_rows).collect()
+    got = {((r.g0, r.g1), m): r[f"limit_{m}"] for r in found for m in quality.METRICS}
+    assert got == pytest.approx(want)
+    assert all(got[key, m] <= 1000 for key, m in got if m in quality.SHARES)
+    # Where a group or a wider one has spread, its limit is its own and no constant: in all groups for word size and repeats.
+    own = Counter(m for (_, m), v in got.items() if v != quality.METRICS[m][1])
+    assert own["word_size"] == own["repeats"] == len(found)
+    assert min_rows > 5 or len({v for (_, m), v in got.items() if m == "word_size"}) >= 4
+
+
 def brute_ppm(train, texts, order):
     """Method C with exclusion, contexts in plain dictionaries."""
     table = defaultdict(Counter)
