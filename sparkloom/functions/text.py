@@ -198,13 +198,13 @@ STRATEGY_COMPLEXITY = {"no_retrieval": 0.0, "simple": 0.25, "complex": 0.75, "mu
 def any_match(text: Column, patterns: tuple[str, ...], ignore_case: bool = False) -> Column:
     """One scan of the text for all patterns."""
     flag = "(?i)" if ignore_case else ""
-    return text.rlike(flag + "|".join(f"(?:{p})" for p in patterns))
+    return text.rlike(flag + "|".join(f"(?:{ascii_bounds(p)})" for p in patterns))
 
 
 def hits(text: Column, patterns: tuple[str, ...], ignore_case: bool = False) -> Column:
     """How many of the patterns occur."""
     flag = "(?i)" if ignore_case else ""
-    return sum((text.rlike(flag + p).cast("int") for p in patterns), F.lit(0))
+    return sum((text.rlike(flag + ascii_bounds(p)).cast("int") for p in patterns), F.lit(0))
 
 
 def normalize_query(text: Column) -> Column:
@@ -258,7 +258,7 @@ def _steps(n: Column, first: int) -> Column:
 
 
 def complexity(text: Column, weights: tuple[float, float, float] = (0.3, 0.2, 0.3)) -> Column:
-    clauses = 1 + sum((F.regexp_count(text, F.lit("(?i)" + p)) for p in CLAUSES), F.lit(0))
+    clauses = 1 + sum((F.regexp_count(text, F.lit("(?i)" + ascii_bounds(p))) for p in CLAUSES), F.lit(0))
     length = F.least(F.length(F.trim(text)) / 500.0, F.lit(1.0))
     total = weights[0] * _steps(clauses, 1) + weights[1] * length + weights[2] * _steps(hits(text, MODIFIERS, True), 0)
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
@@ -344,7 +344,7 @@ def harm(text: Column) -> Column:
     """The first matching category and severity as 'category:severity', else null."""
     out = F.lit(None).cast("string")
     for pattern, category, severity in reversed(HARMS):
-        out = F.when(text.rlike("(?i)" + pattern), f"{category}:{severity}").otherwise(out)
+        out = F.when(text.rlike("(?i)" + ascii_bounds(pattern)), f"{category}:{severity}").otherwise(out)
     return out
 
 

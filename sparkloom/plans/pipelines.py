@@ -58,6 +58,20 @@ def z01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("tenant_id", "day", "model").agg(F.sum("tokens").alias("tokens"))
 
 
+@query("s02_fetch_files", "SELECT 'nation' AS name, true AS found, count(*) AS rows FROM nation UNION ALL SELECT 'region', true, count(*) FROM region UNION ALL SELECT 'nowhere', false, NULL")
+def s02f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files by id, one of which is not there: their bytes are written elsewhere and read back as tables."""
+    files = parsers.list_files(spark, sf_dir, ("parquet",)).filter(F.col("name").isin("nation.parquet", "region.parquet"))
+    base = files.select(F.max(F.regexp_replace("source_id", "[^/]+$", ""))).first()[0]
+    names = ("nation", "region", "nowhere")
+    wanted = spark.createDataFrame([(f"{base}{n}.parquet", n) for n in names], "source_id string, name string")
+    found = parsers.fetch_many(files, wanted).join(F.broadcast(wanted), "source_id")
+    # A Parquet file ends with the length of its footer and its mark; whole files have both.
+    whole = found.withColumn("whole", F.expr("substring(content, -4)") == F.lit(b"PAR1"))
+    counts = [read(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names[:2]]
+    return whole.select("name", (F.col("found") & F.coalesce("whole", F.lit(False))).alias("found")).join(counts[0].unionAll(counts[1]), "name", "left")
+
+
 def _complete(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """The last complete result of a streaming aggregate."""
     path = _scratch(spark, "complete")

@@ -19,11 +19,10 @@ PHRASES = (
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as requests: a phrase, then the turn's whole text, its letters beyond ASCII as x."""
+    """Conversation turns as requests: a phrase, then the turn's whole text."""
     c = read(spark, sf_dir, "conversations")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(PHRASES) + 1).cast("int"))
-    tail = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x")
-    return c.select("conv_id", "turn", "role", F.concat(phrase, F.lit(" "), tail).alias("q"))
+    return c.select("conv_id", "turn", "role", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
 
 
 def _quoted(items: object) -> str:
@@ -31,7 +30,7 @@ def _quoted(items: object) -> str:
 
 
 Q = f"""q AS (SELECT conv_id, turn, role, list_extract({_quoted(PHRASES)}, ((conv_id * 7 + turn) % {len(PHRASES)} + 1)::INT)
-  || ' ' || regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g') AS q FROM conversations)"""
+  || ' ' || coalesce(text, '') AS q FROM conversations)"""
 
 
 def _any(expr: str, patterns: tuple[str, ...], flag: str = "") -> str:

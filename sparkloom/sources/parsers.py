@@ -41,6 +41,12 @@ def fetch(files: DataFrame, source_id: str) -> DataFrame:
     return found
 
 
+def fetch_many(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted(source_id)`` with found, size, modified and content; files that are not there are marked and the others still come."""
+    held = files.select("source_id", F.lit(True).alias("found"), "size", "modified", "content")
+    return wanted.select("source_id").join(held, "source_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def list_objects(objects: DataFrame, prefix: str, after: str | None = None, limit: int = 1000, extensions: tuple[str, ...] = ()) -> DataFrame:
     """A page of the keys that begin with ``prefix``, in key order, after the last key of the page before."""
     page = objects.filter(F.col("key").startswith(prefix))

@@ -217,6 +217,16 @@ def test_fetch_of_a_missing_file(spark, tmp_path):
         parsers.fetch(files, one + "x")
 
 
+def test_fetch_of_several_files(spark, tmp_path):
+    for name in ("a.txt", "b.txt", "c.txt"):
+        (tmp_path / name).write_text(name * 3)
+    files = parsers.list_files(spark, str(tmp_path))
+    ids = {r.name: r.source_id for r in files.collect()}
+    wanted = spark.createDataFrame([(ids["a.txt"],), (ids["c.txt"],), (ids["a.txt"] + "x",), (None,)], "source_id string")
+    got = {(r.source_id, r.found, bytes(r.content) if r.content else None) for r in parsers.fetch_many(files, wanted).collect()}
+    assert got == {(ids["a.txt"], True, b"a.txt" * 3), (ids["c.txt"], True, b"c.txt" * 3), (ids["a.txt"] + "x", False, None), (None, False, None)}
+
+
 def test_extension_points(spark):
     with pytest.raises(ValueError):
         filters.acl_rows(spark.range(1), {"odd": F.lit(1)})
