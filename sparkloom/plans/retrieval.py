@@ -119,10 +119,11 @@ _docs("f41_group_access", "visibility = 'public' OR list_has_any(allowed_groups,
 _docs("f42_accessible_subset", f"doc_id IN (1, 5, 9, 13, 17, 21, 25, 29) AND {_access_sql(MEMBER, True)}", lambda d: d.doc_id.isin(1, 5, 9, 13, 17, 21, 25, 29) & fl.acl_can_access(MEMBER))
 
 
-@query("f31_by_content_hash", f"WITH {D} SELECT doc_id FROM d WHERE tenant_id = 't1' AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 50 = 0)")
+@query("f31_by_content_hash", f"WITH {D} SELECT doc_id, tenant_id FROM d WHERE (tenant_id, sha256(text)) IN (SELECT tenant_id, sha256(text) FROM d WHERE doc_id % 50 = 0)")
 def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).withColumn("h", F.sha2("text", 256))
-    return d.filter(d.tenant_id == "t1").join(d.filter("doc_id % 50 = 0").select("h"), "h", "left_semi").select("doc_id")
+    """All documents with the content of a looked-up one, every fiftieth, in that one's tenant."""
+    d = documents(spark, sf_dir).select("doc_id", "tenant_id", F.sha2("text", 256).alias("h"))
+    return d.join(d.filter("doc_id % 50 = 0").select("tenant_id", "h"), ["tenant_id", "h"], "left_semi").select("doc_id", "tenant_id")
 
 
 @query("f33_by_status", f"WITH {D} SELECT doc_id, status FROM d WHERE status = 'deleted' ORDER BY doc_id LIMIT 25")
