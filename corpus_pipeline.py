@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from sparkloom.llm.registry import table, vocabulary
-from sparkloom.llm.scratch import materialize
+from sparkloom.llm.scratch import drop, new_path, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and reread by the next."""
+    """All stages over ``documents``, each written to the shared folder and reread by the next; a stage's table goes when the next one's is there."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{k}")
-    return docs
+    held = None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = new_path(spark, f"pipeline-{k}")
+        docs = written(stage(spark, docs, sf_dir), path)
+        if held:
+            drop(spark, held)
+        held = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,14 +45,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{tag}-{uuid.uuid4().hex}"
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table under ``path``, reread."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the reread table, which stays."""
-    return _write(df, new_path(df.sparkSession, tag))
+    return written(df, new_path(df.sparkSession, tag))
 
 
 @contextmanager
@@ -62,7 +63,7 @@ def temporary(spark: SparkSession) -> Iterator[Write]:
 
     def write(df: DataFrame, tag: str) -> DataFrame:
         paths.append(new_path(spark, tag))
-        return _write(df, paths[-1])
+        return written(df, paths[-1])
 
     try:
         yield write
