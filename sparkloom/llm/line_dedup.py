@@ -88,12 +88,13 @@ def _in_place(clean: DataFrame, bad: DataFrame, keys: int) -> DataFrame:
 def _by_position(clean: DataFrame, bad: DataFrame) -> DataFrame:
     """Lines meet the boilerplate by a join; texts that hold such a line then meet its positions."""
     key = F.xxhash64("doc_id", "text")
-    at = clean.select(key.alias("__row"), F.posexplode(_lines(F.col("text"))).alias("pos", "__line"))
+    at = clean.select("doc_id", key.alias("__row"), F.posexplode(_lines(F.col("text"))).alias("pos", "__line"))
     h1, h2 = _hashes(F.col("__line"))
-    at = at.filter(_trimmed(F.col("__line")) != "").select("__row", "pos", h1.alias("h1"), h2.alias("h2"))
-    gone = materialize(at.join(bad.hint("merge"), ["h1", "h2"], "left_semi").groupBy("__row").agg(F.collect_set("pos").alias("__gone")), "line-gone")
+    at = at.filter(_trimmed(F.col("__line")) != "").select("doc_id", "__row", "pos", h1.alias("h1"), h2.alias("h2"))
+    gone = materialize(at.join(bad.hint("merge"), ["h1", "h2"], "left_semi").groupBy("__row", "doc_id").agg(F.collect_set("pos").alias("__gone")), "line-gone")
     keyed = survives(clean.withColumn("__row", key), "__row", *filter_of(gone, "__row", materialize, "line-filter"))
-    touched = keyed.filter("__alive").join(gone.hint("merge"), "__row", "left")
+    marks = gone.withColumnsRenamed({"__row": "__key", "doc_id": "__id"}).hint("merge")
+    touched = keyed.filter("__alive").join(marks, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__key", "__id")
     whole = keyed.filter("not __alive").withColumn("__gone", F.lit(None).cast("array<int>"))
     lines = _lines(F.col("text"))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .removal import filter_of, survives
-from .scratch import materialize
+from .scratch import materialize, temporary
 from .words import WordHashes, hash_words, small_batches, texts_of, window_hashes
 
 WINDOW = 13
@@ -260,10 +260,11 @@ def remove_repeats(
         F.hash(F.col(text_col)).cast("bigint").alias("row"),
         F.col(text_col).alias("text"),
     )
-    runs = materialize(repeated_windows(part, size, minimiser, bucket_bytes, chunk_words), "repeat-runs")
-    # As long as a text has windows at most.
-    spans = runs.groupBy("doc", "row").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("spans"))
-    spans = materialize(spans, "repeat-spans")
+    with temporary(docs.sparkSession) as write:
+        runs = write(repeated_windows(part, size, minimiser, bucket_bytes, chunk_words), "repeat-runs")
+        # As long as a text has windows at most.
+        spans = runs.groupBy("doc", "row").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("spans"))
+        spans = materialize(spans, "repeat-spans")
     # Texts without repeats stay in their task: the filter is sized by their count, and what it lets through by chance joins nothing.
     fitted = filter_of(spans.withColumn("key", F.xxhash64("doc", "row")), "key", materialize, "repeat-filter")
     keyed = survives(part.withColumn("key", F.xxhash64("doc", "row")), "key", *fitted)

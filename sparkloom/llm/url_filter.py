@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, temporary
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that never change what a page holds.
@@ -127,17 +127,18 @@ def filter_urls(
     edges = known.select(url.alias("src"), F.explode(F.array(canonical_form(url), "canonical", "refresh")).alias("dst"))
     if redirects is not None:
         edges = edges.unionAll(redirects.select("src", "dst"))
-    labels = connected_components(edges, "url")
-    # A target may carry a rule without being a page itself.
-    node = F.col("node")
-    ruled = labels.withColumn("hit", matching_rule(host_of(node), path_of(node), rules))
-    flags = materialize(
-        ruled.groupBy("component")
-        .agg(F.max(F.col("hit.action") == "allow").alias("freed"), F.max(F.col("hit.action") == "block").alias("barred"))
-        .filter("freed or barred"),
-        "url-flags",
-    )
-    decided = materialize(labels.join(flags, "component", "left"), "url-decided")
+    with temporary(pages.sparkSession) as write:
+        labels = connected_components(edges, "url", write)
+        # A target may carry a rule without being a page itself.
+        node = F.col("node")
+        ruled = labels.withColumn("hit", matching_rule(host_of(node), path_of(node), rules))
+        flags = write(
+            ruled.groupBy("component")
+            .agg(F.max(F.col("hit.action") == "allow").alias("freed"), F.max(F.col("hit.action") == "block").alias("barred"))
+            .filter("freed or barred"),
+            "url-flags",
+        )
+        decided = materialize(labels.join(flags, "component", "left"), "url-decided")
     joined = table.join(decided, table["url"] == decided["node"], "left")
     return joined.select(
         "page_id",
