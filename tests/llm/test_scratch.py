@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import registry
+from sparkloom.llm import registry, scratch
 
 #: Tables that a result still reads when it is handed out.
 LEFT = {
@@ -22,14 +22,9 @@ LEFT = {
 
 
 @pytest.fixture()
-def shared(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    yield lambda: {re.sub("-[0-9a-f]{32}$", "", f) for f in os.listdir(tmp_path / "sparkloom")} if (tmp_path / "sparkloom").exists() else set()
-    if before is None:
-        spark.conf.unset("spark.checkpoint.dir")
-    else:
-        spark.conf.set("spark.checkpoint.dir", before)
+def shared(monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    return lambda: {re.sub("-[0-9a-f]{32}$", "", f) for f in os.listdir(tmp_path / "sparkloom")} if (tmp_path / "sparkloom").exists() else set()
 
 
 @pytest.mark.parametrize("name", sorted(LEFT))
