@@ -350,11 +350,16 @@ def _classes(part: DataFrame, bucket_bytes: int, hot_list: int, write: Write) ->
             distinct = max(1.0, _distinct(np.frombuffer(zstandard.decompress(bytes(r["packed"])), np.uint64)))
         else:
             totals[r["doc"]] = np.frombuffer(zstandard.decompress(bytes(r["packed"])), np.uint32)
-    # Up to 1,024 as they are, beyond that in steps of an eighth: 16 bits hold any count.
-    flat = totals.ravel().astype(float)
-    ranks = np.where(flat <= 1024, flat, 1024 + 8 * np.log2(np.maximum(flat, 1) / 1024)).astype(np.uint16)
-    # A shingle is in no more sets than its counter says; what a counter holds on average comes from all the others.
-    lists = np.minimum(1000, 1 + np.maximum(0, flat - flat.mean()) // hot_list).astype(np.uint16)
+    mean = float(totals.mean())
+    ranks, lists = np.empty(totals.shape, np.uint16), np.empty(totals.shape, np.uint16)
+    for k, counts in enumerate(totals):  # chunk by chunk, so that the driver holds no wide copies of all counters
+        flat = counts.astype(float)
+        # Up to 1,024 as they are, beyond that in steps of an eighth: 16 bits hold any count.
+        ranks[k] = np.where(flat <= 1024, flat, 1024 + 8 * np.log2(np.maximum(flat, 1) / 1024))
+        # A shingle is in no more sets than its counter says; what a counter holds on average comes from all the others.
+        lists[k] = np.minimum(1000, 1 + np.maximum(0, flat - mean) // hot_list)
+    ranks, lists = ranks.ravel(), lists.ravel()
+    del totals
     held = sets.agg(F.sum("size")).first()[0] or 0
     light = boundary(max(2.0, held / distinct))
     buckets = max(1, math.ceil(held / 4 * _ENTRY.itemsize / bucket_bytes))
