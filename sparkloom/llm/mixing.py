@@ -97,11 +97,12 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS, lea
     ``cells`` has the dimensions and ``tokens``.  A cell's probability is the
     yield times one factor for each dimension's value, at most 1.  A round fits
     the dimensions one after the other, cut cells included, so that what scarce
-    cells cannot give comes from others of the same value.  What a round keeps
-    is a table of factors (as long as a dimension has values), reread after
-    each, so plans stay flat.  ``reached`` are the shares of the expected
-    sample, to be held against the goals.  Values with target 0 get probability
-    0, those without tokens have no goal.
+    cells cannot give comes from others of the same value.  Cells carry their
+    goals and the product of their factors: a fit sums the cells by value and
+    takes the correction back to them, and the cells are reread after each, so
+    plans stay flat and hold one exchange and one join.  ``reached`` are the
+    shares of the expected sample, to be held against the goals.  Values with
+    target 0 get probability 0, those without tokens have no goal.
     """
     dims = list(targets)
     with temporary(cells.sparkSession) as write:
@@ -109,22 +110,20 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS, lea
         part = _yield(goals, targets, least_yield)
         goals = {d: materialize(_available(g, part), f"mix-goal-{d}") for d, g in goals.items()}
         total = cells.agg(F.sum("tokens")).first()[0] or 0
-        factors = {d: goals[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in dims}
-
-        def fitted() -> DataFrame:
-            out = cells
-            for d in dims:
-                out = out.join(factors[d], d, "left")
-            chance = reduce(lambda a, b: a * b, [F.coalesce(f"f_{d}", F.lit(0.0)) for d in dims], F.lit(part))
-            return out.withColumn("probability", F.least(F.lit(1.0), chance))
-
+        fitted = cells
+        for d in dims:
+            fitted = fitted.join(goals[d].select(d, F.col("goal").alias(f"__goal_{d}")), d, "left")
+        listed = reduce(lambda a, b: a & b, [F.col(f"__goal_{d}").isNotNull() for d in dims], F.lit(True))
+        fitted = fitted.withColumn("__factor", F.when(listed, 1.0).otherwise(0.0))
+        probability = F.least(F.lit(1.0), F.lit(part) * F.col("__factor"))
         for _ in range(rounds):
             for d in dims:
-                mass = fitted().groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")).alias("mass"))
-                wanted = F.col("goal") * F.lit(part * total)
-                grown = F.when(F.col("mass") > 0, F.col(f"f_{d}") * wanted / F.col("mass")).otherwise(0.0)
-                factors[d] = write(goals[d].join(factors[d], d).join(mass, d).select(d, grown.alias(f"f_{d}")), f"mix-factor-{d}")
-        out = materialize(fitted().select(*dims, "tokens", "probability"), "mix-cells")
+                fitted = write(fitted, f"mix-fit-{d}")
+                mass = F.sum(F.col("tokens") * probability)
+                grown = F.when(mass > 0, F.first(f"__goal_{d}") * F.lit(part * total) / mass).otherwise(0.0)  # one goal for each value
+                fitted = fitted.join(fitted.groupBy(d).agg(grown.alias("__grown")), d, "left")
+                fitted = fitted.withColumn("__factor", F.col("__factor") * F.coalesce("__grown", F.lit(0.0))).drop("__grown")
+        out = materialize(fitted.select(*dims, "tokens", probability.alias("probability")), "mix-cells")
     whole = out.agg(F.sum(F.col("tokens") * F.col("probability")).alias("whole"))
     report = {}
     for d in dims:
