@@ -310,3 +310,10 @@ def test_masks(spark):
 def test_reconcile(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "id bigint") for xs in ((1, 2), (2, 3)))
     assert {tuple(r) for r in tables.reconcile(a, b, "id").collect()} == {(1, "missing"), (3, "orphan")}
+
+
+def test_complexity_reaches_the_threshold_exactly(spark):
+    """Four commas in 150 characters: 0.3 x 0.8 + 0.2 x 0.3 are 0.3, not a bit less."""
+    rows = spark.createDataFrame([("a, b, c, d, " + "e" * 138,)], "q string")
+    score = text.complexity(F.col("q"))
+    assert rows.select(score, text.routing_strategy(F.lit("factual"), score, F.col("q"), 0.3)).first() == (0.3, "complex")
