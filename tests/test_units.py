@@ -336,3 +336,18 @@ def test_postings_are_counted_where_documents_are_read(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/i/text/stats").first() == (5, 7 / 5)
     search.index_postings(docs.filter("id < 0"), f"{tmp_path}/none")
     assert spark.read.parquet(f"{tmp_path}/none/text/stats").first() == (0, None)
+
+
+@pytest.mark.parametrize("how", ["recursive", "semantic", "hierarchical", "qa", "tabular", "mixed"])
+def test_chunking_counts_each_character_a_few_times(monkeypatch, how):
+    """A chunk's tokens are added up as it grows, not counted again for each sentence."""
+    body = "Short one here. " * 4000
+    seen, count = [], chunking.count
+    monkeypatch.setattr(chunking, "count", lambda t: seen.append(len(t)) or count(t))
+    assert len(chunking.STRATEGIES[how](body, chunking.Config())) > 20
+    assert sum(seen) < 8 * len(body)
+
+
+@pytest.mark.parametrize("how", sorted(chunking.STRATEGIES))
+def test_texts_without_words_have_no_chunks(how):
+    assert chunking.STRATEGIES[how]("", chunking.Config()) == chunking.STRATEGIES[how](" \n", chunking.Config()) == []
