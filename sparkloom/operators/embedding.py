@@ -18,6 +18,8 @@ MOST_WORDS, LEAST_DOCUMENTS = 20_000, 2
 DIMS, EXTRA, ROUNDS = 64, 8, 3
 #: Words to each side that count as context, and the power that flattens frequent contexts.
 SPAN, FLAT = 4, 0.75
+#: Pairs that a task holds before it counts them, 32 MB of keys.
+HELD_PAIRS = 1 << 22
 Encode = Callable[[list[str | None]], np.ndarray]
 _TERMS, _STOP = re.compile(r"[^\W_]+|[^\w\s]+"), frozenset(STOP_WORDS)
 
@@ -118,18 +120,28 @@ def co_occurrence(docs: DataFrame, words: list[str], text_col: str = "text") ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, size = shared.value, len(shared.value)
+        keys: list[np.ndarray] = []
+        held = 0
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            for at in range(0, len(found), 1 << 18):
+                part = found[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array((part // size).astype(np.int32)), pa.array((part % size).astype(np.int32)), pa.array(n[at : at + (1 << 18)].astype(np.int64))], names=["word", "context", "n"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                keys = [np.empty(0, np.int64)]
-                for text in batch.column(0).slice(at, 200).to_pylist():
-                    kept = terms(text)
-                    ids = np.fromiter((places.get(w, -1) for w in kept), np.int64, len(kept))
-                    if len(ids) > 1:
-                        a, b = _pairs(ids)
-                        keys.append(a * size + b)
-                found, n = np.unique(np.concatenate(keys), return_counts=True)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array((found // size).astype(np.int32)), pa.array((found % size).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "context", "n"])
+            for row in range(batch.num_rows):
+                kept = terms(batch.column(0)[row].as_py())
+                ids = np.fromiter((places.get(w, -1) for w in kept), np.int64, len(kept))
+                if len(ids) > 1:
+                    a, b = _pairs(ids)
+                    keys.append(a * size + b)
+                    held += len(a)
+                if held >= HELD_PAIRS:
+                    yield from counts()
+                    keys, held = [], 0
+        if held:
+            yield from counts()
 
     counted = docs.select(text_col).mapInArrow(work, "word int, context int, n bigint")
     return counted.groupBy("word", "context").agg(F.sum("n").alias("n"))

@@ -124,3 +124,12 @@ def test_a_corpus_without_words(spark, tmp_path):
     embedding.fit_word_vectors(docs, str(tmp_path / "m"))
     model = embedding.load_word_vectors(spark, str(tmp_path / "m"))
     assert [r.embedding for r in embedding.embed(docs, model).collect()] == [[0.0] * embedding.DIMS] * 2
+
+
+def test_pairs_are_counted_whole_however_many_a_task_holds(spark, monkeypatch):
+    docs = spark.createDataFrame([("red sea red sky",), ("sea sky",), (None,), ("",)] * 5, "text string").coalesce(1)
+    words, found = ["red", "sea", "sky"], []
+    for held in (1, 7, 1 << 22):
+        monkeypatch.setattr(embedding, "HELD_PAIRS", held)
+        found.append(sorted(map(tuple, embedding.co_occurrence(docs, words).collect())))
+    assert found[0] == found[1] == found[2] and sum(n for *_, n in found[0]) == 5 * (12 + 2)
