@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,6 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 _KEPT: dict[tuple[str, str, str], str] = {}
+#: Bytes that a Python worker is handed at a time, whatever the length of rows.
+ARROW_BYTES = 4_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch: long rows then come in small numbers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"\d+", spark.conf.get(name))
+    if not held or not 0 < int(held[0]) <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
