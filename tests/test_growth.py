@@ -3,13 +3,14 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import search
 from sparkloom.plans import retrieval
 from sparkloom.plans.catalog import QUERIES
-from sparkloom.sources import shared
+from sparkloom.sources import parsers, shared
 
 
 @pytest.fixture
@@ -74,3 +75,20 @@ def test_vector_search_over_many_tiles_and_chunks(spark, monkeypatch):
             scores = {i: round(a[0] * v[0] + a[1] * v[1], 9) for i, v in vectors.items()}
             want = sorted(scores, key=lambda i: (scores[i] == scores[i], -scores[i] if scores[i] == scores[i] else 0, i))[:k]
             assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_only_wanted_files_are_opened(spark, tmp_path):
+    """Names that paths encode, too; a file that nobody wants may be longer than Spark reads."""
+    for name, size in (("a b.txt", 5), ("c%20d.txt", 6), ("é.txt", 7), ("long.txt", 500)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    files = parsers.list_files(spark, str(tmp_path))
+    ids = {r.name: r.source_id for r in files.select("name", "source_id").collect()}
+    wanted = spark.createDataFrame([(i,) for n, i in ids.items() if n != "long.txt"] + [(ids["a b.txt"] + "x",)], "source_id string")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")
+    try:
+        got = {(r.source_id.split("/")[-1], r.found, r.content and len(r.content)) for r in parsers.fetch_many(files, wanted).collect()}
+        assert got == {("a b.txt", True, 5), ("c%20d.txt", True, 6), ("é.txt", True, 7), ("a b.txtx", False, None)}
+        assert [len(r.content) for r in parsers.fetch(files, ids["c%20d.txt"]).collect()] == [6]
+        assert parsers.fetch_many(files, wanted.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
