@@ -92,3 +92,16 @@ def test_only_wanted_files_are_opened(spark, tmp_path):
         assert parsers.fetch_many(files, wanted.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_a_worker_parses_a_bounded_number_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(parsers, "PARSE_BYTES", 100)
+    sizes = [60, 40, 1, 0, 500, 99, None, 1, 1]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "content": pa.array([s if s is None else b"x" * s for s in sizes], pa.binary())})
+    assert [x.column(0).to_pylist() for x in parsers._slices(batch)] == [[0, 1], [2, 3], [4], [5, 6, 7], [8]]
+    assert not list(parsers._slices(batch.slice(0, 0)))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.createDataFrame([(i, None if s is None else "x" * s) for i, s in enumerate(sizes)], "id bigint, text string")
+    got = parsers.parse(rows, F.col("id"), F.col("text"), F.lit("txt"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4_000_000
+    assert sorted((r.source_id, len(r.text)) for r in got.collect()) == [(i, s or 0) for i, s in enumerate(sizes)]
