@@ -11,6 +11,7 @@ import heapq
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
@@ -32,11 +33,17 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.spill = handle.getMapState("spill", "run int, part int", "us array<bigint>, event_id array<bigint>, good array<boolean>")
 
-    def _store(self, run: int, frame: pd.DataFrame) -> int:
-        parts = range(0, len(frame), PART_ROWS)
+    @staticmethod
+    def _sorted(frame: pd.DataFrame) -> list[Row]:
+        """Without a frame's own sort: most keys have few rows, and a call of pandas costs more than they do."""
+        us, ids, good = (frame[c].to_numpy() for c in ("us", "event_id", "good"))
+        order = np.lexsort((ids, us))
+        return list(zip(us[order].tolist(), ids[order].tolist(), good[order].tolist(), strict=True))
+
+    def _store(self, run: int, rows: list[Row]) -> int:
+        parts = range(0, len(rows), PART_ROWS)
         for part, at in enumerate(parts):
-            piece = frame.iloc[at : at + PART_ROWS]
-            self.spill.updateValue((run, part), tuple(piece[c].tolist() for c in ("us", "event_id", "good")))
+            self.spill.updateValue((run, part), tuple(map(list, zip(*rows[at : at + PART_ROWS], strict=True))))
         return len(parts)
 
     def _read(self, run: int, parts: int) -> Iterator[Row]:
@@ -46,17 +53,13 @@ class InOrder(StatefulProcessor):
             yield from zip(*columns, strict=True)
 
     def ordered(self, frames: Iterator[pd.DataFrame]) -> Iterator[Row]:
-        held: pd.DataFrame | None = None
+        held: list[Row] = []
         runs: list[int] = []
         for frame in frames:
-            frame = frame[["us", "event_id", "good"]].sort_values(["us", "event_id"])
-            if held is not None:
+            if held:
                 runs.append(self._store(len(runs), held))
-            held = frame
-        if held is None:
-            return
-        last = held.itertuples(index=False, name=None)
-        yield from heapq.merge(last, *(self._read(k, n) for k, n in enumerate(runs)))
+            held = self._sorted(frame)
+        yield from heapq.merge(held, *(self._read(k, n) for k, n in enumerate(runs)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         self.begin()
@@ -66,12 +69,16 @@ class InOrder(StatefulProcessor):
         self.end(timerValues)
 
     def frame(self, key: tuple, block: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *out) for out in block], columns=list(self.columns))
+        return pd.DataFrame(dict(zip(self.columns, ([key[0]] * len(block), *map(list, zip(*block, strict=True))), strict=True)))
 
-    def wake_at(self, ms: int, timerValues: object) -> None:
-        """One timer a key: at ``ms``, or as soon as the watermark is past it."""
+    def no_timers(self) -> None:
         for held in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
             self.handle.deleteTimer(held)
+
+    def wake_at(self, ms: int, timerValues: object, fresh: bool = False) -> None:
+        """One timer a key: at ``ms``, or as soon as the watermark is past it.  A ``fresh`` key has none yet: it is not asked for them."""
+        if not fresh:
+            self.no_timers()
         self.handle.registerTimer(max(int(ms), timerValues.getCurrentWatermarkInMs() + 1))
 
     def begin(self) -> None:
@@ -103,7 +110,9 @@ class TokenBucket(InOrder):
         self.bucket = handle.getValueState("bucket", "tokens double, last bigint")
 
     def begin(self) -> None:
-        self.tokens, self.last = self.bucket.get() if self.bucket.exists() else (self.burst, None)
+        held = self.bucket.get()
+        self.fresh = held is None
+        self.tokens, self.last = (self.burst, None) if held is None else held
 
     def step(self, us: int, event_id: int, good: bool) -> Iterator[tuple]:
         if self.last is not None:
@@ -116,7 +125,7 @@ class TokenBucket(InOrder):
     def end(self, timerValues: object) -> None:
         if self.last is not None:
             self.bucket.update((float(self.tokens), int(self.last)))
-            self.wake_at(self.last // 1000 + int(self.burst / self.rate * 1000) + 1, timerValues)
+            self.wake_at(self.last // 1000 + int(self.burst / self.rate * 1000) + 1, timerValues, self.fresh)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         self.bucket.clear()
@@ -136,7 +145,7 @@ class CircuitBreaker(InOrder):
         self.circuit = handle.getValueState("circuit", "now string, bad bigint, since bigint")
 
     def begin(self) -> None:
-        self.now, self.bad, self.since = self.circuit.get() if self.circuit.exists() else ("CLOSED", 0, 0)
+        self.now, self.bad, self.since = self.circuit.get() or ("CLOSED", 0, 0)
 
     def step(self, us: int, event_id: int, good: bool) -> Iterator[tuple]:
         if self.now == "OPEN" and us - self.since >= self.wait:
@@ -171,7 +180,9 @@ class TokenBuffer(InOrder):
         self.start = handle.getValueState("start", "us bigint")
 
     def begin(self) -> None:
-        self.first = self.start.get()[0] if self.start.exists() else None
+        held = self.start.get()
+        self.fresh = held is None
+        self.first = None if held is None else held[0]
         self.ids = [int(r[0]) for r in self.buffer.get()] if self.first is not None else []  # fewer than ``least``
 
     def step(self, us: int, event_id: int, good: bool) -> Iterator[tuple]:
@@ -186,15 +197,20 @@ class TokenBuffer(InOrder):
         if self.ids:
             self.buffer.put([(i,) for i in self.ids])
             self.start.update((int(self.first),))
-            self.wake_at(self.first // 1000 + self.wait_ms, timerValues)
-        else:
+            self.wake_at(self.first // 1000 + self.wait_ms, timerValues, self.fresh)
+        elif not self.fresh:
+            self.no_timers()  # a key without state has no timer
             self.buffer.clear()
             self.start.clear()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         self.begin()
-        self.buffer.clear()
-        self.start.clear()
+        # A timer that an older checkpoint left without state may come before its time.
+        if self.ids and expiredTimerInfo.getExpiryTimeInMs() < self.first // 1000 + self.wait_ms:
+            return
+        if not self.fresh:
+            self.buffer.clear()
+            self.start.clear()
         if self.ids:
             yield self.frame(key, [(self.ids,)])
 

@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from sparkloom.operators import search
 from sparkloom.plans import retrieval
 from sparkloom.plans.catalog import QUERIES
 from sparkloom.sources import parsers, shared
+from sparkloom.streaming import stateful
 
 
 @pytest.fixture
@@ -105,3 +107,71 @@ def test_a_worker_parses_a_bounded_number_of_bytes(spark, monkeypatch):
     got = parsers.parse(rows, F.col("id"), F.col("text"), F.lit("txt"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4_000_000
     assert sorted((r.source_id, len(r.text)) for r in got.collect()) == [(i, s or 0) for i, s in enumerate(sizes)]
+
+
+class Calls:
+    """State of one key and its timers; counts the calls, each of which is a round trip to the JVM."""
+
+    def __init__(self):
+        self.value, self.timers, self.n = {}, set(), 0
+
+    def var(self, name):
+        calls = self
+
+        class Var:
+            def __getattr__(_, what):
+                def call(*x):
+                    calls.n += 1
+                    if what in ("put", "update"):
+                        calls.value[name] = x[0]
+                    if what == "clear":
+                        calls.value.pop(name, None)
+                    return name in calls.value if what == "exists" else calls.value.get(name)
+
+                return call
+
+        return Var()
+
+    def getMapState(self, name, *_):
+        return self.var(name)
+
+    getListState = getValueState = getMapState
+
+    def listTimers(self):
+        self.n += 1
+        return list(self.timers)
+
+    def registerTimer(self, ms):
+        self.n += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.n += 1
+        self.timers.discard(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def fed(buffer, calls, *events):
+    frame = pd.DataFrame({"us": [u for u, _ in events], "event_id": [i for _, i in events], "good": [True] * len(events)})
+    return [x for out in buffer.handleInputRows((7,), iter([frame]), calls) for x in out.event_ids]
+
+
+def expired(buffer, calls, ms):
+    calls.timers.discard(ms)
+    info = type("Info", (), {"getExpiryTimeInMs": lambda _: ms})()
+    return [x for out in buffer.handleExpiredTimer((7,), calls, info) for x in out.event_ids]
+
+
+def test_a_key_calls_its_state_a_few_times():
+    """A key that is new, filled and left again: four calls, then four; a key without state has no timer that could end its next wait early."""
+    calls, buffer = Calls(), stateful.TokenBuffer(3, 10)
+    buffer.init(calls)
+    assert fed(buffer, calls, (2000, 2), (1000, 1)) == [] and calls.n <= 4 and calls.timers == {11}
+    calls.n = 0
+    assert expired(buffer, calls, 11) == [[1, 2]] and calls.n <= 4 and not calls.value
+    assert fed(buffer, calls, (20000, 3)) == [] and calls.timers == {30}
+    assert fed(buffer, calls, (21000, 4), (22000, 5)) == [[3, 4, 5]] and not calls.timers and not calls.value
+    calls.timers.add(30)  # of an older checkpoint
+    assert fed(buffer, calls, (25000, 6)) == [] and expired(buffer, calls, 30) == [] and expired(buffer, calls, 35) == [[6]]
