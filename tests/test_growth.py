@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import search
 from sparkloom.plans import retrieval
-from sparkloom.plans.catalog import QUERIES
+from sparkloom.plans.catalog import QUERIES, SQL
 from sparkloom.sources import parsers, shared
 from sparkloom.streaming import stateful
 
@@ -191,3 +192,39 @@ def test_a_key_calls_its_state_a_few_times():
     assert fed(buffer, calls, (21000, 4), (22000, 5)) == [[3, 4, 5]] and not calls.timers and not calls.value
     calls.timers.add(30)  # of an older checkpoint
     assert fed(buffer, calls, (25000, 6)) == [] and expired(buffer, calls, 30) == [] and expired(buffer, calls, 35) == [[6]]
+
+
+def shuffled(spark, run):
+    """Bytes that all stages of ``run()`` write to shuffles."""
+    java = spark.sparkContext._jvm
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        quantiles = spark.sparkContext._gateway.new_array(java.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, quantiles, java.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = total()
+    run()
+    return sum(n for key, n in total().items() if key not in before)
+
+
+@pytest.mark.parametrize("name", ["r06_linear_fusion"])
+def test_fusion_shuffles_hits_and_no_texts(spark, nothing_kept, tmp_path, name):
+    """Texts of ten times the words, all different, move no more bytes; rows are the SQL's at both lengths."""
+    asked = [w for text in retrieval.KEYWORDS.values() for w in text.split()]
+    moved = []
+    for length in (30, 300):
+        path = tmp_path / str(length)
+        texts = [(i, None if i == 7 else " ".join([asked[i % len(asked)], asked[i // 3 % len(asked)], *(f"w{i}x{j}" for j in range(length))])) for i in range(400)]
+        vectors = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(0, 700, 2)]
+        spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(2).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").coalesce(2).write.parquet(f"{path}/embeddings.parquet")
+        rows = []
+        moved.append(shuffled(spark, lambda at=str(path), rows=rows: rows.extend(QUERIES[name](spark, at).collect())))
+        con = duckdb.connect()
+        for table in ("documents", "embeddings"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+        want = con.sql(SQL[name])
+        assert sorted(tuple(r[c] for c in want.columns) for r in rows) == sorted(want.fetchall())
+    assert 0 < moved[1] <= 1.1 * moved[0]
