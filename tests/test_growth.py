@@ -209,7 +209,7 @@ def shuffled(spark, run):
     return sum(n for key, n in total().items() if key not in before)
 
 
-@pytest.mark.parametrize("name", ["r06_linear_fusion"])
+@pytest.mark.parametrize("name", ["r06_linear_fusion", "j01_full_outer_lists"])
 def test_fusion_shuffles_hits_and_no_texts(spark, nothing_kept, tmp_path, name):
     """Texts of ten times the words, all different, move no more bytes; rows are the SQL's at both lengths."""
     asked = [w for text in retrieval.KEYWORDS.values() for w in text.split()]
