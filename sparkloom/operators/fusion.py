@@ -36,8 +36,9 @@ def score_stats(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.avg("score").alias("mean"), F.when(spread > EPS, spread).otherwise(1.0).alias("std"))
 
 
-def rrf_score(rank: Column, k: int = RRF_K) -> Column:
-    return 1.0 / (F.lit(float(k)) + rank)
+def rrf_score(rank: Column, k: int = RRF_K, weight: float = 1.0) -> Column:
+    """One division, as in the SQL: with a weight times the rounded reciprocal, sums of equal value part or tie otherwise."""
+    return F.lit(float(weight)) / (F.lit(float(k)) + rank)
 
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K, base: int = 0) -> DataFrame:
@@ -45,7 +46,7 @@ def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF
     weights = weights or [1.0] * len(lists)
     if len(weights) != len(lists):
         raise ValueError("a weight for each list is needed")
-    parts = [ranked(x, base).select("query_id", "id", (F.lit(w) * rrf_score(F.col("rank"), k)).alias("score")) for x, w in zip(lists, weights, strict=True)]
+    parts = [ranked(x, base).select("query_id", "id", rrf_score(F.col("rank"), k, w).alias("score")) for x, w in zip(lists, weights, strict=True)]
     return reduce(DataFrame.unionAll, parts).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
 
 
